@@ -56,3 +56,11 @@ def slices(batches, rows: int = 2000):
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
+
+
+def settle(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files of finished steps now, not when the driver happens to collect garbage."""
+    import gc
+
+    gc.collect()
+    spark._jvm.System.gc()

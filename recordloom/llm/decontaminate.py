@@ -85,25 +85,31 @@ def _judge(words: list[bytes], candidates) -> tuple[int, set]:
 _OUT = "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
 
 
-def _rows(ids: pa.Array, judged: list[tuple[int, int, set]]) -> pa.RecordBatch:
+def _rows(columns: list[pa.Array], carry: tuple[str, ...], judged: list[tuple[int, int, set]]) -> pa.RecordBatch:
+    """columns: doc_id and those carried."""
     named = [sorted(x for x in items if x is not None) for _, _, items in judged]
     return pa.RecordBatch.from_arrays(
-        [ids, pa.array([x[0] for x in judged], pa.int64()), pa.array([x[1] for x in judged], pa.int64()), pa.array([len(x) for x in named], pa.int64()),
-         pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in named], pa.string()), pa.array([x[1] > 0 and 20 * x[1] >= x[0] for x in judged], pa.bool_())],
-        ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"],
+        [columns[0], pa.array([x[0] for x in judged], pa.int64()), pa.array([x[1] for x in judged], pa.int64()), pa.array([len(x) for x in named], pa.int64()),
+         pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in named], pa.string()), pa.array([x[1] > 0 and 20 * x[1] >= x[0] for x in judged], pa.bool_()), *columns[1:]],
+        ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", *carry],
     )
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, window: int = 13, shingle: int = 5, broadcast_windows: int = 200_000) -> DataFrame:
-    """Returns doc_id, n_words, n_hit, n_items, items_sha256, contaminated. Up to broadcast_windows benchmark
+def decontaminate(docs: DataFrame, items: DataFrame, window: int = 13, shingle: int = 5, broadcast_windows: int = 200_000, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Returns doc_id, n_words, n_hit, n_items, items_sha256, contaminated, and the columns that carry names. Up to broadcast_windows benchmark
     windows (about 100 bytes each) go to every executor; beyond that the shingles of both sides are shuffled."""
     windows = stage(_windows(items, window).groupBy("words").agg(F.collect_set("item_id").alias("items")), "windows")
     small = windows.limit(broadcast_windows + 1).count() <= broadcast_windows
-    return (_by_broadcast if small else _by_shuffle)(docs, windows, shingle)
+    return (_by_broadcast if small else _by_shuffle)(docs, windows, shingle, carry)
 
 
-def _by_broadcast(docs: DataFrame, windows: DataFrame, shingle: int) -> DataFrame:
-    sc, id_type = docs.sparkSession.sparkContext, docs.schema["doc_id"].dataType.simpleString()
+def _schema(docs: DataFrame, carry: tuple[str, ...]) -> str:
+    kind = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
+    return ", ".join([f"doc_id {kind['doc_id']}", _OUT, *(f"{n} {kind[n]}" for n in carry)])
+
+
+def _by_broadcast(docs: DataFrame, windows: DataFrame, shingle: int, carry: tuple[str, ...]) -> DataFrame:
+    sc = docs.sparkSession.sparkContext
     held = [(r["words"].encode().split(b" "), r["items"]) for r in windows.collect()]
     wanted = sc.broadcast(sorted({s for words, _ in held for s in _shingles(words, shingle)}))
 
@@ -133,12 +139,12 @@ def _by_broadcast(docs: DataFrame, windows: DataFrame, shingle: int) -> DataFram
                 words = words_of(text)
                 found = ((pos - at, window, ids) for pos, values in matcher.find(words) for at, window, ids in values)
                 judged.append((len(words), *_judge(words, found)))
-            yield _rows(batch.column(0), judged)
+            yield _rows([batch.column(0), *batch.columns[2:]], carry, judged)
 
-    return docs.select("doc_id", "text").mapInArrow(match, f"doc_id {id_type}, {_OUT}")
+    return docs.select("doc_id", "text", *(F.col(n).alias(f"_{n}") for n in carry)).mapInArrow(match, _schema(docs, carry))
 
 
-def _by_shuffle(docs: DataFrame, windows: DataFrame, shingle: int) -> DataFrame:
+def _by_shuffle(docs: DataFrame, windows: DataFrame, shingle: int, carry: tuple[str, ...]) -> DataFrame:
     id_type = docs.schema["doc_id"].dataType.simpleString()
     lengths = sorted(r[0] for r in windows.select(F.least(F.size(F.split("words", " ")), F.lit(shingle)).alias("n")).distinct().collect())
 
@@ -169,7 +175,7 @@ def _by_shuffle(docs: DataFrame, windows: DataFrame, shingle: int) -> DataFrame:
         .groupBy("doc_id").agg(F.collect_set(F.struct((F.col("pos") - F.col("at")).alias("start"), "words", "items")).alias("found"))
         .withColumnRenamed("doc_id", "found_id")
     )
-    joined = docs.select("doc_id", "text").join(candidates, F.col("doc_id").eqNullSafe(F.col("found_id")), "left").select("doc_id", "text", "found")
+    joined = docs.select("doc_id", "text").join(candidates, F.col("doc_id").eqNullSafe(F.col("found_id")), "left").select("doc_id", "text", "found", *(F.col(n).alias(f"_{n}") for n in carry))
 
     def match(batches):
         for batch in slices(batches):
@@ -177,6 +183,6 @@ def _by_shuffle(docs: DataFrame, windows: DataFrame, shingle: int) -> DataFrame:
             for text, found in zip(byte_texts(batch.column(1)), batch.column(2).to_pylist()):
                 words = words_of(text)
                 judged.append((len(words), *_judge(words, ((c["start"], c["words"].encode().split(b" "), c["items"]) for c in found or []))))
-            yield _rows(batch.column(0), judged)
+            yield _rows([batch.column(0), *batch.columns[3:]], carry, judged)
 
-    return joined.mapInArrow(match, f"doc_id {id_type}, {_OUT}")
+    return joined.mapInArrow(match, _schema(docs, carry))

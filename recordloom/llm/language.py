@@ -140,13 +140,17 @@ def train(docs: DataFrame, per_label: int = 400, width: int = 4096) -> LanguageM
 def identify(docs: DataFrame, model: LanguageModel | None, width: int = 4096, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Adds held_out, lang_pred and score to the columns named by keep."""
     held = docs.sparkSession.sparkContext.broadcast(model)
-    chosen = docs.select(*keep, F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), F.col("text").alias("_text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema.fields[:-1])
+    out = docs.select(*keep, held_out(F.col("doc_id")).alias("held_out"))
+    extra = [] if "text" in keep else ["text"]  # read, but not handed on
+    chosen = out if "text" in keep else docs.select(*keep, held_out(F.col("doc_id")).alias("held_out"), "text")
+    place = chosen.columns.index("text")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in out.schema.fields)
 
     def predict(batches):
         own = held.value
         for batch in slices(batches):
-            out = [own.predict(features(t, width)) if own is not None and t and _LETTER.search(t) else (UNKNOWN, 0.0) for t in batch.column(batch.num_columns - 1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.float64())], [*batch.schema.names[:-1], "lang_pred", "score"])
+            found = [own.predict(features(t, width)) if own is not None and t and _LETTER.search(t) else (UNKNOWN, 0.0) for t in batch.column(place).to_pylist()]
+            n = batch.num_columns - len(extra)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], [*batch.schema.names[:n], "lang_pred", "score"])
 
     return chosen.mapInArrow(predict, f"{schema}, lang_pred string, score double")

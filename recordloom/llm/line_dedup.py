@@ -50,10 +50,10 @@ def line_hashes(docs: DataFrame, min_chars: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(explode, "doc_id long, h1 long, h2 long")
 
 
-def line_dedup(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, with_text: bool = False) -> DataFrame:
+def line_dedup(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, with_text: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
     """Drop every line whose key has min_chars code points and occurs in min_docs documents, except in the
     document with the largest doc_id that holds it. Returns doc_id, n_lines, n_dropped, kept_sha256, and the
-    kept text as `text` if with_text."""
+    kept text as `text` if with_text, then the columns of docs that carry names."""
     pairs = stage(line_hashes(docs, min_chars), "lines")
     common = (
         pairs.groupBy("h1", "h2")
@@ -68,7 +68,7 @@ def line_dedup(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, with_tex
         .agg(F.collect_set(F.struct("h1", "h2")).alias("drops"))
         .withColumnRenamed("doc_id", "drop_id")
     )
-    joined = docs.select("doc_id", "text").join(drops, F.col("doc_id").cast("long") == F.col("drop_id"), "left").select("doc_id", "text", F.col("drops.h1").alias("d1"), F.col("drops.h2").alias("d2"))
+    joined = docs.select("doc_id", "text").join(drops, F.col("doc_id").cast("long") == F.col("drop_id"), "left").select("doc_id", "text", F.col("drops.h1").alias("d1"), F.col("drops.h2").alias("d2"), *carry)
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
     def rebuild(batches):
@@ -91,6 +91,6 @@ def line_dedup(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, with_tex
             if with_text:
                 arrays.append(pa.array(kept, pa.binary()).cast(pa.string()))
                 names.append("text")
-            yield pa.RecordBatch.from_arrays(arrays, names)
+            yield pa.RecordBatch.from_arrays([*arrays, *batch.columns[4:]], [*names, *carry])
 
-    return joined.mapInArrow(rebuild, f"doc_id {id_type}, n_lines long, n_dropped long, kept_sha256 string" + ", text string" * with_text)
+    return joined.mapInArrow(rebuild, f"doc_id {id_type}, n_lines long, n_dropped long, kept_sha256 string" + ", text string" * with_text + "".join(f", {n} {docs.schema[n].dataType.simpleString()}" for n in carry))

@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bitslice, decontaminate, language, line_dedup, packing, rotation, secrets, simhash
+from . import bitslice, ctw, decontaminate, language, line_dedup, packing, rotation, secrets, simhash, substrings
 
 #: Where the public tokenizers lie; a parameter of the machine, never part of the repository.
 TOKENIZER_DIR = os.environ.get("RECORDLOOM_TOKENIZERS", "/opt/tokenizers")
@@ -29,6 +29,10 @@ def op1_simhash(spark, sf_dir):
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op2_ctw_score(spark, sf_dir):
+    return ctw.score(_table(spark, sf_dir, "documents"))
+
+
 def op3_line_dedup(spark, sf_dir):
     return line_dedup.line_dedup(_table(spark, sf_dir, "documents"))
 
@@ -54,12 +58,16 @@ def op8_language_id(spark, sf_dir):
     return language.identify(docs, language.train(docs))
 
 
+def op9_substring_dedup(spark, sf_dir):
+    return substrings.remove_repeats(_table(spark, sf_dir, "documents"))
+
+
 def op10_best_fit_packing(spark, sf_dir):
     return packing.pack(_table(spark, sf_dir, "documents"), tokenizer_path())
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_simhash, op3_line_dedup, op4_decontaminate, op5_secrets, op6_bitsliced_topk, op7_chat_rotation, op8_language_id, op10_best_fit_packing)}
+    return {f.__name__: f for f in (op1_simhash, op2_ctw_score, op3_line_dedup, op4_decontaminate, op5_secrets, op6_bitsliced_topk, op7_chat_rotation, op8_language_id, op9_substring_dedup, op10_best_fit_packing)}
 
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -93,6 +101,17 @@ WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * C
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5
 """
 
+OP9 = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+     v AS (SELECT doc_id, i, array_to_string(list_slice(w, i, i + 12), ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM d)),
+     f AS (SELECT s, min(doc_id) AS least FROM v GROUP BY s HAVING min(doc_id) < max(doc_id)),
+     g AS (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS x FROM v JOIN f USING (s) WHERE least < doc_id),
+     k AS (SELECT doc_id, word, x FROM (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS x FROM d))
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(r.n, 0) AS n_removed, sha256(coalesce(t.kept, '')) AS kept_sha256
+FROM d LEFT JOIN (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id) r USING (doc_id)
+       LEFT JOIN (SELECT doc_id, string_agg(word, ' ' ORDER BY x) AS kept FROM k ANTI JOIN g USING (doc_id, x) GROUP BY doc_id) t USING (doc_id)
+"""
+
 
 def oracle_sql() -> dict:
-    return {"op3_line_dedup": OP3, "op4_decontaminate": OP4, "op6_bitsliced_topk": OP6, "op7_chat_rotation": rotation.ORACLE}
+    return {"op3_line_dedup": OP3, "op4_decontaminate": OP4, "op6_bitsliced_topk": OP6, "op7_chat_rotation": rotation.ORACLE, "op9_substring_dedup": OP9}
