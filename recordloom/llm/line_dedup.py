@@ -68,7 +68,7 @@ def line_dedup(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, with_tex
         .agg(F.collect_set(F.struct("h1", "h2")).alias("drops"))
         .withColumnRenamed("doc_id", "drop_id")
     )
-    joined = docs.select("doc_id", "text").join(drops, F.col("doc_id").cast("long") == F.col("drop_id"), "left").select("doc_id", "text", F.col("drops.h1").alias("d1"), F.col("drops.h2").alias("d2"), *carry)
+    joined = docs.select("doc_id", "text", *carry).join(drops, F.col("doc_id").cast("long") == F.col("drop_id"), "left").select("doc_id", "text", F.col("drops.h1").alias("d1"), F.col("drops.h2").alias("d2"), *carry)
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
     def rebuild(batches):
