@@ -30,7 +30,14 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     executor costs a re-read and not a re-computation."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/recordloom/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    # Nothing runs df again, so its shuffle files may go as soon as the table is there.
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, "false")
+    spark.conf.set(key, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(key, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

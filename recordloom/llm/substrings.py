@@ -9,7 +9,7 @@ their symbols' words, the next level; each window is known by the smallest phras
 
 Step 1 finds phrase names that several documents share. A task settles what it sees itself and sends one row for each
 name and block of documents, so no name gathers more rows than there are blocks. Step 2 verifies: only windows whose
-phrase is shared are compared, by 128 bits of their 13 word names, again with one document for each window and block.
+phrase is shared are compared, by 96 bits of their 13 word names, again with one document for each window and block.
 Step 3 removes the words covered.
 
 Null text has no words. A null doc_id is neither earlier nor later than any: its row keeps all words and counts for no
@@ -57,6 +57,11 @@ def _sum(names: np.ndarray, at: np.ndarray, size: int, factor: int) -> np.ndarra
     return _mix(out)
 
 
+def _text_hash(text: bytes) -> int:
+    """Tells apart texts that share a doc_id."""
+    return xxhash.xxh3_64_intdigest(text) >> 49
+
+
 class Block:
     """Names, symbols and windows of some documents, one after the other."""
 
@@ -97,7 +102,7 @@ def _blocks(batches, most_words: int):
             if len(words) < WINDOW:
                 continue
             ids.append(doc)
-            texts.append((words, xxhash.xxh3_64_intdigest(text) >> 1))
+            texts.append((words, _text_hash(text)))
             extra.append(shared)
             n += len(words)
             if n >= most_words:
@@ -155,14 +160,14 @@ def _covered(docs: DataFrame, most_words: int) -> DataFrame:
     def emit(batches):
         known = Names()
         for ids, texts, shared in _blocks(batches, most_words):
-            block, doc_ids, hashes = Block([t for t, _ in texts], known), np.array(ids, np.int64), np.array([h for _, h in texts], np.int64)
+            block, doc_ids, hashes = Block([t for t, _ in texts], known), np.array(ids, np.int64), np.array([h for _, h in texts], np.int16)
             mine = np.concatenate([np.array(s, np.int64).view(_U) ^ _mix(np.full(len(s), i, _U)) for i, s in enumerate(shared)])
             key = block.key[block.phrase] ^ _mix(block.doc[block.windows].astype(_U))
             at = block.windows[np.isin(key, mine)]
             h1, h2 = (_sum(block.names, at, WINDOW, f) for f in (0xD6E8FEB86659FD93, 0xA0761D6478BD642F))
             doc = doc_ids[block.doc[at]]
             order = np.lexsort((doc, h2, h1))
-            a, b, d, w = h1[order], h2[order], doc[order], at[order]
+            a, b, d, w = h1[order], h2[order], doc[order], at[order]  # 128 bits here, 96 between tasks
             head = np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])] if len(a) else np.empty(0, bool)
             later = d > d[head][np.cumsum(head) - 1] if len(a) else head
             gone = np.sort(w[later])
@@ -173,7 +178,7 @@ def _covered(docs: DataFrame, most_words: int) -> DataFrame:
             own = block.doc[place]
             # Settled stretches go anywhere, by their own hash; the earliest document of each window goes to meet others.
             one = np.concatenate([_mix(start.astype(_U) + _mix(doc_ids[block.doc[start]].view(_U))), a[~later]]).view(np.int64)
-            two = np.concatenate([np.zeros(len(start), np.int64), b[~later].view(np.int64)])
+            two = np.concatenate([np.zeros(len(start), np.int32), (b[~later] >> _U(32)).astype(np.uint32).view(np.int32)])
             yield pa.RecordBatch.from_arrays(
                 [pa.array(one), pa.array(two), pa.array(doc_ids[own]), pa.array(hashes[own]), pa.array((place - block.first[own]).astype(np.int32)), pa.array(np.concatenate([n, np.zeros(len(w), np.int64)]).astype(np.int32))],
                 ["h1", "h2", "doc_id", "text_hash", "start", "n"],
@@ -192,9 +197,9 @@ def _covered(docs: DataFrame, most_words: int) -> DataFrame:
             held = (h1[-1], h2[-1], least[-1])
             yield pa.RecordBatch.from_arrays([pa.array(doc[out]), pa.array(text[out]), pa.array(start[out]), pa.array(np.maximum(n[out], 1))], ["doc_id", "text_hash", "start", "n"])
 
-    rows = docs.mapInArrow(emit, "h1 long, h2 long, doc_id long, text_hash long, start int, n int")
+    rows = docs.mapInArrow(emit, "h1 long, h2 int, doc_id long, text_hash short, start int, n int")
     # Settled rows (n > 0) have h2 = 0 and would only meet a window of that very name; they sort last there.
-    return rows.repartition("h1").sortWithinPartitions("h1", "h2", "n", "doc_id").mapInArrow(meet, "doc_id long, text_hash long, start int, n int")
+    return rows.repartition("h1").sortWithinPartitions("h1", "h2", "n", "doc_id").mapInArrow(meet, "doc_id long, text_hash short, start int, n int")
 
 
 def remove_repeats(docs: DataFrame, most_words: int = 1_000_000, with_text: bool = False) -> DataFrame:
@@ -217,7 +222,7 @@ def remove_repeats(docs: DataFrame, most_words: int = 1_000_000, with_text: bool
                 words = text.split() if text else []
                 n_words.append(len(words))
                 if starts:
-                    own, gone = xxhash.xxh3_64_intdigest(text) >> 1, bytearray(len(words))
+                    own, gone = _text_hash(text), bytearray(len(words))
                     for h, start, n in zip(hashes, starts, ns):
                         if h == own:
                             gone[start : start + n + WINDOW - 1] = b"\x01" * (n + WINDOW - 1)
