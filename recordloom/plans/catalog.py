@@ -1,11 +1,487 @@
-"""Registered queries and their SQL."""
+"""Registered queries over the record model and the SQL that each must equal."""
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from ..functions import text as T
+from ..operators import dedup, lifecycle, quality, search, vector
+from ..sources import adapter as A
+from ..sources import ingest
+from ..streaming import progress
+from . import graph
+
+_Q: dict = {}
+_SQL: dict[str, str] = {}
+
+
+def _query(sql: str | None = None):
+    def add(f):
+        _Q[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
+
 
 def queries() -> dict:
-    return {}
+    return dict(_Q)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_SQL)
+
+
+R, M, D = f"({A.RECORDS_SQL})", f"({A.MESSAGES_SQL})", f"({A.DECISIONS_SQL})"
+SPACE = r"[\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]+"
+
+
+def TOK(c):  # noqa: N802
+    return rf"list_filter(regexp_split_to_array(strip_accents(lower(coalesce({c}, ''))), '[^\p{{L}}\p{{N}}\p{{Co}}]+'), lambda x: x <> '')"
+
+
+def NORM(c):  # noqa: N802
+    return f"trim(regexp_replace(regexp_replace(lower({c}), '[''\"]', '', 'g'), '{SPACE}', ' ', 'g'))"
+
+
+_DUP = f"dup AS (SELECT id FROM (SELECT id, row_number() OVER (PARTITION BY project, n ORDER BY CASE provenance WHEN 'verbatim' THEN 1 WHEN 'extracted' THEN 2 ELSE 4 END, length(text) DESC, importance DESC, minute DESC, id) AS place FROM (SELECT *, {NORM('text')} AS n FROM {R}) WHERE length(n) >= 20) WHERE place > 1)"
+_BASE = f"d AS (SELECT id, project, minute, text, {TOK('text')} AS t FROM {R}), s AS (SELECT count(*) AS n, avg(len(t)) AS a FROM d)"
+
+
+def _bm25_sql(phrases: list[str], match: str, score: str | None = None, limit: int = 10, where: str = "TRUE", hide: bool = False, out: str = "id, round(rank, 6) AS rank") -> str:
+    """phrases: SQL for each phrase's frequency on t; match: condition on f0, f1, ...; score: sum over s0, s1, ..."""
+    fs = ", ".join(f"{p} AS f{i}" for i, p in enumerate(phrases))
+    ds = ", ".join(f"count(*) FILTER (WHERE f{i} > 0) AS d{i}" for i in range(len(phrases)))
+    ss = ", ".join(f"(CASE WHEN ln((n - d{i} + 0.5) / (d{i} + 0.5)) > 0 THEN ln((n - d{i} + 0.5) / (d{i} + 0.5)) ELSE 0.000001 END) * f{i} * 2.2 / (f{i} + 1.2 * (0.25 + 0.75 * len(t) / a)) AS s{i}" for i in range(len(phrases)))
+    score = score or " + ".join(f"s{i}" for i in range(len(phrases)))
+    hidden = "AND id NOT IN (SELECT id FROM dup)" if hide else ""
+    return f"WITH {_DUP}, {_BASE}, f AS (SELECT *, {fs} FROM d), c AS (SELECT {ds} FROM f), p AS (SELECT *, {ss} FROM f, s, c) SELECT {out} FROM (SELECT *, -({score}) AS rank FROM p WHERE ({match}) AND {where} {hidden} ORDER BY rank, id LIMIT {limit})"
+
+
+def _tf(w):
+    return f"len(list_filter(t, lambda x: x = '{w}'))"
+
+
+def _pf(w):
+    return f"len(list_filter(t, lambda x: starts_with(x, '{w}')))"
+
+
+def _phrase(*words):
+    return f"len(list_filter(range(1, len(t) - {len(words) - 2}), lambda i: " + " AND ".join(f"t[i + {k}] = '{w}'" for k, w in enumerate(words)) + "))"
+
+
+def _marked(spark, d):
+    rows = A.records(spark, d).withColumn("table", F.lit("documents"))
+    return dedup.plan_exact(dedup.candidates(rows, F.col("text")))
+
+
+def _ranked(df):
+    return df.select("id", F.round("rank", 6).alias("rank"))
+
+
+@_query(_bm25_sql([_tf("tion"), _tf("erre")], "f0 > 0 OR f1 > 0", hide=True))
+def bm25_topk(spark, d):
+    return _ranked(search.top(A.records(spark, d), "tion OR erre", ["text"], 10, hidden=_marked(spark, d)))
+
+
+@_query(_bm25_sql([_tf("the"), _tf("thand"), _tf("aux")], "f0 > 0 OR f1 > 0 OR f2 > 0", limit=50))
+def bm25_or(spark, d):
+    return _ranked(search.top(A.records(spark, d), "the OR thand OR aux", ["text"], 50))
+
+
+@_query(_bm25_sql([_tf("and"), _tf("ener")], "f0 > 0 AND f1 > 0", limit=50))
+def bm25_and(spark, d):
+    return _ranked(search.top(A.records(spark, d), "and ener", ["text"], 50))
+
+
+@_query(_bm25_sql([_tf("the"), _tf("with")], "f0 > 0 OR f1 > 0", where="project = 'src3'"))
+def bm25_project(spark, d):
+    return _ranked(search.top(A.records(spark, d), "the OR with", ["text"], 10, project="src3"))
+
+
+@_query(_bm25_sql([_phrase("of", "the")], "f0 > 0", limit=100))
+def bm25_phrase(spark, d):
+    return _ranked(search.top(A.records(spark, d), '"of the"', ["text"], 100))
+
+
+@_query(_bm25_sql([_pf("thand")], "f0 > 0", limit=100))
+def bm25_prefix(spark, d):
+    return _ranked(search.top(A.records(spark, d), "thand*", ["text"], 100))
+
+
+@_query(_bm25_sql([_tf("tion"), _tf("and"), _tf("erre"), _tf("aux")], "(f0 > 0 OR (f1 > 0 AND f2 > 0)) AND NOT f3 > 0", score="s0 + CASE WHEN f1 > 0 AND f2 > 0 THEN s1 + s2 ELSE 0 END", limit=100))
+def bm25_boolean(spark, d):
+    return _ranked(search.top(A.records(spark, d), "(tion OR and erre) NOT aux", ["text"], 100))
+
+
+@_query()
+def bm25_near(spark, d):
+    return _ranked(search.top(A.records(spark, d), "NEAR(tion erre, 5)", ["text"], 100))
+
+
+def _multi(spark, d, bias=None):
+    r, m = A.records(spark, d), A.messages(spark, d)
+    tables = {"documents": (r, ["text"], F.substring("text", 1, 200)), "messages": (m.withColumnRenamed("content", "text"), ["text"], F.substring("text", 1, 200))}
+    return search.search(tables, "the OR and", 20, bias=bias).select("table", "id", F.round("rank", 6).alias("rank"))
+
+
+def _multi_sql(bias):
+    part = lambda name, rows: f"""SELECT '{name}' AS "table", id, rank FROM (WITH d AS (SELECT id, {TOK('text')} AS t FROM {rows}), s AS (SELECT count(*) AS n, avg(len(t)) AS a, count(*) FILTER (WHERE list_contains(t, 'the')) AS d0, count(*) FILTER (WHERE list_contains(t, 'and')) AS d1 FROM d),
+      p AS (SELECT id, {_tf('the')} AS f0, {_tf('and')} AS f1, len(t) AS l, s.* FROM d, s)
+      SELECT id, -((CASE WHEN (n - d0 + 0.5) / (d0 + 0.5) > 1 THEN ln((n - d0 + 0.5) / (d0 + 0.5)) ELSE 0.000001 END) * f0 * 2.2 / (f0 + 1.2 * (0.25 + 0.75 * l / a)) + (CASE WHEN (n - d1 + 0.5) / (d1 + 0.5) > 1 THEN ln((n - d1 + 0.5) / (d1 + 0.5)) ELSE 0.000001 END) * f1 * 2.2 / (f1 + 1.2 * (0.25 + 0.75 * l / a))) AS rank FROM p WHERE f0 > 0 OR f1 > 0 ORDER BY rank, id LIMIT 20)"""
+    return f"""SELECT "table", id, round(rank, 6) AS rank FROM ({part('documents', R)} UNION ALL {part('messages', f"(SELECT id, content AS text FROM {M})")}) ORDER BY CASE WHEN "table" = '{bias}' THEN rank * 4 ELSE rank END, rank, "table", id LIMIT 20"""
+
+
+@_query(_multi_sql("none"))
+def bm25_multi_table(spark, d):
+    return _multi(spark, d)
+
+
+@_query(_multi_sql("messages"))
+def bm25_bias(spark, d):
+    return _multi(spark, d, "messages")
+
+
+@_query(f"""WITH {_BASE}, q AS (SELECT item_id AS query_id, list_slice({TOK('text')}, 1, 3) AS terms FROM benchmark), w AS (SELECT query_id, unnest(terms) AS term FROM q),
+  h AS (SELECT id, term, len, count(*) AS f FROM (SELECT id, len(t) AS len, unnest(t) AS term FROM d) WHERE term IN (SELECT term FROM w) GROUP BY ALL), o AS (SELECT term, count(*) AS df FROM h GROUP BY term),
+  r AS (SELECT query_id, id, -sum((CASE WHEN (n - df + 0.5) / (df + 0.5) > 1 THEN ln((n - df + 0.5) / (df + 0.5)) ELSE 0.000001 END) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * len / a))) AS rank FROM w JOIN h USING (term) JOIN o USING (term), s GROUP BY query_id, id)
+  SELECT query_id, id, round(rank, 6) AS rank, CAST(place AS INTEGER) AS place FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(rank, 9), id) AS place FROM r) WHERE place <= 10""")
+def bm25_batch(spark, d):
+    q = A.table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.slice(T.tokens(F.col("text")), 1, 3).alias("terms"))
+    return search.search_many(A.records(spark, d), q, ["text"]).select("query_id", "id", F.round("rank", 6).alias("rank"), F.col("place").cast("int").alias("place"))
+
+
+@_query(f"SELECT term, count(*) AS n, count(DISTINCT id) AS docs FROM (SELECT id, unnest({TOK('text')}) AS term FROM {R}) GROUP BY term")
+def term_frequencies(spark, d):
+    return A.records(spark, d).select("id", F.explode(T.tokens(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("n"), F.countDistinct("id").alias("docs"))
+
+
+@_query(f"SELECT id, sha256({NORM('text')}) AS key FROM {R} WHERE length({NORM('text')}) >= 20")
+def normalise_keys(spark, d):
+    return dedup.candidates(A.records(spark, d), F.col("text")).select("id", "key")
+
+
+_COS = "list_sum(list_transform(list_zip({a}, {b}), lambda z: CAST(z[1] AS DOUBLE) * z[2])) / (sqrt(list_sum(list_transform({a}, lambda x: CAST(x AS DOUBLE) * x))) * sqrt(list_sum(list_transform({b}, lambda x: CAST(x AS DOUBLE) * x))))"
+
+
+@_query(f"SELECT vec_id AS id, round({_COS.format(a='embedding', b='q')}, 6) AS similarity FROM embeddings, (SELECT embedding AS q FROM embeddings WHERE vec_id = 0) ORDER BY {_COS.format(a='embedding', b='q')} DESC, vec_id LIMIT 10")
+def knn_topk(spark, d):
+    e = A.table(spark, d, "embeddings").withColumnRenamed("vec_id", "id")
+    return vector.knn(e, e.filter("id = 0").first()["embedding"], 10).select("id", F.round("similarity", 6).alias("similarity"))
+
+
+@_query(f"SELECT query_id, id, round(s, 6) AS similarity, CAST(place AS INTEGER) AS place FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 9) DESC, id) AS place FROM (SELECT x.vec_id AS query_id, y.vec_id AS id, {_COS.format(a='x.embedding', b='y.embedding')} AS s FROM embeddings x, embeddings y WHERE x.vec_id % 20 = 0)) WHERE place <= 5")
+def knn_batch(spark, d):
+    e = A.table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    return vector.knn_many(e.filter("id % 20 = 0"), e, 5).select("query_id", "id", F.round("similarity", 6).alias("similarity"), F.col("place").cast("int").alias("place"))
+
+
+def _pairs(spark, d, threshold=0.3):
+    e = A.table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").alias("project"), F.col("vec_id").cast("string").alias("key"), "embedding")
+    return vector.pairs(e, threshold)
+
+
+@_query(f"SELECT a, b, round(s, 6) AS similarity FROM (SELECT x.vec_id AS a, y.vec_id AS b, {_COS.format(a='x.embedding', b='y.embedding')} AS s FROM embeddings x JOIN embeddings y ON x.vec_id < y.vec_id AND x.label IS NOT DISTINCT FROM y.label) WHERE s >= 0.3")
+def semantic_pairs(spark, d):
+    return _pairs(spark, d).select("a", "b", F.round("similarity", 6).alias("similarity"))
+
+
+@_query()
+def semantic_greedy_marks(spark, d):
+    e = A.table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").cast("string").alias("project"), F.lit(None).cast("string").alias("provenance"), F.lit(1).alias("chars"), F.lit(5).alias("importance"), F.col("vec_id").alias("minute"))
+    return dedup.mark_greedily(_pairs(spark, d), e).select("survivor", "id", F.round("similarity", 6).alias("similarity"))
+
+
+@_query()
+def leader_clusters(spark, d):
+    return lifecycle.leader_clusters(_pairs(spark, d, 0.25))
+
+
+def _lists(spark, d):
+    place = F.row_number().over(W.orderBy("rank", "id"))
+    fts = search.top(A.records(spark, d), "the OR and OR tion", ["text"], 20).select(F.col("id").alias("key"), place.alias("place"))
+    e = A.table(spark, d, "embeddings").withColumnRenamed("vec_id", "id")
+    near = vector.knn(e, e.filter("id = 0").first()["embedding"], 20)
+    return fts, near.select(F.col("id").alias("key"), F.row_number().over(W.orderBy(F.desc("similarity"), "id")).alias("place"))
+
+
+_FTS20 = _bm25_sql([_tf("the"), _tf("and"), _tf("tion")], "f0 > 0 OR f1 > 0 OR f2 > 0", limit=20, out="id, rank")
+
+
+@_query(f"""WITH a AS (SELECT id AS key, row_number() OVER (ORDER BY rank, id) AS p1 FROM ({_FTS20})), v AS (SELECT vec_id AS key, row_number() OVER (ORDER BY s DESC, vec_id) AS p2 FROM (SELECT vec_id, {_COS.format(a='embedding', b='q')} AS s FROM embeddings, (SELECT embedding AS q FROM embeddings WHERE vec_id = 0) ORDER BY s DESC, vec_id LIMIT 20))
+  SELECT key, round(coalesce(1.0 / (60 + p1), 0) + coalesce(1.0 / (60 + p2), 0), 9) AS score, CASE WHEN p1 IS NULL THEN 'vec' WHEN p2 IS NULL THEN 'fts' ELSE 'both' END AS source FROM a FULL JOIN v USING (key) ORDER BY coalesce(1.0 / (60 + p1), 0) + coalesce(1.0 / (60 + p2), 0) DESC, p1 NULLS LAST, p2 NULLS LAST, key LIMIT 10""")
+def hybrid_search(spark, d):
+    return vector.fuse(*_lists(spark, d), 10).select("key", F.round("score", 9).alias("score"), "source")
+
+
+@_query(f"""WITH a AS (SELECT id AS key, row_number() OVER (ORDER BY rank, id) AS p1 FROM ({_FTS20})) SELECT key, round(1.0 / (60 + p1), 9) AS score, 'fts' AS source FROM a ORDER BY p1 LIMIT 10""")
+def hybrid_degraded(spark, d):
+    fts, _ = _lists(spark, d)
+    return vector.fuse(fts, fts.limit(0), 10).select("key", F.round("score", 9).alias("score"), "source")
+
+
+_EXACT = f"""WITH c AS (SELECT *, {NORM('text')} AS n FROM {R}), g AS (SELECT id, project, first_value(id) OVER w AS survivor, row_number() OVER w AS place FROM c WHERE length(n) >= 20 WINDOW w AS (PARTITION BY coalesce(project, ''), n ORDER BY CASE provenance WHEN 'verbatim' THEN 1 WHEN 'extracted' THEN 2 ELSE 4 END, length(text) DESC, importance DESC, minute DESC, id))"""
+
+
+@_query(_EXACT + " SELECT survivor, id FROM g WHERE place > 1")
+def dedup_exact_plan(spark, d):
+    return _marked(spark, d).select("survivor", "id")
+
+
+@_query(_EXACT + " SELECT survivor, count(*) AS n FROM g WHERE place > 1 GROUP BY survivor")
+def dedup_survivors(spark, d):
+    return _marked(spark, d).groupBy("survivor").agg(F.count("*").alias("n"))
+
+
+@_query(f"SELECT project, count(*) AS n FROM {R} WHERE id NOT IN (SELECT id FROM ({_EXACT} SELECT id FROM g WHERE place > 1)) GROUP BY project")
+def dedup_apply_visible(spark, d):
+    empty = spark.createDataFrame([], "survivor_id long, duplicate_id long, reason string, status string")
+    lineage = dedup.apply_marks(empty, _marked(spark, d), "exact")
+    return dedup.visible(A.records(spark, d), lineage).groupBy("project").agg(F.count("*").alias("n"))
+
+
+@_query(f"SELECT key, array_to_string(list_sort(list(DISTINCT t)), ',') AS tables, count(*) AS n FROM (SELECT 'a' AS t, sha256({NORM('text')}) AS key FROM documents WHERE length({NORM('text')}) >= 20 AND doc_id % 2 = 0 UNION ALL SELECT 'b', sha256({NORM('text')}) FROM documents WHERE length({NORM('text')}) >= 20 AND doc_id % 2 = 1) GROUP BY key HAVING count(DISTINCT t) >= 2")
+def dedup_cross_table(spark, d):
+    rows = A.records(spark, d).withColumn("table", F.when(F.col("id") % 2 == 0, "a").otherwise("b")).withColumn("project", F.lit("all"))
+    return dedup.cross_table(dedup.candidates(rows, F.col("text"))).select("key", F.array_join("tables", ",").alias("tables"), "n")
+
+
+@_query(f"SELECT id, confidence FROM {D} WHERE status = 'active' ORDER BY CASE confidence WHEN 'high' THEN 0 WHEN 'medium' THEN 1 WHEN 'low' THEN 2 ELSE 1 END, created DESC, id DESC LIMIT 50")
+def recent_decisions(spark, d):
+    key = F.when(F.col("confidence") == "high", 0).when(F.col("confidence") == "low", 2).otherwise(1)
+    return A.decisions(spark, d).filter("status = 'active'").orderBy(key, F.desc("created"), F.desc("id")).limit(50).select("id", "confidence")
+
+
+@_query(f"SELECT id FROM {D} WHERE status = 'superseded' AND project = 'c3' ORDER BY created DESC, id DESC LIMIT 100")
+def list_by_status(spark, d):
+    return A.decisions(spark, d).filter("status = 'superseded' AND project = 'c3'").orderBy(F.desc("created"), F.desc("id")).limit(100).select("id")
+
+
+@_query(f"SELECT id, minute FROM {M} WHERE project = 'p2' ORDER BY minute DESC, id DESC LIMIT 20")
+def recent_messages(spark, d):
+    return A.messages(spark, d).filter("project = 'p2'").orderBy(F.desc("minute"), F.desc("id")).limit(20).select("id", "minute")
+
+
+@_query(f"""SELECT 'messages' AS "table", count(*) AS n, count(*) FILTER (WHERE role = 'user') AS n_filtered FROM {M} UNION ALL SELECT 'documents', count(*), count(*) FILTER (WHERE provenance IS NOT NULL) FROM {R} UNION ALL SELECT 'decisions', count(*), count(*) FILTER (WHERE status = 'active') FROM {D}""")
+def stats_counts(spark, d):
+    return quality.counts({"messages": (A.messages(spark, d), F.col("role") == "user"), "documents": (A.records(spark, d), F.col("provenance").isNotNull()), "decisions": (A.decisions(spark, d), F.col("status") == "active")})
+
+
+@_query(f"SELECT coalesce(provenance, 'unknown') AS value, count(*) AS n FROM {R} GROUP BY 1 UNION ALL SELECT 'derived', 0")
+def provenance_histogram(spark, d):
+    return quality.histogram(A.records(spark, d), "provenance", ("unknown", "derived"))
+
+
+@_query(f"SELECT m.id FROM {M} m WHERE minute < 3000 AND session_id IN (SELECT id FROM {R} WHERE importance >= 6) AND id % 7 <> 0")
+def prune_messages(spark, d):
+    m, r = A.messages(spark, d), A.records(spark, d)
+    return lifecycle.prune_messages(m, r.filter("importance >= 6").select(F.col("id").alias("session_id")), m.filter("id % 7 = 0"), 3000).select("id")
+
+
+@_query(f"SELECT id FROM {D} WHERE status IN ('superseded', 'reverted') AND created < TIMESTAMP '2001-09-01' - INTERVAL 90 DAY")
+def prune_plan(spark, d):
+    return lifecycle.prune_decisions(A.decisions(spark, d), "2001-09-01", 180).select("id")
+
+
+@_query(f"SELECT id, id % 11 = 0 AS protected FROM {R} WHERE minute < 800 AND importance < 5")
+def age_plan(spark, d):
+    r = A.records(spark, d)
+    return lifecycle.plan_age(r, r.filter("id % 11 = 0"), 800).select("id", "protected")
+
+
+@_query(f"SELECT project, count(*) AS matched, count(*) FILTER (WHERE id % 11 = 0) AS protected FROM {R} WHERE minute < 800 AND importance < 5 GROUP BY project")
+def age_protected_counts(spark, d):
+    r = A.records(spark, d)
+    return lifecycle.plan_age(r, r.filter("id % 11 = 0"), 800).groupBy("project").agg(F.count("*").alias("matched"), F.count_if("protected").alias("protected"))
+
+
+@_query(f"SELECT id, new_importance FROM (SELECT *, CASE confidence WHEN 'high' THEN 7 WHEN 'low' THEN 3 ELSE 5 END AS new_importance FROM {D}) WHERE importance = 5 AND importance <> new_importance")
+def importance_backfill(spark, d):
+    return lifecycle.importance_backfill(A.decisions(spark, d)).select("id", "new_importance")
+
+
+@_query(f"SELECT id, 'extracted' AS new_provenance FROM {R} WHERE provenance IS NULL AND length(text) >= 500")
+def provenance_backfill(spark, d):
+    return lifecycle.provenance_backfill(A.records(spark, d), F.length("text") >= 500, "extracted").select("id", "new_provenance")
+
+
+@_query(f"SELECT status, count(*) AS n FROM (SELECT CASE WHEN id % 3 = 0 AND status = 'active' THEN 'superseded' ELSE status END AS status FROM {D}) GROUP BY status")
+def supersede(spark, d):
+    x = A.decisions(spark, d)
+    return lifecycle.set_status(x, x.filter("id % 3 = 0"), "superseded").groupBy("status").agg(F.count("*").alias("n"))
+
+
+@_query(f"SELECT project, bucket, n, representative, bucket * 1440 AS from_minute FROM (SELECT coalesce(project, '') AS project, CAST(floor(minute / 1440.0) AS BIGINT) AS bucket, count(*) AS n, arg_max(id, (length(text), importance, minute, -id)) AS representative FROM {R} WHERE minute < 100000 AND importance < 5 GROUP BY 1, 2) WHERE n >= 3")
+def consolidate_buckets(spark, d):
+    return lifecycle.consolidate(A.records(spark, d).withColumn("chars", F.length("text")), 1, 100000)
+
+
+@_query(f"""WITH a AS (SELECT 'loa' AS "table", 0 AS priority, id, importance, minute FROM {R} ORDER BY importance DESC, minute DESC, id DESC LIMIT 6), p AS (SELECT *, row_number() OVER (ORDER BY importance DESC, minute DESC, id DESC) AS place FROM a),
+  b AS (SELECT * FROM (SELECT 'messages' AS "table", 1 AS priority, id, importance, minute, row_number() OVER (ORDER BY importance DESC, minute DESC, id DESC) AS place FROM {M}) WHERE place <= 12), u AS (SELECT *, priority = 0 AND place <= 4 AS reserved FROM (SELECT * FROM p UNION ALL SELECT * FROM b))
+  SELECT "table", priority, id, importance, minute, reserved FROM u ORDER BY reserved DESC, importance DESC, priority, minute DESC, id DESC LIMIT 12""")
+def l1_assembly(spark, d):
+    cols = lambda df, n, p: df.select(F.lit(n).alias("table"), F.lit(p).alias("priority"), "id", "importance", "minute")
+    return lifecycle.tiered_context(cols(A.records(spark, d), "loa", 0), cols(A.messages(spark, d), "messages", 1))
+
+
+_FREC = "SELECT user_id, n, CASE WHEN age < 60 THEN n * 4.0 WHEN age < 1440 THEN n * 2.0 WHEN age < 10080 THEN n * 0.5 ELSE n * 0.25 END AS score FROM (SELECT user_id, count(*) AS n, 43200 - max(CAST(floor(epoch(ts) / 60) AS BIGINT) - 28401120) AS age FROM events GROUP BY user_id)"
+
+
+def _frecency(spark, d):
+    minute = F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / 60) - 28401120  # minutes since 2024-01-01
+    e = A.table(spark, d, "events").groupBy("user_id").agg(F.count("*").alias("n"), F.max(minute).alias("last"))
+    return e.select("user_id", "n", lifecycle.frecency(F.col("n"), F.col("last"), 43200).alias("score"))
+
+
+@_query(f"SELECT user_id, n, CAST(score AS DOUBLE) AS score FROM ({_FREC})")
+def frecency(spark, d):
+    return _frecency(spark, d)
+
+
+@_query(f"SELECT user_id, n, round(CAST(score AS DOUBLE) * CASE WHEN (SELECT sum(score) FROM ({_FREC})) > 1000 THEN 0.9 ELSE 1.0 END, 6) AS score FROM ({_FREC})")
+def global_aging(spark, d):
+    return lifecycle.age_scores(_frecency(spark, d), 1000).withColumn("score", F.round("score", 6))
+
+
+@_query("SELECT doc_id, length(regexp_replace(text, '[\\x{200B}-\\x{200F}\\x{202A}-\\x{202E}\\x{2066}-\\x{2069}\\x{FEFF}]', '', 'g')) AS n FROM documents")
+def strip_invisible(spark, d):
+    return A.table(spark, d, "documents").select("doc_id", F.length(T.strip_invisible(F.col("text"))).cast("long").alias("n"))
+
+
+@_query()
+def redact_secrets(spark, d):
+    keywords = r"(?:api[_-]?key|apikey|secret(?:[_-]?key)?|access[_-]?token|auth[_-]?token|client[_-]?secret|password|passwd|token)"
+    t = A.table(spark, d, "documents").withColumn("clean", T.redact(F.col("text"), keywords))
+    return t.filter("clean <> text").select("doc_id", F.sha2("clean", 256).alias("sha"))
+
+
+@_query("SELECT doc_id, len(regexp_extract_all(text, '(?i)<\\|?(?:im_start|im_end|system|endoftext)\\|?>')) AS n FROM documents")
+def threat_counts(spark, d):
+    t = A.table(spark, d, "documents")
+    return t.select("doc_id", F.regexp_count("text", F.lit(T.THREATS[3][1])).cast("long").alias("n"))
+
+
+@_query()
+def threat_findings(spark, d):
+    return A.table(spark, d, "conversations").select("conv_id", "turn", F.explode(T.threats("text")).alias("f")).select("conv_id", "turn", "f.*")
+
+
+@_query()
+def correction_labels(spark, d):
+    return A.messages(spark, d).filter("role = 'user'").select("id", T.correction_label(F.col("content")).alias("label"))
+
+
+@_query("SELECT doc_id, len(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '')) >= 50 AND length(regexp_replace(text, '\\s', '', 'g')) >= 100 AS good FROM documents")
+def quality_gate(spark, d):
+    return A.table(spark, d, "documents").select("doc_id", T.passes_quality(F.col("text")).alias("good"))
+
+
+@_query(f"""SELECT session_id, string_agg(upper(role) || ': ' || CASE WHEN length(content) > 4000 THEN substr(content, 1, 4000) || '...[truncated]' ELSE content END, chr(10) || chr(10) ORDER BY minute, id) AS transcript, count(*) AS n FROM {M} WHERE role IN ('user', 'assistant') AND length(content) >= 10 AND NOT starts_with(content, '[{{') AND NOT starts_with(content, '{{"tool_use_id"') GROUP BY session_id""")
+def transcript_slice(spark, d):
+    return ingest.transcript_slice(A.messages(spark, d))
+
+
+@_query(f"SELECT session_id, min(minute) AS started, max(minute) AS ended, count(*) AS n FROM {M} GROUP BY session_id")
+def session_bounds(spark, d):
+    return ingest.session_bounds(A.messages(spark, d))
+
+
+@_query(f"SELECT min(id) AS id, session_id, content FROM {M} m WHERE id % 2 = 1 AND NOT EXISTS (SELECT 1 FROM {M} e WHERE e.id % 2 = 0 AND e.session_id IS NOT DISTINCT FROM m.session_id AND e.content IS NOT DISTINCT FROM m.content) GROUP BY session_id, content")
+def idempotent_append(spark, d):
+    m = A.messages(spark, d)
+    return ingest.append_new(m.filter("id % 2 = 0"), m.filter("id % 2 = 1"), ["session_id", "content"], [F.col("id")]).select("id", "session_id", "content")
+
+
+@_query("""SELECT 'orders-without-lines' AS "check", count(*) AS n, array_to_string(list_slice(list_sort(list(o_orderkey)), 1, 5), ',') AS samples FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem) HAVING count(*) > 0
+  UNION ALL SELECT 'lines-without-orders', count(*), '' FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders) HAVING count(*) > 0""")
+def orphan_checks(spark, d):
+    o, li = A.table(spark, d, "orders"), A.table(spark, d, "lineitem")
+    both = quality.orphans(o, "o_orderkey", li, "l_orderkey", "o_orderkey", "orders-without-lines").unionByName(quality.orphans(li, "l_orderkey", o, "o_orderkey", "l_orderkey", "lines-without-orders"))
+    return both.withColumn("samples", F.array_join("samples", ","))
+
+
+@_query(f"SELECT id FROM {R} WHERE length(text) >= 10 AND id NOT IN (SELECT vec_id FROM embeddings)")
+def embed_gaps(spark, d):
+    return quality.gaps(A.records(spark, d), A.table(spark, d, "embeddings").select(F.col("vec_id").alias("id")), "text").select("id")
+
+
+@_query(f"SELECT e.label AS \"table\", count(*) AS n, CAST(sum(len(embedding) * 4) AS BIGINT) AS bytes FROM embeddings e GROUP BY e.label")
+def embed_stats(spark, d):
+    return A.table(spark, d, "embeddings").groupBy(F.col("label").alias("table")).agg(F.count("*").alias("n"), F.sum(F.size("embedding") * 4).alias("bytes"))
+
+
+@_query(f"SELECT c AS range_id, count(id) AS n, 8 - count(id) AS missing FROM (SELECT DISTINCT conv_id AS c FROM conversations) LEFT JOIN {M} ON id BETWEEN c * 1000 AND c * 1000 + 7 AND session_id = c GROUP BY c")
+def range_join_quotes(spark, d):
+    m = A.messages(spark, d)
+    ranges = m.select(F.col("session_id").alias("c")).distinct()
+    own = m.select("id", "session_id")
+    j = ranges.join(own, (F.col("session_id") == F.col("c")) & F.col("id").between(F.col("c") * 1000, F.col("c") * 1000 + 7), "left")
+    return j.groupBy(F.col("c").alias("range_id")).agg(F.count("id").alias("n"), (8 - F.count("id")).alias("missing"))
+
+
+@_query("WITH RECURSIVE r AS (SELECT p_partkey AS id, CASE WHEN p_partkey > 1 THEN p_partkey // 2 END AS parent FROM part), t AS (SELECT CAST(3 AS BIGINT) AS id, 0 AS depth UNION ALL SELECT r.id, depth + 1 FROM r JOIN t ON r.parent = t.id) SELECT id, depth FROM t")
+def lineage_closure(spark, d):
+    rows = A.table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.when(F.col("p_partkey") > 1, F.expr("p_partkey div 2")).alias("parent"))
+    return graph.descendants(rows, "parent", spark.createDataFrame([(3,)], "id long"))
+
+
+_TRUTH = "SELECT item_id AS query_id, doc_id AS id FROM benchmark, documents WHERE doc_id % 40 = item_id % 40 AND doc_id < 400"
+
+
+@_query(f"WITH t AS ({_TRUTH}), r AS (SELECT item_id AS query_id, (item_id * 3 + g * 17) % 400 AS id, g AS place FROM benchmark, range(1, 11) AS x(g)), h AS (SELECT query_id, count(*) AS hits, min(place) AS first FROM r JOIN t USING (query_id, id) WHERE place <= 5 GROUP BY query_id) SELECT query_id, round(coalesce(hits, 0) / 5.0, 6) AS precision, round(coalesce(hits, 0) / relevant, 6) AS recall, round(coalesce(1.0 / first, 0), 6) AS rr FROM (SELECT query_id, count(DISTINCT id) AS relevant FROM t GROUP BY query_id) LEFT JOIN h USING (query_id)")
+def retrieval_metrics(spark, d):
+    b, docs = A.table(spark, d, "benchmark").select(F.col("item_id").alias("query_id")), A.table(spark, d, "documents").filter("doc_id < 400").select(F.col("doc_id").alias("id"))
+    truth = b.withColumn("k", F.col("query_id") % 40).join(docs.withColumn("k", F.col("id") % 40), "k").select("query_id", "id")
+    results = b.select("query_id", F.explode(F.sequence(F.lit(1), F.lit(10))).alias("place")).withColumn("id", (F.col("query_id") * 3 + F.col("place") * 17) % 400)
+    m = quality.retrieval_metrics(results, truth)
+    return m.select("query_id", *(F.round(c, 6).alias(c) for c in ("precision", "recall", "rr")))
+
+
+@_query("SELECT event_type, percentile_disc(0.5) WITHIN GROUP (ORDER BY value) AS p50, percentile_disc(0.95) WITHIN GROUP (ORDER BY value) AS p95 FROM events GROUP BY event_type")
+def percentile_nearest_rank(spark, d):
+    return quality.nearest_rank(A.table(spark, d, "events"), "event_type", "value")
+
+
+_EVENTS = "SELECT user_id AS session_id, event_id, event_type IN ('view', 'click') AS is_turn FROM events"
+
+
+def _session_events(spark, d):
+    return A.table(spark, d, "events").select(F.col("user_id").cast("long").alias("session_id"), F.col("event_id").cast("long").alias("event_id"), F.col("event_type").isin("view", "click").alias("is_turn"))
+
+
+@_query(f"SELECT session_id, count(*) FILTER (WHERE is_turn) AS turns, count(*) FILTER (WHERE NOT is_turn) AS tools, max(event_id) AS last FROM ({_EVENTS}) GROUP BY session_id")
+def session_progress(spark, d):
+    return _session_events(spark, d).groupBy("session_id").agg(F.count_if("is_turn").alias("turns"), F.count_if(~F.col("is_turn")).alias("tools"), F.max("event_id").alias("last"))
+
+
+@_query()
+def cadence_fires(spark, d):
+    return progress.cadence_batch(_session_events(spark, d))
+
+
+@_query()
+def correction_gate(spark, d):
+    e = A.table(spark, d, "events").select(F.col("user_id").cast("long").alias("session_id"), F.row_number().over(W.partitionBy("user_id").orderBy("event_id")).cast("long").alias("n"), (F.col("event_type") == "click").alias("is_correction"))
+    return progress.correction_gate(e)
+
+
+@_query("SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS start, event_type, count(*) AS n FROM events GROUP BY ALL")
+def tumbling_activity(spark, d):
+    return progress.tumbling(A.table(spark, d, "events")).withColumn("start", F.date_format("start", "yyyy-MM-dd HH:mm:ss"))
+
+
+@_query("WITH o AS (SELECT user_id, ts, CASE WHEN ts <= lag(ts) OVER w + INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), g AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS s FROM o) SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start, count(*) AS n FROM g GROUP BY user_id, s")
+def session_windows(spark, d):
+    return progress.sessions(A.table(spark, d, "events")).withColumn("start", F.date_format("start", "yyyy-MM-dd HH:mm:ss"))
+
+
+@_query(f"SELECT count(*) AS n, max(minute) AS last, CASE WHEN max(minute) > 6000 - 48 * 60 THEN 'PASS' ELSE 'WARN' END AS state FROM {M}")
+def freshness(spark, d):
+    return quality.freshness(A.messages(spark, d), "minute", 6000)
 
 
-def oracle_sql() -> dict:
-    return {}
+@_query()
+def export_manifest(spark, d):
+    return quality.manifest({"messages": A.messages(spark, d), "documents": A.records(spark, d), "decisions": A.decisions(spark, d)})
