@@ -172,7 +172,10 @@ def links(fps: DataFrame, radius: int = 3, most: int = 64) -> DataFrame:
         if len(held_k) and (rows := out(held_k, held_l)) is not None:
             yield rows
 
-    emitted = fps.select("fp").mapInArrow(emit, "key long, load int")
+    # A few bytes a row before, 196 rows after: dealt out first, or one task would emit for a whole file.
+    spark = fps.sparkSession
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    emitted = fps.select("fp").repartition(tasks).mapInArrow(emit, "key long, load int")
     shuffled = emitted.repartition("key").sortWithinPartitions("key")
     return shuffled.mapInArrow(meet, "a long, b long").distinct()
 
