@@ -12,6 +12,7 @@ Null text is an empty document (its end id only). Rows that repeat are packed ea
 from __future__ import annotations
 
 import os
+import re
 import zlib
 
 import numpy as np
@@ -25,30 +26,63 @@ from .common import slices, stage
 END_ID = 1
 
 
+#: Chunks of these letters, digits and signs alone are cut as the tokenizer cuts them: they have no composing marks,
+#: and their lower case is letter by letter.
+_PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]*")
+_CUT = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
+
+
 class ChunkTokenizer:
-    """Ids of a text by a tokenizer whose pre-tokens never cross white space, kept for each chunk between blanks."""
+    """Ids of a text by a tokenizer whose pre-tokens never cross white space. Ids are kept for chunks between blanks
+    and, below them, for pre-tokens, up to a bound."""
 
-    def __init__(self, path: str, room: int = 300_000):
+    def __init__(self, path: str, room: int = 250_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.room, self.known = Tokenizer.from_file(path), room, {}
+        self.tokenizer, self.room = Tokenizer.from_file(path), room
+        self.chunks: dict[str, bytes] = {"": b""}
+        self.parts: dict[str, bytes] = {}
+
+    def _parts(self, todo: list[str]) -> list[bytes]:
+        """Ids of pre-tokens, encoded together: each is one word of the joined text."""
+        e = self.tokenizer.encode(" ".join(todo), add_special_tokens=False)
+        words = np.array(e.word_ids, np.int64)
+        ends = np.searchsorted(words, np.arange(len(todo)), "right")
+        if len(words) and words[-1] != len(todo) - 1:
+            return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(todo, add_special_tokens=False)]
+        ids, ends = np.array(e.ids, "<u4").tobytes(), (4 * ends).tolist()
+        return [ids[i:j] for i, j in zip([0, *ends], ends)]
+
+    def _learn(self, new: list[str]) -> dict[str, bytes]:
+        parts, cut, whole, todo = self.parts, {}, [], {}
+        for c in new:
+            # A special token's string is taken from the text as it stands, so such a chunk stays whole.
+            if _PLAIN.fullmatch(c) and "<|" not in c:
+                cut[c] = own = _CUT.findall(c.lower())
+                for p in own:
+                    if p not in parts:
+                        todo[p] = b""
+            else:
+                whole.append(c)
+        out = {c: np.array(e.ids, "<u4").tobytes() for c, e in zip(whole, self.tokenizer.encode_batch_fast(whole, add_special_tokens=False))} if whole else {}
+        if todo:
+            todo = dict(zip(todo, self._parts(list(todo))))
+            if len(parts) < self.room:
+                parts.update(todo)
+        for c, own in cut.items():
+            out[c] = b"".join([todo[p] if p in todo else parts[p] for p in own])
+        return out
 
     def encode(self, texts: list) -> list[bytes]:
         """For each text its ids as little-endian 32-bit words."""
         cut = [(t or "").replace("\n", " ").replace("\t", " ").split(" ") for t in texts]
-        known = self.known
-        new = [c for c in {c for chunks in cut for c in chunks} if c not in known]
-        fresh = {}
-        if new:
-            # Plain ASCII words differ only by case, which the tokenizer folds; a special token's string is kept as it is.
-            forms = {c: c.lower() if c.isascii() and "<|" not in c else c for c in new}
-            todo = [f for f in set(forms.values()) if f not in known]
-            ids = {f: np.array(e.ids, "<u4").tobytes() for f, e in zip(todo, self.tokenizer.encode_batch_fast(todo, add_special_tokens=False))}
-            fresh = {c: ids[f] if f in ids else known[f] for c, f in forms.items()}
-            if len(known) < self.room:
-                known.update(fresh)
-                fresh = {}
+        known = self.chunks
+        new = [c for c in set().union(*cut) if c not in known]
+        fresh = self._learn(new) if new else {}
+        if len(known) < self.room:
+            known.update(fresh)
+            fresh = {}
         if fresh:
             return [b"".join([known[c] if c in known else fresh[c] for c in chunks]) for chunks in cut]
         return [b"".join([known[c] for c in chunks]) for chunks in cut]
