@@ -9,7 +9,8 @@ the boundary rows, and those are scored exactly.
 Every (block of queries, block of rows) is one bounded group, dealt by key; nothing is broadcast or collected. Vectors
 that are null, empty or hold a null or a non-finite component take no part, nor do rows without an id. Vectors of
 different lengths are never compared. A (vec_id, vector) row that repeats counts once; where one id has several
-vectors, the smallest is its query. Components beyond +-2^20 after scaling are clipped.
+vectors, the smallest is its query. Vectors with a component beyond +-2^20 after scaling stay out of the index and are
+scored exactly in whole numbers, as queries and as rows; a score that no long holds is the nearest long.
 """
 
 from __future__ import annotations
@@ -22,15 +23,17 @@ from pyspark.sql import functions as F
 
 from .common import stage
 
-_LIMIT = 1 << 20
+_LIMIT, _MOST = 1 << 20, (1 << 63) - 1
 _ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
 def quantise(vectors: DataFrame, vector: str = "embedding", scale: int = 256) -> DataFrame:
-    """vec_id, v (array of long)."""
+    """vec_id, v (array of int) and wide (array of long): one of them is null."""
     ok = F.col("vec_id").isNotNull() & F.col(vector).isNotNull() & (F.size(vector) > 0) & ~F.exists(vector, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    scaled = F.transform(vector, lambda x: F.greatest(F.least(F.floor(x.cast("double") * scale), F.lit(_LIMIT)), F.lit(-_LIMIT)).cast("int"))
-    return vectors.filter(F.coalesce(ok, F.lit(False))).select(F.col("vec_id").cast("long").alias("vec_id"), scaled.alias("v")).distinct()
+    scaled = F.transform(vector, lambda x: F.greatest(F.floor(x.cast("double") * scale), F.lit(-_MOST)))
+    narrow = F.forall("wide", lambda x: F.abs(x) <= _LIMIT)
+    known = vectors.filter(F.coalesce(ok, F.lit(False))).select(F.col("vec_id").cast("long").alias("vec_id"), scaled.alias("wide"))
+    return known.select("vec_id", F.when(narrow, F.col("wide").cast("array<int>")).alias("v"), F.when(~narrow, F.col("wide")).alias("wide")).distinct()
 
 
 def _slices(values: np.ndarray, bits: int) -> np.ndarray:
@@ -130,29 +133,51 @@ class BitSlicedBlock:
             yield scores[best], self.ids[rows[best]]
 
 
+def _exactly(weights: np.ndarray, ids: np.ndarray, values: np.ndarray, k: int, own: np.ndarray):
+    """For each query the k best (score, row) by arithmetic of any size."""
+    rows = values.astype(object)
+    for query, mine in zip(weights.astype(object), own):
+        other = np.flatnonzero(ids != mine)
+        scores = rows[other] @ query
+        best = sorted(range(len(other)), key=lambda i: (-scores[i], ids[other[i]]))[:k]
+        yield np.array([max(min(scores[i], _MOST), -_MOST) for i in best], np.int64), ids[other[best]]
+
+
 def top_k(vectors: DataFrame, k: int = 5, every: int = 50, vector: str = "embedding", query_block: int = 256, row_block: int = 4096) -> DataFrame:
     """Queries are the rows whose vec_id is divisible by `every`. Returns query_id, rank, vec_id, score."""
-    rows = stage(quantise(vectors, vector), "vectors").withColumn("dim", F.size("v"))
-    queries = rows.filter(F.col("vec_id") % every == 0).groupBy("vec_id", "dim").agg(F.min("v").alias("v"))
+    rows = stage(quantise(vectors, vector), "vectors").withColumn("dim", F.size(F.coalesce("v", "wide")))
+    queries = rows.filter(F.col("vec_id") % every == 0).groupBy("vec_id", "dim").agg(F.min(F.struct("v", "wide")).alias("least")).select("vec_id", "dim", "least.*")
     n, m = (max(1, -(-x.count() // size)) for x, size in ((rows, row_block), (queries, query_block)))
     block = lambda of, seed: F.pmod(F.xxhash64("vec_id", F.lit(seed)), F.lit(of)).cast("int")
-    dealt = rows.select("dim", block(n, 1).alias("rb"), F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias("qb"), F.lit(False).alias("query"), "vec_id", "v").unionByName(
-        queries.select("dim", block(m, 2).alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("rb"), F.lit(True).alias("query"), "vec_id", "v")
+    dealt = rows.select("dim", block(n, 1).alias("rb"), F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias("qb"), F.lit(False).alias("query"), "vec_id", "v", "wide").unionByName(
+        queries.select("dim", block(m, 2).alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("rb"), F.lit(True).alias("query"), "vec_id", "v", "wide")
     )
 
     def search(table: pa.Table) -> pa.Table:
         is_query = table.column("query").to_numpy(zero_copy_only=False)
         ids, dim = table.column("vec_id").to_numpy(), table.column("dim")[0].as_py()
-        values = table.column("v").combine_chunks().flatten().to_numpy().reshape(-1, dim).astype(np.int64)
+        is_wide = table.column("v").is_null().to_numpy(zero_copy_only=False)
+        values = np.empty((len(ids), dim), np.int64)
+        for name, at in (("v", ~is_wide), ("wide", is_wide)):
+            if at.any():
+                values[at] = table.column(name).combine_chunks().flatten().to_numpy().reshape(-1, dim)
         out: list[list] = [[], [], []]
-        if is_query.any() and not is_query.all():
-            index = BitSlicedBlock(ids[~is_query], values[~is_query])
-            asked, weights = ids[is_query], values[is_query]
+
+        def keep(asked, tops):
+            for q, (scores, found) in zip(asked, tops):
+                out[0] += [int(q)] * len(found)
+                out[1] += found.tolist()
+                out[2] += scores.tolist()
+
+        plain = ~is_query & ~is_wide
+        if is_query.any() and plain.any():
+            index, asked = BitSlicedBlock(ids[plain], values[plain]), np.flatnonzero(is_query & ~is_wide)
             for at in range(0, len(asked), 64):
-                for q, (scores, found) in zip(asked[at : at + 64], index.top(weights[at : at + 64], k, asked[at : at + 64])):
-                    out[0] += [int(q)] * len(found)
-                    out[1] += found.tolist()
-                    out[2] += scores.tolist()
+                own = asked[at : at + 64]
+                keep(ids[own], index.top(values[own], k, ids[own]))
+        for asked, rows in ((is_query & ~is_wide, ~is_query & is_wide), (is_query & is_wide, ~is_query)):
+            if asked.any() and rows.any():
+                keep(ids[asked], _exactly(values[asked], ids[rows], values[rows], k, ids[asked]))
         return pa.table([pa.array(c, pa.int64()) for c in out], ["query_id", "vec_id", "score"])
 
     found = dealt.groupBy("dim", "rb", "qb").applyInArrow(search, "query_id long, vec_id long, score long")

@@ -178,6 +178,19 @@ def test_bitslice(spark):
     assert bitslice.top_k(df.limit(0)).count() == 0
 
 
+def test_bitslice_of_huge_components(spark):
+    rng = np.random.default_rng(2)
+    vectors = [(i, [float(x) * 2.0 ** (int(rng.integers(10, 40)) if i % 25 == 0 else 0) for x in rng.normal(0, 1, 6)]) for i in range(200)]
+    df = spark.createDataFrame(vectors, "vec_id long, embedding array<double>")
+    clean = {i: [int(np.floor(256 * x)) for x in v] for i, v in vectors}
+    expected, most = set(), (1 << 63) - 1
+    for q in range(0, 200, 50):
+        scores = sorted((-max(-most, min(most, sum(a * b for a, b in zip(clean[q], v)))), i) for i, v in clean.items() if i != q)
+        expected |= {(q, n, i, -s) for n, (s, i) in enumerate(scores[:5], 1)}
+    assert any(abs(x) > 1 << 40 for v in clean.values() for x in v)
+    assert {tuple(r) for r in bitslice.top_k(df, query_block=2, row_block=64).collect()} == expected
+
+
 def test_rotation(spark):
     turns = [(1, 0, "system", "S"), (1, 1, "ann", "hi"), (1, 2, "bob", None), (2, 0, None, "é"), (3, 0, "system", "x"), (1, 1, "ann", "hi")]
     df = spark.createDataFrame([(*t, "z") for t in turns], "conv_id long, turn long, role string, text string, mask string")
