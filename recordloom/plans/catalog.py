@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions import extraction
 from ..functions import text as T
-from ..operators import dedup, lifecycle, quality, search, vector
+from ..operators import dedup, lifecycle, quality, search, upkeep, vector
 from ..sources import adapter as A
-from ..sources import ingest
+from ..sources import formats, ingest
 from ..streaming import progress
 from . import graph
 
@@ -485,3 +486,105 @@ def freshness(spark, d):
 @_query()
 def export_manifest(spark, d):
     return quality.manifest({"messages": A.messages(spark, d), "documents": A.records(spark, d), "decisions": A.decisions(spark, d)})
+
+
+_O = "SELECT o_orderkey AS id, o_orderstatus AS status, o_totalprice AS price FROM orders"
+
+
+def _orders(spark, d):
+    return A.table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("status"), F.col("o_totalprice").alias("price"))
+
+
+@_query(f"SELECT id, CASE WHEN id % 4 = 0 THEN 'new' ELSE status END AS status, price FROM ({_O})")
+def upsert_newest(spark, d):
+    o = _orders(spark, d)
+    batch = o.filter("id % 4 = 0").withColumn("version", F.explode(F.array(F.lit(1), F.lit(2)))).withColumn("status", F.when(F.col("version") == 2, "new").otherwise("old"))
+    return upkeep.newest_wins(o.withColumn("version", F.lit(0)), batch, ["id"], [F.desc("version")]).drop("version")
+
+
+@_query(f"SELECT id, CASE WHEN id % 3 = 0 THEN 'new' ELSE status END AS status, price FROM ({_O}) WHERE id % 2 = 0 OR id % 3 = 0")
+def upsert_fill_in(spark, d):
+    o = _orders(spark, d)
+    batch = o.filter("id % 3 = 0").select("id", F.lit("new").alias("status"), F.when(F.col("id") % 2 != 0, F.col("price")).alias("price"))
+    return upkeep.fill_in(o.filter("id % 2 = 0"), batch, ["id"])
+
+
+@_query('SELECT event_type AS "table", user_id AS id, count(DISTINCT event_id // 5) AS access_count, max(event_id) AS last_accessed FROM events GROUP BY 1, 2')
+def access_totals(spark, d):
+    e = A.table(spark, d, "events").select(F.col("event_type").alias("table"), F.col("user_id").alias("id"), F.expr("event_id div 5").alias("result_set"), F.col("event_id").alias("at"))
+    return upkeep.access_totals(e)
+
+
+_NEW = "thtion thing thble ering nicht erble and thtion"
+
+
+@_query(rf"SELECT id, shared FROM (SELECT id, len(list_filter(string_split('{_NEW}', ' '), lambda w: length(w) > 4 AND list_contains(regexp_split_to_array(lower(content), '[\t-\r ]+'), w))) AS shared FROM {M}) WHERE shared >= 1")
+def superseded_by_words(spark, d):
+    m = A.messages(spark, d).select("id", F.col("content").alias("decision"), F.lit("active").alias("status"))
+    return upkeep.superseded_by(m, _NEW, 1).select("id", F.col("shared").cast("long").alias("shared"))
+
+
+@_query("SELECT path, size, reason FROM (SELECT doc_id AS path, n_chars AS size, CASE WHEN doc_id % 5 = 0 THEN 'new' WHEN doc_id % 5 = 1 THEN CASE WHEN doc_id % 2 = 0 THEN 'retry' END WHEN (n_chars - floor(n_chars / (doc_id % 5))) / floor(n_chars / (doc_id % 5)) > 0.5 THEN 'grew' END AS reason FROM documents WHERE n_chars >= 2000) WHERE reason IS NOT NULL")
+def extraction_queue(spark, d):
+    docs = A.table(spark, d, "documents")
+    files = docs.select(F.col("doc_id").alias("path"), F.col("n_chars").alias("size"))
+    k, at = F.col("doc_id") % 5, lambda day: F.to_timestamp(F.lit(f"2024-01-{day:02d}"))
+    tracker = docs.filter(k > 0).select(
+        F.col("doc_id").alias("path"), F.floor(F.col("n_chars") / k).alias("seen_size"), F.when(k > 1, at(1)).alias("extracted_at"), F.when(k == 1, at(8)).alias("failed_at"),
+        F.when((k == 1) & (F.col("doc_id") % 2 != 0), at(20)).alias("retry_after"),
+    )
+    return upkeep.extraction_queue(files, tracker, at(10))
+
+
+@_query(f"""SELECT 'documents' AS "table", id, minute FROM (SELECT id, minute FROM {R} ORDER BY minute DESC, id DESC LIMIT 3) UNION ALL SELECT 'messages', id, minute FROM (SELECT id, minute FROM {M} ORDER BY minute DESC, id DESC LIMIT 2)""")
+def recent_mix(spark, d):
+    return upkeep.recent_mix({"documents": (A.records(spark, d), 3), "messages": (A.messages(spark, d), 2)})
+
+
+@_query(f"SELECT id FROM {M} WHERE id > (SELECT max(id) FROM {M} WHERE id % 10 = 0 AND session_id < 20)")
+def messages_since_last(spark, d):
+    m = A.messages(spark, d)
+    return upkeep.since_last(m, m.filter("id % 10 = 0 AND session_id < 20").select(F.col("id").alias("range_end"))).select("id")
+
+
+@_query("SELECT count(*) AS n, count(*) FILTER (WHERE label % 2 = 1) AS n_other, CASE WHEN count(*) FILTER (WHERE label % 2 = 1) > 0 THEN 'stale' ELSE 'match' END AS state FROM embeddings")
+def embedding_marker(spark, d):
+    e = A.table(spark, d, "embeddings").select(F.concat(F.lit("m"), (F.col("label") % 2).cast("string")).alias("model"), F.size("embedding").alias("dimensions"))
+    return upkeep.marker_state(e, "m0", 64)
+
+
+@_query(f"SELECT count(*) FILTER (WHERE id % 9 = 0) AS lacking, CAST(0 AS BIGINT) AS differing, CAST(0 AS BIGINT) AS surplus, 'drift' AS state FROM {R}")
+def index_drift(spark, d):
+    r = A.records(spark, d)
+    return upkeep.index_state(r, upkeep.index_rows(r, ["text"]).filter("id % 9 <> 0"), ["text"])
+
+
+@_query(f"SELECT id FROM {R} WHERE minute + 100 < 500 AND id % 13 <> 0")
+def prune_expired(spark, d):
+    r = A.records(spark, d)
+    return upkeep.prune_expired(r.withColumn("expires_at", F.col("minute") + 100), F.lit(500), r.filter("id % 13 = 0")).select("id")
+
+
+@_query(f"SELECT id, CAST(ceil(length(coalesce(text, '')) / 4.0) AS BIGINT) AS tokens FROM {R}")
+def token_estimates(spark, d):
+    return A.records(spark, d).select("id", extraction.token_estimate(F.col("text")).alias("tokens"))
+
+
+@_query(f"SELECT id, decision || chr(10) || chr(10) || 'Reasoning: ' || coalesce(confidence, 'N/A') AS text FROM {D}")
+def embedding_texts(spark, d):
+    return A.decisions(spark, d).select("id", extraction.embedding_text(F.col("decision"), F.col("confidence"), "Reasoning").alias("text"))
+
+
+@_query("SELECT 'INSERT INTO suppliers (id, name) VALUES (' || s_suppkey || ', ''' || replace(s_name, '''', '''''') || ''');' AS line FROM supplier")
+def export_sql(spark, d):
+    return formats.sql_lines(A.table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name")), "suppliers")
+
+
+@_query("SELECT '## supplier ' || s_suppkey || chr(10) || chr(10) || '- **name**: ' || s_name || chr(10) AS line FROM supplier")
+def export_markdown(spark, d):
+    return formats.markdown_sections(A.table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name")), "supplier")
+
+
+@_query(f"SELECT role AS query, count(*) AS n, round(avg(importance), 6) AS results FROM {M} GROUP BY role ORDER BY n DESC, role LIMIT 20")
+def usage_top_queries(spark, d):
+    return upkeep.top_queries(A.messages(spark, d).select(F.col("role").alias("query"), F.col("importance").alias("results"))).withColumn("results", F.round("results", 6))
