@@ -278,7 +278,11 @@ def test_chunk_tokenizer_equals_whole_texts():
         assert mine.encode([t])[0] == np.array(mine.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
 
 
-def test_ctw(docs, rows, empty):
+@pytest.mark.parametrize("part", [40_000, 7])
+def test_ctw(docs, rows, empty, part, monkeypatch):
+    """Ranges of a few words give what one range gives: contexts that bounds cut are summed over the ranges."""
+    monkeypatch.setattr(ctw, "PART", part)
+    monkeypatch.setattr(ctw, "LOOKS", 16 if part > 100 else 2)
     tokens = {i: (t or "").encode().lower().split() + [b""] for i, t, *_ in rows}
     c = Counter(w for i, ws in tokens.items() if not ctw.held_out(i) for w in ws)
     n, v = sum(c.values()), len(c)
