@@ -175,7 +175,8 @@ def _by_shuffle(docs: DataFrame, windows: DataFrame, shingle: int, carry: tuple[
         .groupBy("doc_id").agg(F.collect_set(F.struct((F.col("pos") - F.col("at")).alias("start"), "words", "items")).alias("found"))
         .withColumnRenamed("doc_id", "found_id")
     )
-    joined = docs.select("doc_id", "text").join(candidates, F.col("doc_id").eqNullSafe(F.col("found_id")), "left").select("doc_id", "text", "found", *(F.col(n).alias(f"_{n}") for n in carry))
+    held = docs.select("doc_id", "text", *(F.col(n).alias(f"_{n}") for n in carry))
+    joined = held.join(candidates, F.col("doc_id").eqNullSafe(F.col("found_id")), "left").select("doc_id", "text", "found", *(f"_{n}" for n in carry))
 
     def match(batches):
         for batch in slices(batches):

@@ -146,6 +146,18 @@ def test_decontaminate(spark, docs, rows, empty, bound):
     assert not any(r["n_hit"] for r in decontaminate.decontaminate(docs, table.limit(0), broadcast_windows=bound).collect())
 
 
+def test_decontaminate_carries_columns_past_the_broadcast(spark):
+    import corpus_pipeline
+
+    carry = corpus_pipeline.COLUMNS[1:]
+    docs = spark.createDataFrame([(1, " ".join(WORDS[:30]), "en", "s", 5), (2, "other words", None, "t", 6), (None, None, "de", None, None)], "doc_id long, text string, lang string, source string, n_chars long")
+    table = spark.createDataFrame([(1, " ".join(WORDS[5:20]))], "item_id long, text string")
+    small, large = (decontaminate.decontaminate(docs, table, broadcast_windows=n, carry=carry) for n in (200_000, 0))
+    key = lambda r: str(r["doc_id"])
+    assert large.columns == small.columns and sorted(large.collect(), key=key) == sorted(small.collect(), key=key)
+    assert {r["doc_id"]: (r["source"], r["n_chars"], r["contaminated"]) for r in large.collect()} == {1: ("s", 5, True), 2: ("t", 6, False), None: (None, None, False)}
+
+
 def test_secrets(docs, rows, empty):
     expected = {}
     for i, t, *_ in rows:
