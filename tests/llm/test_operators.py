@@ -13,7 +13,7 @@ import pytest
 import xxhash
 from tokenizers import Tokenizer
 
-from recordloom.llm import bitslice, ctw, decontaminate, language, line_dedup, packing, queries, rotation, secrets, simhash, substrings
+from recordloom.llm import bitslice, ctw, decontaminate, language, line_dedup, near, packing, queries, rotation, secrets, simhash, substrings
 
 R = random.Random(5)
 WORDS = ["".join(R.choice("abcdefghij") for _ in range(R.randint(2, 7))) for _ in range(300)]
@@ -106,6 +106,62 @@ def test_simhash_links_match_all_pairs(spark):
         assert parts(found) == parts(every)  # stars over large buckets connect, though not each by one step of 3 bits
 
 
+def _edited(words, n, rng):
+    """n words replaced at places far from each other."""
+    out = list(words)
+    for at in rng.sample(range(0, len(out), 7), n):
+        out[at] = f"new{rng.random()}"
+    return out
+
+
+def _near_texts():
+    rng = random.Random(9)
+    texts = [" ".join(f"w{rng.randint(0, 5000)}" for _ in range(200)) for _ in range(12)]
+    texts += [" ".join(_edited(t.split(), n, rng)) for t in texts[:6] for n in (1, 2, 3, 4, 5, 6, 12)]
+    base = [f"v{i}" for i in range(200)]
+    texts += [" ".join(_edited(base, rng.choice((2, 3, 4, 7)), rng)) for _ in range(40)]  # a group, many of it too far from each other
+    return texts + [None, "", " \n", "one two", "ONE  two", "one two three four five", "a " * 50, "a " * 70, texts[3]]
+
+
+def test_near_groups_match_all_pairs(spark):
+    texts = _near_texts()
+    sets = []
+    for t in texts:
+        w = ascii_lower(t).split()
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    root = list(range(len(texts)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(len(texts)):
+        for j in range(i):
+            if sets[i] == sets[j] or 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                root[find(i)] = find(j)
+    expected = {}
+    for i in range(len(texts)):
+        expected.setdefault(find(i), set()).add(i)
+    df = spark.createDataFrame(list(enumerate(texts)), "row long, text string").repartition(4)
+    for local in (100_000, 0):
+        got = {}
+        for r in near.groups(df, local=local).collect():
+            got.setdefault(bytes(r["root"]), set()).add(r["row"])
+        assert sorted(map(sorted, got.values())) == sorted(map(sorted, expected.values()))
+    assert near.groups(df.limit(0)).count() == 0
+
+
+def test_pipeline_drops_copies_with_scattered_edits(spark):
+    import corpus_pipeline
+
+    rng = random.Random(12)
+    words = [f"w{i}" for i in range(200)]
+    texts = [" ".join(words)] + [" ".join(_edited(words, n, rng)) for n in (1, 2, 3, 4, 20)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert {r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()} == {0, 5}
+
+
 def test_line_dedup(docs, rows, empty):
     key = lambda line: ascii_lower(line.strip(" \t\n\x0b\x0c\r"))
     holders = {}
