@@ -76,13 +76,17 @@ def secret_patterns(keywords: str = _NAMED) -> list[tuple[str, str, bool]]:
     ]
 
 
-def redact(text: Column, keywords: str = _NAMED, passes: int = 2) -> Column:
-    """Secrets become [REDACTED:kind]. A few passes on the JVM; redact_fully finishes longer chains."""
+def redact(text: Column, keywords: str = _NAMED) -> Column:
+    """Secrets become [REDACTED:kind], to the fixpoint: one pass on the JVM, and where it changes a text, redact_text."""
     out = text
-    for _ in range(passes):
-        for kind, pattern, kept in secret_patterns(keywords):
-            out = F.regexp_replace(out, pattern, ("$1" if kept else "") + f"[REDACTED:{kind}]")
-    return out
+    for kind, pattern, kept in secret_patterns(keywords):
+        out = F.regexp_replace(out, pattern, ("$1" if kept else "") + f"[REDACTED:{kind}]")
+
+    @F.pandas_udf(T.StringType())
+    def finish(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: None if t is None else redact_text(t, keywords)[0])
+
+    return F.coalesce(finish(F.when(out != text, out)), text)
 
 
 def redact_text(text: str, keywords: str = _NAMED) -> tuple[str, list[str]]:
