@@ -74,7 +74,7 @@ def pairs(vectors: DataFrame, threshold: float, block: int = 2048) -> DataFrame:
     def meet(t: pa.Table) -> pa.Table:
         ids, own, key = t.column("id").to_numpy(), t.column("b").to_numpy(), np.array(t.column("key").to_pylist(), object)
         u, lo = _unit(t.column("embedding").to_pylist()), t.column("lo")[0].as_py()
-        i, j = np.flatnonzero(own == lo), np.flatnonzero(own != lo) if (own != lo).any() else np.arange(len(ids))
+        i, j = np.flatnonzero(own == lo), np.flatnonzero(own != lo)  # one is empty where the project has no rows in a block: no pairs then
         if t.column("lo")[0].as_py() == t.column("hi")[0].as_py():
             i = j = np.arange(len(ids))
         s = u[i] @ u[j].T

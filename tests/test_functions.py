@@ -2,6 +2,7 @@
 
 import json
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
@@ -86,6 +87,16 @@ def test_cosine_zero_vector(spark):
     assert [r["id"] for r in vector.knn(e, [1.0, 0.0], 3).collect()] == [1, 3, 2]
 
 
+def test_pairs_of_labels_in_few_blocks(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, ["a", "b", None, f"rare{i // 3}"][0 if i < 20 else 1 if i < 23 else 2 if i < 28 else 3], f"k{i % 35}", [float(x) for x in rng.normal(0, 1, 4)]) for i in range(40)]
+    df = spark.createDataFrame(rows, "id long, project string, key string, embedding array<double>")
+    unit = {r[0]: np.array(r[3]) / np.linalg.norm(r[3]) for r in rows}
+    expected = sorted((a[0], b[0]) for a in rows for b in rows if a[0] < b[0] and a[1] == b[1] and a[2] != b[2] and unit[a[0]] @ unit[b[0]] >= 0.1)
+    for block in (2, 5, 2048):
+        assert sorted((r["a"], r["b"]) for r in vector.pairs(df, 0.1, block).collect()) == expected
+
+
 def test_cadence_stream_equals_batch(spark, tmp_path):
     events = spark.createDataFrame(pd.DataFrame({"session_id": [i % 3 for i in range(200)], "event_id": range(200), "is_turn": [i % 2 == 0 or i % 5 == 0 for i in range(200)]}))
     events.write.parquet(str(tmp_path / "in"))
