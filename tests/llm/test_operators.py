@@ -162,6 +162,17 @@ def test_pipeline_drops_copies_with_scattered_edits(spark):
     assert {r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()} == {0, 5}
 
 
+def test_pipeline_drops_near_copies_row_by_row(spark):
+    import corpus_pipeline
+
+    a, b, c, d, e = (" ".join(f"{x}{i}" for i in range(60)) for x in "abcde")
+    rows = [(1, a), (2, a), (2, b), (3, c), (4, c), (3, a), (5, d), (5, d), (None, a), (None, e), (None, e)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    key = lambda x: (x[0] is None, x)
+    got = sorted(((r["doc_id"], r["text"]) for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()), key=key)
+    assert got == [(1, a), (2, b), (3, c), (5, d), (None, e)]
+
+
 def test_line_dedup(docs, rows, empty):
     key = lambda line: ascii_lower(line.strip(" \t\n\x0b\x0c\r"))
     holders = {}
