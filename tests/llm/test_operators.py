@@ -144,11 +144,10 @@ def test_near_groups_match_all_pairs(spark):
     for i in range(len(texts)):
         expected.setdefault(find(i), set()).add(i)
     df = spark.createDataFrame(list(enumerate(texts)), "row long, text string").repartition(4)
-    for local in (100_000, 0):
-        got = {}
-        for r in near.groups(df, local=local).collect():
-            got.setdefault(bytes(r["root"]), set()).add(r["row"])
-        assert sorted(map(sorted, got.values())) == sorted(map(sorted, expected.values()))
+    got = {}
+    for r in near.groups(df).collect():
+        got.setdefault(r["root"], set()).add(r["row"])
+    assert sorted(map(sorted, got.values())) == sorted(map(sorted, expected.values()))
     assert near.groups(df.limit(0)).count() == 0
 
 
