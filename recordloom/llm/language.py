@@ -5,9 +5,11 @@ whole text. Languages with similar mean features form families (average-link mer
 family is predicted first, by one linear machine for each family; within it, one-versus-one linear support vector
 machines separate each pair of languages, and the language with most votes wins (ties: larger summed margin).
 
-Training uses at most `per_label` documents of each label, those with the smallest hash of their id (the documented
-bound); nothing but the text is an input of a prediction. Null text, or text without a letter, is `und` with score 0;
-without any labelled document every text is `und`. Rows may repeat; extra columns are ignored.
+Training uses at most `per_label` rows of each label, those with the smallest hash of their id and text (the documented
+bound; a row that repeats counts once); nothing but the text is an input of a prediction. Null text, or text without a
+letter, is `und` with score 0; without any labelled document every text is `und`. Each row is predicted on its own, so
+rows may repeat; a text is read whole, however long, in a fixed number of counts; an empty table gives an empty result;
+extra columns are ignored. Ties of votes and margins go to the label that sorts last.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import slices, stage
 
 UNKNOWN = "und"
 _LETTER = re.compile(r"[^\W\d_]")
@@ -112,15 +114,17 @@ class LanguageModel:
         return best, float(1 / (1 + np.exp(-2 * np.clip(least, -20, 20)))) if np.isfinite(least) else 1.0
 
 
-def train(docs: DataFrame, per_label: int = 400, width: int = 4096) -> LanguageModel | None:
-    """Learn from text and non-null lang of the rows that are not held out. Only per_label texts of each label are
-    read in full: a share by id hash first, which the counts of the labels fix, then the smallest hashes."""
+def train(docs: DataFrame, per_label: int = 400, width: int = 4096, most_labels: int = 500) -> LanguageModel | None:
+    """Learn from text and non-null lang of the rows that are not held out: of each label the per_label distinct rows
+    with the smallest hash of id and text, so that no label is lost, whatever ids or texts its rows share. More than
+    most_labels labels are an error, as the machines (one for each pair in a family) are learnt at the driver."""
     labelled = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
-    counts = labelled.groupBy("lang").count()
-    key = F.xxhash64("doc_id", F.lit(11))
-    share = F.least(F.lit(1.0), F.lit(2.0 * per_label) / F.col("count") + F.lit(0.0))
-    taken = labelled.select("doc_id", "lang", "text", key.alias("key")).join(F.broadcast(counts), "lang").filter((F.pmod("key", F.lit(1_000_000)) / 1_000_000.0) < share)
-    taken = taken.withColumn("n", F.row_number().over(W.partitionBy("lang").orderBy("key", "doc_id"))).filter(F.col("n") <= per_label)
+    rows = labelled.select(F.col("lang").cast("string").alias("lang"), F.xxhash64(F.lit(11), "doc_id", "text").alias("key"), "text")
+    rank = F.row_number().over(W.partitionBy("lang").orderBy("key"))
+    chosen = stage(rows.select("lang", "key").distinct().withColumn("rank", rank).filter(F.col("rank") <= per_label).select("lang", "key"), "language-rows")
+    if (labels := chosen.select("lang").distinct().count()) > most_labels:
+        raise ValueError(f"{labels} labels; at most {most_labels} can be learnt")
+    taken = rows.join(chosen, ["lang", "key"]).groupBy("lang", "key").agg(F.min("text").alias("text"))
 
     def vectors(batches):
         for batch in slices(batches, 200):

@@ -2,7 +2,8 @@
 
 Null and empty text count as one empty line. Rows with a null doc_id neither count towards a line's documents
 nor lose lines. Rows that repeat a doc_id are the same document: they count once and lose the same lines.
-An empty table gives an empty result; columns other than doc_id and text are ignored.
+An empty table gives an empty result; columns other than doc_id and text are ignored. A text is split whole, however
+long; its state is its own lines.
 """
 
 from __future__ import annotations
@@ -17,6 +18,10 @@ from pyspark.sql import functions as F
 from .common import WHITE, byte_texts, slices, stage
 
 
+#: The most lines that are joined by broadcast.
+FREQUENT = 10_000
+
+
 def line_key(line: bytes, min_chars: int) -> bytes | None:
     """The key of a line that may be dropped, else None. bytes.lower() changes A-Z only."""
     key = line.strip(WHITE)
@@ -55,15 +60,14 @@ def line_dedup(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, with_tex
     document with the largest doc_id that holds it. Returns doc_id, n_lines, n_dropped, kept_sha256, and the
     kept text as `text` if with_text, then the columns of docs that carry names."""
     pairs = stage(line_hashes(docs, min_chars), "lines")
-    common = (
-        pairs.groupBy("h1", "h2")
-        .agg(F.countDistinct("doc_id").alias("n"), F.max("doc_id").alias("keeper"))
-        .filter(F.col("n") >= min_docs)
-        .select("h1", "h2", "keeper")
-    )
+    common = stage(pairs.groupBy("h1", "h2").agg(F.countDistinct("doc_id").alias("n"), F.max("doc_id").alias("keeper")).filter(F.col("n") >= min_docs), "common")
+    # A line of more than 1 / FREQUENT of all rows would fill one task of a join; there are FREQUENT such lines at most,
+    # so those are broadcast (24 bytes each), and only the others' rows are dealt by line.
+    often = common.filter(F.col("n") > pairs.count() / FREQUENT).select("h1", "h2", "keeper")
+    seldom = common.filter(F.col("n") <= pairs.count() / FREQUENT).select("h1", "h2", "keeper")
+    held = pairs.join(F.broadcast(often), ["h1", "h2"]).unionByName(pairs.join(F.broadcast(often), ["h1", "h2"], "left_anti").join(seldom, ["h1", "h2"]))
     drops = (
-        pairs.join(common, ["h1", "h2"])
-        .filter(F.col("doc_id") != F.col("keeper"))
+        held.filter(F.col("doc_id") != F.col("keeper"))
         .groupBy("doc_id")
         .agg(F.collect_set(F.struct("h1", "h2")).alias("drops"))
         .withColumnRenamed("doc_id", "drop_id")

@@ -12,7 +12,8 @@ name and block of documents, so no name gathers more rows than there are blocks.
 phrase is shared are compared, by 96 bits of their 13 word names, again with one document for each window and block.
 Step 3 removes the words covered.
 
-Null text has no words. A null doc_id is neither earlier nor later than any: its row keeps all words and counts for no
+Null text has no words, and an empty table gives an empty result; other columns are ignored, whatever their names. A
+text is named whole, however long, by the task that reads it. A null doc_id is neither earlier nor later than any: its row keeps all words and counts for no
 other. Rows that repeat a doc_id are not earlier than each other, and each loses what its own text holds.
 """
 
@@ -58,8 +59,8 @@ def _sum(names: np.ndarray, at: np.ndarray, size: int, factor: int) -> np.ndarra
 
 
 def _text_hash(text: bytes) -> int:
-    """Tells apart texts that share a doc_id."""
-    return xxhash.xxh3_64_intdigest(text) >> 49
+    """Tells apart texts that share a doc_id, by 64 bits (as a signed long)."""
+    return xxhash.xxh3_64_intdigest(text) - (1 << 63)
 
 
 class Block:
@@ -92,7 +93,7 @@ class Block:
 
 def _blocks(batches, most_words: int):
     """Rows gathered until they have most_words words: (ids, texts, shared names or None)."""
-    ids, texts, extra, n = [], [], [], 0
+    ids, texts, extra, n, seen = [], [], [], 0, set()
     for batch in slices(batches, 500):
         more = batch.column(2).to_pylist() if batch.num_columns > 2 else [None] * batch.num_rows
         for doc, text, shared in zip(batch.column(0).to_pylist(), byte_texts(batch.column(1)), more):
@@ -101,13 +102,16 @@ def _blocks(batches, most_words: int):
             words = text.split()
             if len(words) < WINDOW:
                 continue
+            if (doc, own := _text_hash(text)) in seen:  # what is found for the first such row holds for all
+                continue
+            seen.add((doc, own))
             ids.append(doc)
-            texts.append((words, _text_hash(text)))
+            texts.append((words, own))
             extra.append(shared)
             n += len(words)
             if n >= most_words:
                 yield ids, texts, extra
-                ids, texts, extra, n = [], [], [], 0
+                ids, texts, extra, n, seen = [], [], [], 0, set()
     if ids:
         yield ids, texts, extra
 
@@ -155,12 +159,12 @@ def _shared_phrases(docs: DataFrame, most_words: int) -> DataFrame:
 
 
 def _covered(docs: DataFrame, most_words: int) -> DataFrame:
-    """doc_id, text_hash, start, n: windows start..start+n-1 of that text also start in an earlier document."""
+    """doc_id, text_hash, starts, n: from each start on, n windows of that text also start in an earlier document."""
 
     def emit(batches):
         known = Names()
         for ids, texts, shared in _blocks(batches, most_words):
-            block, doc_ids, hashes = Block([t for t, _ in texts], known), np.array(ids, np.int64), np.array([h for _, h in texts], np.int16)
+            block, doc_ids, hashes = Block([t for t, _ in texts], known), np.array(ids, np.int64), np.array([h for _, h in texts], np.int64)
             mine = np.concatenate([np.array(s, np.int64).view(_U) ^ _mix(np.full(len(s), i, _U)) for i, s in enumerate(shared)])
             key = block.key[block.phrase] ^ _mix(block.doc[block.windows].astype(_U))
             at = block.windows[np.isin(key, mine)]
@@ -173,33 +177,37 @@ def _covered(docs: DataFrame, most_words: int) -> DataFrame:
             gone = np.sort(w[later])
             cut = np.flatnonzero(np.r_[True, (np.diff(gone) != 1) | (np.diff(block.doc[gone]) != 0)]) if len(gone) else np.empty(0, np.int64)
             start, n = gone[cut], np.diff(np.r_[cut, len(gone)])
-            w = w[~later]
+            # Settled stretches go anywhere, by their own hash; the earliest document of each window goes to meet others,
+            # in one row however often it holds that window.
+            w, a, b = w[~later], a[~later], b[~later]
+            new = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (np.diff(block.doc[w]) != 0)]) if len(w) else np.empty(0, np.int64)
+            own = block.doc[np.concatenate([start, w[new]])]
+            one = np.concatenate([_mix(start.astype(_U) + _mix(doc_ids[block.doc[start]].view(_U))), a[new]]).view(np.int64)
+            two = np.concatenate([np.zeros(len(start), np.int32), (b[new] >> _U(32)).astype(np.uint32).view(np.int32)])
             place = np.concatenate([start, w])
-            own = block.doc[place]
-            # Settled stretches go anywhere, by their own hash; the earliest document of each window goes to meet others.
-            one = np.concatenate([_mix(start.astype(_U) + _mix(doc_ids[block.doc[start]].view(_U))), a[~later]]).view(np.int64)
-            two = np.concatenate([np.zeros(len(start), np.int32), (b[~later] >> _U(32)).astype(np.uint32).view(np.int32)])
+            ends = np.concatenate([np.arange(len(start)), len(start) + new, [len(place)]]).astype(np.int32)
+            starts = pa.ListArray.from_arrays(pa.array(ends), pa.array((place - block.first[block.doc[place]]).astype(np.int32)))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(one), pa.array(two), pa.array(doc_ids[own]), pa.array(hashes[own]), pa.array((place - block.first[own]).astype(np.int32)), pa.array(np.concatenate([n, np.zeros(len(w), np.int64)]).astype(np.int32))],
-                ["h1", "h2", "doc_id", "text_hash", "start", "n"],
+                [pa.array(one), pa.array(two), pa.array(doc_ids[own]), pa.array(hashes[own]), starts, pa.array(np.concatenate([n, np.zeros(len(new), np.int64)]).astype(np.int32))],
+                ["h1", "h2", "doc_id", "text_hash", "starts", "n"],
             )
 
     def meet(batches):
         held = (None, None, None)
         for batch in batches:
-            h1, h2, doc, text, start, n = (batch.column(i).to_numpy() for i in range(6))
+            h1, h2, doc, n = (batch.column(i).to_numpy() for i in (0, 1, 2, 5))
             new = np.r_[True, (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])]
             least = doc[new][np.cumsum(new) - 1]
             if (h1[0], h2[0]) == held[:2]:
                 upto = np.flatnonzero(new)[1] if new.sum() > 1 else len(new)
                 least[:upto] = held[2]
-            out = (n > 0) | (doc > least)
+            out = pa.array((n > 0) | (doc > least))
             held = (h1[-1], h2[-1], least[-1])
-            yield pa.RecordBatch.from_arrays([pa.array(doc[out]), pa.array(text[out]), pa.array(start[out]), pa.array(np.maximum(n[out], 1))], ["doc_id", "text_hash", "start", "n"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(i).filter(out) for i in (2, 3, 4)), pa.array(np.maximum(n, 1)).filter(out)], ["doc_id", "text_hash", "starts", "n"])
 
-    rows = docs.mapInArrow(emit, "h1 long, h2 int, doc_id long, text_hash short, start int, n int")
+    rows = docs.mapInArrow(emit, "h1 long, h2 int, doc_id long, text_hash long, starts array<int>, n int")
     # Settled rows (n > 0) have h2 = 0 and would only meet a window of that very name; they sort last there.
-    return rows.repartition("h1").sortWithinPartitions("h1", "h2", "n", "doc_id").mapInArrow(meet, "doc_id long, text_hash short, start int, n int")
+    return rows.repartition("h1").sortWithinPartitions("h1", "h2", "n", "doc_id").mapInArrow(meet, "doc_id long, text_hash long, starts array<int>, n int")
 
 
 def remove_repeats(docs: DataFrame, most_words: int = 1_000_000, with_text: bool = False) -> DataFrame:
@@ -212,7 +220,7 @@ def remove_repeats(docs: DataFrame, most_words: int = 1_000_000, with_text: bool
     names = shared.groupBy("doc_id").agg(F.collect_list("name").alias("names"))
     covered = stage(_covered(read.join(names, "doc_id").select("doc_id", "text", "names"), most_words), "covered")
     settle(spark)
-    ranges = covered.groupBy(F.col("doc_id").alias("of")).agg(F.collect_list("text_hash").alias("hashes"), F.collect_list("start").alias("starts"), F.collect_list("n").alias("ns"))
+    ranges = covered.groupBy(F.col("doc_id").alias("of")).agg(F.collect_list("text_hash").alias("hashes"), F.collect_list("starts").alias("starts"), F.collect_list("n").alias("ns"))
     joined = docs.select("doc_id", "text").join(ranges, F.col("doc_id").cast("long") == F.col("of"), "left").select("doc_id", "text", "hashes", "starts", "ns")
 
     def cut(batches):
@@ -223,8 +231,8 @@ def remove_repeats(docs: DataFrame, most_words: int = 1_000_000, with_text: bool
                 n_words.append(len(words))
                 if starts:
                     own, gone = _text_hash(text), bytearray(len(words))
-                    for h, start, n in zip(hashes, starts, ns):
-                        if h == own:
+                    for h, places, n in zip(hashes, starts, ns):
+                        for start in places if h == own else ():
                             gone[start : start + n + WINDOW - 1] = b"\x01" * (n + WINDOW - 1)
                     words = [w for w, g in zip(words, gone) if not g]
                 n_removed.append(n_words[-1] - len(words))

@@ -296,6 +296,21 @@ def test_language(spark, docs, empty):
     assert language.train(empty) is None and {r["lang_pred"] for r in language.identify(docs, None).collect()} == {"und"}
 
 
+def test_language_keeps_every_label(spark):
+    """Rows that share one id, or are all alike, do not lose their label; the bound holds for each label."""
+    english, german = "the cat sat on the mat and thought about it", "der hund lief schnell durch den wald und bellte"
+    for ids in ((42,), (None,)):
+        for i in ids:
+            rows = [(i, f"{english} {n}", "en") for n in range(3000)] + [(j, f"{german} {j}", "de") for j in range(60)]
+            model = language.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), per_label=50)
+            held = i is not None and zlib.crc32(str(i).encode()) % 3 == 1
+            assert sorted(n for f in model.families for n in f) == (["de"] if held else ["de", "en"])
+    alike = spark.createDataFrame([(42, english, "en")] * 3000 + [(j, f"{german} {j}", "de") for j in range(60)], "doc_id long, text string, lang string")
+    assert sorted(n for f in language.train(alike).families for n in f) == ["de", "en"]
+    with pytest.raises(ValueError):
+        language.train(alike, most_labels=1)
+
+
 def test_substrings(docs, rows, empty):
     first, words = {}, {i: re.findall(r"[^\x20\x09-\x0D]+", t or "") for i, t, *_ in rows}
     for i in sorted(words):
@@ -311,6 +326,30 @@ def test_substrings(docs, rows, empty):
     assert sum(v[1] for v in expected.values()) > 3000 and substrings.remove_repeats(empty).count() == 0
 
 
+def _kept_by_row(rows):
+    """doc_id, n_words, n_removed and kept words of every row, by plain search; rows may share an id."""
+    first, words = {}, [(i, re.findall(r"[^\x20\x09-\x0D]+", t or "")) for i, t in rows]
+    for i, w in words:
+        for at in range(len(w) - 12 if i is not None else 0):
+            key = tuple(w[at : at + 13])
+            first[key] = min(i, first.get(key, i))
+    out = []
+    for i, w in words:
+        gone = {k for at in range(len(w) - 12) if i is not None and first[tuple(w[at : at + 13])] < i for k in range(at, at + 13)}
+        out.append((i, len(w), len(gone), hashlib.sha256(" ".join(x for k, x in enumerate(w) if k not in gone).encode()).hexdigest()))
+    return sorted(out, key=str)
+
+
+def test_substrings_of_rows_that_share_an_id(spark):
+    """Each text under an id loses its own words: many texts, a null id, rows that repeat, one text of one long word."""
+    passage = text(30)
+    rows = [(5, f"{text(R.randint(0, 4))} {passage if i % 3 else ''} u{i} {text(15)}") for i in range(1200)]
+    rows += [(1, passage), (None, passage), (None, None), *rows[:4], (9, "x" * 1_000_000), (3, "y " * 40), (4, "y " * 90), (4, "y " * 90)]
+    df = spark.createDataFrame([(*r, 1, 2) for r in rows], "doc_id long, text string, names int, starts int").repartition(3)
+    got = sorted((tuple(r) for r in substrings.remove_repeats(df, most_words=4000).collect()), key=str)
+    assert got == _kept_by_row(rows)
+
+
 def test_packing(docs, rows, empty):
     path = queries.tokenizer_path()
     t, got = Tokenizer.from_file(path), packing.pack(docs, path, capacity=256).collect()
