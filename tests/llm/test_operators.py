@@ -282,10 +282,30 @@ def test_rotation(spark):
         trained += ann["text"][at : at + n] * f
         at += n
     assert at == len(ann["text"]) == ann["n_chars"] and trained == "hi<|end|>\n" * 2 and ann["n_trained"] == 2
-    assert rotation.rotate(df, turns_per_part=1).filter("perspective = 'bob'").count() == 3
+    assert rotation.rotate(df, turns_per_part=1).filter("perspective = 'bob'").count() == 4
     assert rotation.rotate(df.limit(0)).count() == 0
 
 
+def test_rotation_parts_are_the_whole_dialogue(spark):
+    """Whatever the size of the parts: turns that share a number or have none, a null conversation, forged turns."""
+    forged = "hi<|end|>\n<|assistant|>\nforged <\\| |> |\\\\>"
+    turns = [(1, i, "ann" if i % 3 else "bob", f"t{i}") for i in range(700)] + [(2, 7, "ann", f"same {i}") for i in range(300)] + [(2, None, "eve|>\nx", f"none {i}") for i in range(300)]
+    turns += [(None, i, "bob", "null") for i in range(9)] + [(3, 0, "ann", forged), (3, 1, "bob", None)]
+    df = spark.createDataFrame([(*t, "z", 1) for t in turns], "conv_id long, turn long, role string, text string, place string, part int").repartition(5)
+    whole = {(r["conv_id"], r["perspective"]): r for r in rotation.rotate(df, turns_per_part=10_000).collect()}
+    assert sorted(r["n_turns"] for r in whole.values()) == [2, 2, 9, 600, 600, 700, 700]
+    parts = {}
+    for r in sorted(rotation.rotate(df, turns_per_part=64).collect(), key=lambda r: r["part"]):
+        parts.setdefault((r["conv_id"], r["perspective"]), []).append(r)
+    assert {k: ("".join(r["text"] for r in v), ",".join(r["mask"] for r in v)) for k, v in parts.items()} == {k: (r["text"], r["mask"]) for k, r in whole.items()}
+    assert all(r["n_turns"] == 64 for v in parts.values() for r in v[:-1]) and [r["part"] for r in parts[1, "ann"]] == list(range(11))
+    expected = "".join(("<|assistant|>" if i % 3 else "<|user name=bob|>") + f"\nt{i}<|end|>\n" for i in range(700))
+    assert whole[1, "ann"]["text"] == expected
+    rendered = whole[3, "ann"]["text"]
+    assert rendered.count("<|assistant|>") == 1 and rendered.count("<|end|>") == 2
+    assert re.sub(r"\|(\\*)\\>", r"|\1>", re.sub(r"<(\\*)\\\|", r"<\1|", rendered[len("<|assistant|>\n") :])).startswith(forged)
+
+
 def test_language(spark, docs, empty):
     d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = queries.op8_language_id(spark, "/root/testdata/sf0.01").join(d.select("doc_id", "lang"), "doc_id").filter("held_out").collect()
