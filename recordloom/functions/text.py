@@ -31,7 +31,7 @@ def tokens(text: Column) -> Column:
 
 def normalise(text: Column) -> Column:
     """The form in which two texts count as equal: lower case, no quotes, single blanks, trimmed."""
-    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(text), "['\"]", ""), WIDE_SPACE + "+", " "))
+    return F.trim(F.regexp_replace(F.translate(F.lower(text), "'\"", ""), WIDE_SPACE + "+", " "))
 
 
 def clamp_importance(value: Column, fallback: int = 5, least: int = 1) -> Column:
@@ -218,9 +218,9 @@ def passes_quality(text: Column, strict: bool = True) -> Column:
 
 
 def bullets(text: Column, heading: str) -> Column:
-    """Items of a `## HEADING` (or `HEADING:`) section: lines that begin with a dash, without it and bold marks, of
-    more than 5 characters."""
-    section = F.regexp_extract(F.coalesce(text, F.lit("")), rf"(?is)(?:^|\n)(?:#+\s*)?{re.escape(heading)}:?[ \t]*\n(.*?)(?=\n#|\n[A-Z][A-Z ]+:|\z)", 1)
+    """Items of a `## HEADING` (or `HEADING:`) section, which ends where a line begins with `## `: lines that begin with
+    a dash, without it and bold marks, of more than 5 characters."""
+    section = F.regexp_extract(F.coalesce(text, F.lit("")), rf"(?is)(?:^|\n)(?:#+\s*)?{re.escape(heading)}:?[ \t]*\n(.*?)(?=\n##\s|\z)", 1)
     lines = F.filter(F.split(section, "\n"), lambda x: F.trim(x).startswith("-"))
     return F.filter(F.transform(lines, lambda x: F.trim(F.regexp_replace(F.regexp_replace(F.trim(x), r"^-+\s*", ""), r"\*\*", ""))), lambda x: F.length(x) > 5)
 

@@ -21,8 +21,11 @@ def provenance_rank(c: Column) -> Column:
 
 
 def candidates(rows: DataFrame, text: Column, least: int = 20) -> DataFrame:
-    """Rows whose normal form has `least` characters, with key (its hash) and length of the text."""
-    return rows.withColumn("_t", text).withColumn("_n", normalise(F.col("_t"))).filter(F.length("_n") >= least).withColumn("key", F.sha2("_n", 256)).withColumn("chars", F.length("_t")).drop("_t", "_n")
+    """Rows whose normal form has `least` characters, with key (its hash) and length of the text. The normal form passes
+    through a one-row generator, so that it is made once and not in every place that reads it."""
+    held = rows.withColumn("_t", F.explode(F.array(F.struct(normalise(text).alias("n"), F.length(text).alias("chars")))))
+    fit = held.filter(F.length("_t.n") >= least)
+    return fit.withColumn("key", F.sha2("_t.n", 256)).withColumn("chars", F.col("_t.chars")).drop("_t")
 
 
 def survivor_order() -> list[Column]:
@@ -30,15 +33,30 @@ def survivor_order() -> list[Column]:
     return [provenance_rank(F.col("provenance")), F.desc("chars"), F.desc(F.coalesce("importance", F.lit(5))), F.desc("minute"), F.col("id")]
 
 
-def plan_exact(rows: DataFrame, kept: DataFrame | None = None) -> DataFrame:
-    """survivor, id (the duplicate): in each (table, project, key) the first by survivor_order stays. Rows that earlier
-    runs recorded as survivors (kept: id) never become duplicates."""
-    group = W.partitionBy("table", F.coalesce("project", F.lit("")), "key")
-    first = F.row_number().over(group.orderBy(*survivor_order()))
-    out = rows.withColumn("place", first).withColumn("survivor", F.first("id").over(group.orderBy(*survivor_order()))).filter("place > 1")
+def _order_struct() -> Column:
+    """survivor_order() as one value whose least is the survivor's."""
+    newer = lambda c: F.coalesce(-F.col(c).cast("double"), F.lit(float("inf")))
+    return F.struct(provenance_rank(F.col("provenance")).alias("p"), newer("chars").alias("c"), (-F.coalesce("importance", F.lit(5))).alias("i"), newer("minute").alias("m"), F.col("id").alias("id"))
+
+
+def plan_exact(rows: DataFrame, kept: DataFrame | None = None, marked: DataFrame | None = None) -> DataFrame:
+    """table, survivor, id (the duplicate): in each (table, project, key) the first by survivor_order stays. Rows that
+    earlier runs recorded as survivors (kept: id) never become duplicates, and rows marked before (marked: id) take no
+    part, so that a later deletion does not reach them. A group's survivor comes from an aggregate, which splits a
+    group of any size, and only groups of two and more meet their rows again."""
+    if marked is not None:
+        rows = rows.join(marked.select("id").distinct(), "id", "left_anti")
+    own = rows.select("table", F.coalesce("project", F.lit("")).alias("project"), "key", "id", _order_struct().alias("o"))
+    groups = own.groupBy("table", "project", "key").agg(F.count("*").alias("n"), F.min("o").alias("best")).filter("n > 1")
+    out = own.join(groups, ["table", "project", "key"]).select("table", F.col("best.id").alias("survivor"), "id").filter("id <> survivor")
     if kept is not None:
         out = out.join(kept.select("id").distinct(), "id", "left_anti")
-    return out.select("table", "survivor", "id")
+    return out
+
+
+def sticky_skipped(rows: DataFrame, kept: DataFrame) -> int:
+    """How many rows would be duplicates but are recorded survivors."""
+    return plan_exact(rows).join(kept.select("id").distinct(), "id", "left_semi").count()
 
 
 def cross_table(rows: DataFrame) -> DataFrame:

@@ -185,19 +185,23 @@ def _starts(t: Column, p: Phrase) -> Column:
     return F.when(F.size(t) >= n, F.filter(F.sequence(F.lit(1), F.size(t) - n + 1), here)).otherwise(F.array().cast("array<int>"))
 
 
-def _frequency(p: Phrase, columns: list[str]) -> Column:
+def _token_starts(column: str, p: Phrase) -> Column:
+    return _starts(F.col(f"_t_{column}"), p)
+
+
+def _frequency(p: Phrase, columns: list[str], starts=_token_starts) -> Column:
     own = [c for c in columns if p.columns is None or c in p.columns]
-    return sum((F.size(_starts(F.col(f"_t_{c}"), p)) for c in own), F.lit(0))
+    return sum((F.size(starts(c, p)) for c in own), F.lit(0))
 
 
-def _near_frequencies(node: Near, columns: list[str]) -> list[Column]:
+def _near_frequencies(node: Near, columns: list[str], starts=_token_starts) -> list[Column]:
     """Per phrase the places that take part in a match: a window opens at any phrase's place and holds a place of
     every other within `distance` words after that phrase."""
     totals = [F.lit(0)] * len(node.phrases)
     for c in columns:
         if node.phrases[0].columns is not None and c not in node.phrases[0].columns:
             continue
-        places = [_starts(F.col(f"_t_{c}"), p) for p in node.phrases]
+        places = [starts(c, p) for p in node.phrases]
         windows = []
         for i, p in enumerate(node.phrases):
             reach = len(p.words) + node.distance
@@ -232,18 +236,18 @@ def _covers(opened: Column, reach: int, q: Column) -> Column:
     return F.exists(opened, lambda s: (q >= s) & (q <= s + reach))
 
 
-def _collect(node, columns, found: list):
-    """(matched, score) Columns; found gathers each scoring phrase's frequency and,
-    for its document count, that of the phrase alone."""
+def _collect(node, columns, found: list, starts=_token_starts):
+    """(matched, score) Columns; found gathers each scoring phrase's frequency and, for its document count, that of the
+    phrase alone. starts gives a phrase's places in a column."""
     if isinstance(node, (Phrase, Near)):
-        frequencies = [_frequency(node, columns)] if isinstance(node, Phrase) else _near_frequencies(node, columns)
+        frequencies = [_frequency(node, columns, starts)] if isinstance(node, Phrase) else _near_frequencies(node, columns, starts)
         names = []
         own = [node] if isinstance(node, Phrase) else node.phrases
         for f, phrase in zip(frequencies, own):
             names.append(f"_f{len(found)}")
-            found.append((f, _frequency(phrase, columns)))
+            found.append((f, _frequency(phrase, columns, starts)))
         return lambda score: (_every([F.col(n) > 0 for n in names]), sum((score(n) for n in names), F.lit(0.0)))
-    parts = [_collect(p, columns, found) for p in node.parts]
+    parts = [_collect(p, columns, found, starts) for p in node.parts]
 
     def build(score):
         made = [p(score) for p in parts]
@@ -315,33 +319,6 @@ def biased(rank: Column, table: Column, favoured: str | None) -> Column:
     return F.when(table != favoured, rank).when(rank < 0, rank * 4).when(rank > 0, rank / 4).otherwise(-2.220446049250313e-16)
 
 
-def search(tables: dict[str, tuple[DataFrame, list[str], Column]], query: str, limit: int = 20, project: str | None = None, bias: str | None = None) -> DataFrame:
-    """Top rows of each table, then the best of all. tables: name to (rows with id, project; indexed columns; the
-    content to show)."""
-    parts = [top(df, query, columns, limit, project).select(F.lit(name).alias("table"), "id", content.alias("content"), "project", "rank") for name, (df, columns, content) in tables.items()]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.withColumn("_b", biased(F.col("rank"), F.col("table"), bias)).orderBy("_b", "rank", "table", "id").limit(limit).drop("_b")
-
-
-def search_many(table: DataFrame, queries: DataFrame, columns: list[str], limit: int = 10) -> DataFrame:
-    """Many OR queries at once: queries (query_id, terms array) joined to postings. One shuffle on the term (frequent
-    terms split by adaptive execution), one on the query."""
-    from pyspark.sql import Window as W
-
-    wanted = queries.select("query_id", F.explode("terms").alias("term"))
-    docs = _tokenised(table, columns).select("id", F.flatten(F.array(*(F.col(f"_t_{c}") for c in columns))).alias("t"))
-    stats = docs.agg(F.count("*").alias("n"), F.avg(F.size("t")).alias("avg")).first()
-    held = docs.select("id", F.size("t").alias("len"), F.explode("t").alias("term")).join(wanted.select("term").distinct(), "term", "left_semi").groupBy("id", "len", "term").agg(F.count("*").alias("f"))
-    often = held.groupBy("term").agg(F.count("*").alias("d"))
-    ratio = (F.lit(float(stats["n"])) - F.col("d") + 0.5) / (F.col("d") + 0.5)
-    idf = F.when(ratio > 1, F.log(ratio)).otherwise(1e-6)
-    hits = wanted.join(held, "term").join(often, "term").withColumn("s", idf * F.col("f") * 2.2 / (F.col("f") + 1.2 * (0.25 + 0.75 * F.col("len") / F.lit(stats["avg"] or 1.0))))
-    ranked = hits.groupBy("query_id", "id").agg((-F.sum("s")).alias("rank")).withColumn("place", F.row_number().over(W.partitionBy("query_id").orderBy(F.round("rank", 9), "id")))
-    return ranked.filter(F.col("place") <= limit)
-
-
 def snippet(text: Column, words: list[str], size: int = 40) -> Column:
     """Up to `size` tokens around the first match, matches between double stars."""
     parts = F.filter(F.split(text, r"\s+"), lambda x: x != "")

@@ -27,6 +27,24 @@ def knn(vectors: DataFrame, query: list[float], limit: int, vector: str = "embed
     return vectors.withColumn("similarity", cosine(F.col(vector), q)).orderBy(F.desc_nulls_last("similarity"), "id").limit(limit)
 
 
+def units(vectors: DataFrame, vector: str = "embedding") -> DataFrame:
+    """The vectors with `unit`, of length 1 (null for a zero vector): the stored form that search reads, so that a
+    query costs one product a row."""
+    norm = F.sqrt(_dot(F.col(vector), F.col(vector)))
+    return vectors.withColumn("_n", F.explode(F.array(norm))).withColumn("unit", F.when(F.col("_n") > 0, F.transform(vector, lambda x: x.cast("double") / F.col("_n")))).drop("_n", vector)
+
+
+def knn_units(stored: DataFrame, query: list[float], limit: int, hidden: DataFrame | None = None) -> DataFrame:
+    """Exact nearest rows over stored unit vectors; vectors of another length than the query's take no part."""
+    size = sum(float(x) * float(x) for x in query) ** 0.5
+    if hidden is not None:
+        stored = stored.join(hidden.select("id").distinct(), "id", "left_anti")
+    if size == 0:
+        return stored.limit(0).withColumn("similarity", F.lit(0.0))
+    q = F.array(*(F.lit(float(x) / size) for x in query))
+    return stored.filter(F.size("unit") == len(query)).withColumn("similarity", _dot(F.col("unit"), q)).orderBy(F.desc("similarity"), "id").limit(limit)
+
+
 def _unit(values) -> np.ndarray:
     m = np.stack([np.asarray(v, np.float64) for v in values])
     n = np.sqrt((m * m).sum(axis=1, keepdims=True))

@@ -1,0 +1 @@
+"""More registered queries."""

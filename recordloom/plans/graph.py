@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.store import shared_dir
+
 
 def _cut(df: DataFrame) -> DataFrame:
+    """The same rows without lineage, by a reliable checkpoint in the shared folder."""
     spark = df.sparkSession
-    if spark.sparkContext.getConf().get("spark.checkpoint.dir") is None and spark.sparkContext.getCheckpointDir() is None:
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="recordloom-graph-"))  # local runs and tests only
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(shared_dir(spark))
     return df.checkpoint()
 
 
@@ -30,12 +31,12 @@ def connected(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
     raise RuntimeError("labels did not settle")
 
 
-def descendants(rows: DataFrame, parent: str, roots: DataFrame, most_depth: int = 100) -> DataFrame:
-    """id, depth: the roots and all that hang below them."""
+def descendants(rows: DataFrame, parent: str, roots: DataFrame, most_depth: int = 10_000) -> DataFrame:
+    """id, depth: the roots and all that hang below them, each at its least depth. Deeper than most_depth is an error."""
     found = frontier = roots.select("id").distinct().withColumn("depth", F.lit(0))
     for depth in range(1, most_depth + 1):
         frontier = _cut(rows.join(frontier.select(F.col("id").alias(parent)), parent).select("id", F.lit(depth).alias("depth")).join(found.select("id"), "id", "left_anti").distinct())
         if frontier.isEmpty():
-            break
-        found = found.unionByName(frontier)
-    return found
+            return found
+        found = _cut(found.unionByName(frontier))
+    raise RuntimeError(f"rows hang deeper than {most_depth}")

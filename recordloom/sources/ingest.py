@@ -14,7 +14,7 @@ from ..functions.text import sanitise_id
 
 #: Speaker names to roles; others are dropped.
 ROLES = {"human": "user", "user": "user", "customer": "user", "assistant": "assistant", "ai": "assistant", "model": "assistant", "bot": "assistant", "system": "system"}
-MESSAGE = "session_id string, title string, ordinal int, role string, ts double, content string"
+MESSAGE = "session_id string, title string, ordinal long, role string, ts double, content string"
 
 
 def role_of(name: Column) -> Column:
@@ -109,7 +109,7 @@ def parse_export(payload: str, kind: str, path: str) -> list[tuple]:
         for i, (name, ts, text) in enumerate(turns):
             role = ROLES.get(str(name).strip().lower())
             if role and text.strip():
-                out.append((session, title, n * 100_000 + i, role, ts, text))
+                out.append((session, title, (n << 32) + i, role, ts, text))
     return out
 
 
