@@ -33,8 +33,99 @@ def plan_age(rows: DataFrame, guarded: DataFrame, delete_before: int, threshold:
 
 
 def demote(rows: DataFrame, plan: DataFrame, floor: int = 1) -> DataFrame:
+    """Importance of the planned rows goes down to the floor, never up: max(1, min(floor, importance))."""
     ids = plan.select(F.col("id").alias("p")).distinct()
-    return rows.join(ids, F.col("id") == F.col("p"), "left").withColumn("importance", F.when(F.col("p").isNotNull(), F.lit(floor)).otherwise(F.col("importance"))).drop("p")
+    lower = F.greatest(F.lit(1), F.least(F.lit(floor), F.col("importance")))
+    return rows.join(ids, F.col("id") == F.col("p"), "left").withColumn("importance", F.when(F.col("p").isNotNull(), lower).otherwise(F.col("importance"))).drop("p")
+
+
+#: What ageing does to each table: action and, for a demotion, the floor. Fixed values.
+AGEING = {"messages": ("delete", None), "breadcrumbs": ("expire", None), "decisions": ("demote", 1), "learnings": ("demote", 1), "curated": ("demote", 5)}
+
+
+def plan_ageing(table: str, rows: DataFrame, guards: DataFrame, now: int, days: int = 180, horizon: int = 14, threshold: int = 5, pin: int = 10, curated_sessions: DataFrame | None = None) -> DataFrame:
+    """id, importance, action, new_importance, protected of the rows that ageing reaches: old messages of curated
+    sessions go, breadcrumbs past the horizon expire, old unimportant rows above their floor are demoted. Pinned rows
+    never match; guards (id: survivors, marked duplicates, rows that others point at) protect."""
+    action, floor = AGEING[table]
+    if action == "expire":
+        alive = F.col("expires_at").isNull() | (F.col("expires_at") > now)
+        matched = rows.filter((F.col("minute") < now - horizon * 1440) & (F.col("importance") < pin) & alive)
+    elif action == "demote":
+        matched = rows.filter((F.col("minute") < now - days * 1440) & (F.col("importance") < threshold) & (F.col("importance") > floor))
+    else:
+        matched = rows.filter((F.col("minute") < now - days * 1440) & (F.col("importance") < pin)).join(curated_sessions.select("session_id").distinct(), "session_id", "left_semi")
+    guard = guards.select(F.col("id").alias("_g")).distinct()
+    joined = matched.join(guard, F.col("id") == F.col("_g"), "left")
+    return joined.select("id", "importance", F.lit(action).alias("action"), F.lit(floor).cast("int").alias("new_importance"), F.col("_g").isNotNull().alias("protected"))
+
+
+def apply_ageing(rows: DataFrame, plan: DataFrame, now: int) -> DataFrame:
+    """The rows after the plan: deleted, expired now, or demoted to their floor."""
+    own = plan.filter("NOT protected").select(F.col("id").alias("_p"), F.col("action").alias("_a"), F.col("new_importance").alias("_i"))
+    out = rows.join(own, F.col("id") == F.col("_p"), "left").filter("_a IS NULL OR _a <> 'delete'")
+    if "expires_at" in rows.columns:
+        out = out.withColumn("expires_at", F.when(F.col("_a") == "expire", F.lit(now).cast(rows.schema["expires_at"].dataType)).otherwise(F.col("expires_at")))
+    lower = F.greatest(F.lit(1), F.least("_i", "importance"))
+    return out.withColumn("importance", F.when(F.col("_a") == "demote", lower).otherwise(F.col("importance"))).select(*rows.columns)
+
+
+def set_importance(rows: DataFrame, ids: DataFrame, value: int | None, floor: int = 1, default: int = 5) -> DataFrame:
+    """Pin or unpin: the value (None: the default) held in floor..10."""
+    own, new = ids.select(F.col("id").alias("_p")).distinct(), max(floor, min(10, default if value is None else value))
+    return rows.join(own, F.col("id") == F.col("_p"), "left").withColumn("importance", F.when(F.col("_p").isNotNull(), F.lit(new)).otherwise(F.col("importance"))).select(*rows.columns)
+
+
+def add_record(rows: DataFrame, new: DataFrame, order: list[Column]) -> DataFrame:
+    """The rows and the new ones, which get the ids after the largest, in a total order. The batch is small: it is what
+    one caller adds."""
+    last = rows.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_last"))
+    numbered = new.withColumn("_n", F.row_number().over(W.orderBy(*order))).join(F.broadcast(last))  # one number
+    return rows.unionByName(numbered.withColumn("id", F.col("_last") + F.col("_n")).select(*rows.columns))
+
+
+def delete_marked(rows: DataFrame, plan: DataFrame, lineage: DataFrame, embeddings: DataFrame, pointed_at: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """rows, lineage and embeddings after the planned duplicates (survivor, id) go. A planned duplicate that is a recorded
+    survivor refuses it all; one that other rows point at (id) is only marked; embeddings go with their rows."""
+    recorded = lineage.filter("status IN ('marked', 'deleted')").select(F.col("survivor_id").alias("id"))
+    if not plan.join(recorded, "id", "left_semi").isEmpty():
+        raise ValueError("a planned duplicate is a recorded survivor")
+    held = pointed_at.select(F.col("id").alias("_f")).distinct()
+    judged = plan.join(held, F.col("id") == F.col("_f"), "left").withColumn("status", F.when(F.col("_f").isNull(), "deleted").otherwise("marked"))
+    gone = judged.filter("status = 'deleted'").select("id")
+    entries = judged.select(F.col("survivor").alias("survivor_id"), F.col("id").alias("duplicate_id"), F.lit("exact").alias("reason"), "status")
+    return rows.join(gone, "id", "left_anti"), lineage.unionByName(entries), embeddings.join(gone, "id", "left_anti")
+
+
+def apply_consolidation(clusters: DataFrame, rows: DataFrame, summarize, accept, scrub, target: int = 1) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """entries, rows, skipped after each cluster (project, bucket, ids, text) is summarised by an injected function: a
+    summary that is there and accepted becomes a derived entry of importance 5 that names its sources, which are
+    demoted; others are skipped with a reason. Clusters are summarised where they lie, one call each."""
+    import pandas as pd
+
+    def run(parts):
+        for pdf in parts:
+            out = []
+            for project, bucket, ids, text in zip(pdf["project"], pdf["bucket"], pdf["ids"], pdf["text"]):
+                made = summarize(text)
+                reason = "extraction_failed" if not made else None if accept(made) else "quality_failed"
+                out.append((project, bucket, list(ids), None if reason else scrub(made), reason))
+            yield pd.DataFrame(out, columns=["project", "bucket", "ids", "summary", "reason"])
+
+    id_type = clusters.schema["ids"].dataType.simpleString()
+    done = clusters.select("project", "bucket", "ids", "text").mapInPandas(run, f"project string, bucket long, ids {id_type}, summary string, reason string")
+    entries = done.filter("reason IS NULL").select("project", "bucket", F.col("summary").alias("extract"), F.lit(5).alias("importance"), F.lit("derived").alias("provenance"), F.col("ids").alias("source_ids"))
+    sources = entries.select(F.explode("source_ids").alias("id"))
+    return entries, demote(rows, sources, target), done.filter("reason IS NOT NULL").select("project", "bucket", "reason")
+
+
+def procedures(clusters: DataFrame, generate) -> DataFrame:
+    """title, trigger, steps, sources, n, confidence of clusters (leader, ids, text) from an injected generator's answer
+    (TITLE, TRIGGER, STEPS); an answer without title or steps gives none. Three members make the confidence high."""
+    answer = F.udf(generate, "string")
+    read = lambda p: F.trim(F.regexp_extract("answer", p, 1))
+    made = clusters.withColumn("answer", answer("text")).select(read(r"TITLE:\s*(.+)").alias("title"), read(r"TRIGGER:\s*(.+)").alias("trigger"), F.regexp_replace(read(r"(?s)STEPS:\s*(.+)"), r"\s+\z", "").alias("steps"), F.array_join("ids", ",").alias("sources"), F.size("ids").cast("long").alias("n"))
+    return made.filter("title <> '' AND steps <> ''").withColumn("confidence", F.when(F.col("n") >= 3, "high").otherwise("medium"))
 
 
 def importance_backfill(rows: DataFrame, force: bool = False) -> DataFrame:

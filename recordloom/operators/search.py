@@ -319,10 +319,15 @@ def biased(rank: Column, table: Column, favoured: str | None) -> Column:
     return F.when(table != favoured, rank).when(rank < 0, rank * 4).when(rank > 0, rank / 4).otherwise(-2.220446049250313e-16)
 
 
+def _let(value: Column, use) -> Column:
+    """use(value), with the value made once: a lambda's variable is bound, where a Column would be repeated."""
+    return F.transform(F.array(value), use)[0]
+
+
 def snippet(text: Column, words: list[str], size: int = 40) -> Column:
     """Up to `size` tokens around the first match, matches between double stars."""
-    parts = F.filter(F.split(text, r"\s+"), lambda x: x != "")
-    plain = F.transform(parts, lambda x: F.array_join(tokens(x), " "))
-    at = F.coalesce(F.try_element_at(F.filter(F.sequence(F.lit(1), F.greatest(F.size(parts), F.lit(1))), lambda i: F.try_element_at(plain, i).isin(*words)), F.lit(1)), F.lit(1)) if words else F.lit(1)
-    begin = F.greatest(at - size // 4, F.lit(1))
-    return F.array_join(F.transform(F.slice(parts, begin, size), lambda x: F.when(F.array_join(tokens(x), " ").isin(*words), F.concat(F.lit("**"), x, F.lit("**"))).otherwise(x)), " ")
+    hit = lambda x: F.array_join(tokens(x), " ").isin(*words) if words else F.lit(False)
+    parts = F.transform(F.filter(F.split(text, r"\s+"), lambda x: x != ""), lambda x: F.struct(x.alias("w"), hit(x).alias("hit")))
+    shown = lambda x: F.when(x["hit"], F.concat(F.lit("**"), x["w"], F.lit("**"))).otherwise(x["w"])
+    begin = lambda m: F.greatest(F.array_position(F.transform(m, lambda x: x["hit"]), True) - size // 4, F.lit(1)).cast("int")
+    return _let(parts, lambda m: F.array_join(F.transform(F.slice(m, begin(m), size), shown), " "))

@@ -78,7 +78,7 @@ def _phrase(*words):
 
 
 def _marked(spark, d):
-    rows = A.records(spark, d).withColumn("table", F.lit("documents"))
+    rows = store.spread(A.records(spark, d)).withColumn("table", F.lit("documents"))
     return dedup.plan_exact(dedup.candidates(rows, F.col("text")))
 
 
@@ -245,11 +245,6 @@ def _pairs(spark, d, threshold=0.3):
     return vector.pairs(e, threshold)
 
 
-@_query(f"SELECT a, b, round(s, 6) AS similarity FROM (SELECT x.vec_id AS a, y.vec_id AS b, {_COS.format(a='x.embedding', b='y.embedding')} AS s FROM embeddings x JOIN embeddings y ON x.vec_id < y.vec_id AND x.label IS NOT DISTINCT FROM y.label) WHERE s >= 0.3")
-def semantic_pairs(spark, d):
-    return _pairs(spark, d).select("a", "b", F.round("similarity", 6).alias("similarity"))
-
-
 @_query()
 def semantic_greedy_marks(spark, d):
     e = A.table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").cast("string").alias("project"), F.lit(None).cast("string").alias("provenance"), F.lit(1).alias("chars"), F.lit(5).alias("importance"), F.col("vec_id").alias("minute"))
@@ -424,16 +419,6 @@ def threat_counts(spark, d):
     return t.select("doc_id", F.regexp_count("text", F.lit(T.THREATS[3][1])).cast("long").alias("n"))
 
 
-@_query()
-def threat_findings(spark, d):
-    return A.table(spark, d, "conversations").select("conv_id", "turn", F.explode(T.threats("text")).alias("f")).select("conv_id", "turn", "f.*")
-
-
-@_query()
-def correction_labels(spark, d):
-    return A.messages(spark, d).filter("role = 'user'").select("id", T.correction_label(F.col("content")).alias("label"))
-
-
 @_query("SELECT doc_id, len(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '')) >= 50 AND length(regexp_replace(text, '\\s', '', 'g')) >= 100 AS good FROM documents")
 def quality_gate(spark, d):
     return A.table(spark, d, "documents").select("doc_id", T.passes_quality(F.col("text")).alias("good"))
@@ -521,17 +506,6 @@ def session_progress(spark, d):
     return _session_events(spark, d).groupBy("session_id").agg(F.count_if("is_turn").alias("turns"), F.count_if(~F.col("is_turn")).alias("tools"), F.max("event_id").alias("last"))
 
 
-@_query()
-def cadence_fires(spark, d):
-    return progress.cadence_batch(_session_events(spark, d))
-
-
-@_query()
-def correction_gate(spark, d):
-    e = A.table(spark, d, "events").select(F.col("user_id").cast("long").alias("session_id"), F.row_number().over(W.partitionBy("user_id").orderBy("event_id")).cast("long").alias("n"), (F.col("event_type") == "click").alias("is_correction"))
-    return progress.correction_gate(e)
-
-
 @_query("SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS start, event_type, count(*) AS n FROM events GROUP BY ALL")
 def tumbling_activity(spark, d):
     return progress.tumbling(A.table(spark, d, "events")).withColumn("start", F.date_format("start", "yyyy-MM-dd HH:mm:ss"))
@@ -547,11 +521,6 @@ def freshness(spark, d):
     return quality.freshness(A.messages(spark, d), "minute", 6000)
 
 
-@_query()
-def export_manifest(spark, d):
-    return quality.manifest({"messages": A.messages(spark, d), "documents": A.records(spark, d), "decisions": A.decisions(spark, d)})
-
-
 _O = "SELECT o_orderkey AS id, o_orderstatus AS status, o_totalprice AS price FROM orders"
 
 
@@ -582,7 +551,7 @@ def access_totals(spark, d):
 _NEW = "thtion thing thble ering nicht erble and thtion"
 
 
-@_query(rf"SELECT id, shared FROM (SELECT id, len(list_filter(string_split('{_NEW}', ' '), lambda w: length(w) > 4 AND list_contains(regexp_split_to_array(lower(content), '[\t-\r ]+'), w))) AS shared FROM {M}) WHERE shared >= 1")
+@_query(rf"SELECT id, shared FROM (SELECT id, len(list_filter(string_split('{_NEW}', ' '), lambda w: length(w) > 4 AND list_contains(regexp_split_to_array(lower(content), '[\t-\r ]+'), w))) AS shared FROM {M}) WHERE shared >= 3")
 def superseded_by_words(spark, d):
     m = A.messages(spark, d).select("id", F.col("content").alias("decision"), F.lit("active").alias("status"))
     return upkeep.superseded_by(m, _NEW, 1).select("id", F.col("shared").cast("long").alias("shared"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import math
 from datetime import datetime, timezone
 
 import pandas as pd
@@ -56,9 +57,11 @@ def flatten_text(value) -> str:
 def seconds(value, fallback: float = 0.0) -> float:
     """Numbers over 1e12 are milliseconds; numeric strings are seconds; other strings are dates."""
     if isinstance(value, (int, float)) and not isinstance(value, bool):
-        return value / 1000 if value > 1e12 else float(value)
+        return fallback if not math.isfinite(value) else value / 1000 if value > 1e12 else float(value)
     try:
-        return float(value)
+        if math.isfinite(number := float(value)):
+            return number
+        return fallback
     except (TypeError, ValueError):
         pass
     try:
@@ -87,20 +90,41 @@ def _claude(conv: dict):
         yield m.get("sender") or m.get("role"), seconds(m.get("created_at") or m.get("timestamp")), flatten_text(m.get("text") or m.get("content"))
 
 
+def _first(*values):
+    """The first that is a filled string."""
+    return next((v.strip() for v in values if isinstance(v, str) and v.strip()), None)
+
+
 def _slack(m: dict):
-    if m.get("subtype") == "message_deleted":
+    if _first(m.get("subtype")) == "message_deleted":
         return
-    text = m.get("text") or "\n".join(str(a.get(k)) for a in m.get("attachments") or [] for k in ("pretext", "title", "text", "fallback") if a.get(k)) or flatten_text(m.get("blocks"))
-    profile = m.get("user_profile") or {}
-    sender = profile.get("display_name") or profile.get("real_name") or profile.get("name") or m.get("username") or m.get("user") or m.get("bot_id") or "unknown"
-    yield "assistant" if m.get("bot_id") else "user", seconds(m.get("ts")), f"[{sender}] {text}" if text else ""
+    text = flatten_text(m.get("text"))
+    if not text.strip():
+        # Of an attachment the first field that is there counts.
+        shown = [flatten_text(next((a[k] for k in ("pretext", "title", "text", "fallback") if a.get(k) is not None), None)) for a in m.get("attachments") or [] if isinstance(a, dict)]
+        text = "\n".join(x for x in shown if x)
+    if not text.strip():
+        text = flatten_text(m.get("blocks"))
+    profile, bot = (x if isinstance(x, dict) else {} for x in (m.get("user_profile"), m.get("bot_profile")))
+    sender = _first(profile.get("real_name"), profile.get("display_name"), profile.get("name"), m.get("username"), bot.get("name"), m.get("user"), m.get("bot_id")) or "unknown"
+    is_bot = bool(m.get("bot_id")) or _first(m.get("subtype")) == "bot_message"
+    at = m.get("ts") if m.get("ts") is not None else m.get("thread_ts")
+    yield "assistant" if is_bot else "user", seconds(at), f"[{sender}] {text}" if text.strip() else ""
 
 
 def parse_export(payload: str, kind: str, path: str) -> list[tuple]:
-    data = json.loads(payload)
+    """Messages of one export file; what is no JSON, or no object where one is meant, gives none."""
+    try:
+        data = json.loads(payload)
+    except ValueError:
+        return []
+    if kind == "slack" and isinstance(data, dict) and isinstance(data.get("messages"), list):
+        data = data["messages"]
     items = data if isinstance(data, list) else [data]
     out = []
     for n, conv in enumerate(items):
+        if not isinstance(conv, dict):
+            continue
         if kind == "slack":
             session, title, turns = "/".join(path.rsplit("/", 2)[-2:]).removesuffix(".json"), None, _slack(conv)
         else:
@@ -175,3 +199,62 @@ def documents(files: DataFrame, least: int = 500) -> DataFrame:
     purpose = F.regexp_extract("text", r"(?im)^\**Purpose:?\**:?\s*(.+)$", 1)
     lines = F.filter(F.slice(F.split("text", "\n"), 1, 20), lambda x: (F.length(F.trim(x)) > 30) & ~x.startswith("#"))
     return big.select("path", F.trim(title).alias("title"), F.when(purpose != "", purpose).otherwise(F.coalesce(F.try_element_at(lines, F.lit(1)), F.lit(""))).alias("summary"))
+
+
+#: File name (upper case, without ending) to type; others are `other`. Fixed values.
+PURPOSES = {"GOALS": "goal", "PROBLEMS": "problem", "MISSION": "mission", "CHALLENGES": "challenge", "STRATEGIES": "strategy", "PROJECTS": "project", "TELOS": "identity"}
+
+
+def purposes(files: DataFrame) -> DataFrame:
+    """code, type, title, content of purpose files (path, text): the code is the file's name, the title its first
+    heading; empty files give none."""
+    code = F.upper(F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.md$", ""))
+    kinds = F.create_map(*(F.lit(x) for pair in PURPOSES.items() for x in pair))
+    clean = F.regexp_replace("text", r"\A\s+|\s+\z", "")
+    rows = files.filter(F.col("path").endswith(".md")).select(code.alias("code"), clean.alias("content")).filter("content <> ''")
+    head = F.trim(F.regexp_extract("content", r"(?m)^#\s+(.+)$", 1))
+    return rows.select("code", F.coalesce(F.try_element_at(kinds, F.col("code")), F.lit("other")).alias("type"), F.when(head == "", F.col("code")).otherwise(head).alias("title"), "content")
+
+
+def tracker_state(payloads: DataFrame) -> DataFrame:
+    """path, size, extracted_at, failed_at, retry_after, error of a state file's object of objects (payload)."""
+    kind = "map<string,struct<size:bigint,extractedAt:string,failedAt:string,retryAfter:string,error:string>>"
+    rows = payloads.select(F.explode(F.from_json("payload", kind)).alias("path", "s"))
+    return rows.select("path", F.coalesce("s.size", F.lit(0)).alias("size"), F.col("s.extractedAt").alias("extracted_at"), F.col("s.failedAt").alias("failed_at"), F.col("s.retryAfter").alias("retry_after"), F.col("s.error").alias("error"))
+
+
+def session_index(payloads: DataFrame, most: int = 500) -> DataFrame:
+    """session_id, project, timestamp, summary, topics: the newest of an index file's entries; those without a time go."""
+    kind = "array<struct<sessionId:string,project:string,timestamp:string,summary:string,topics:array<string>>>"
+    rows = payloads.select(F.inline(F.from_json("payload", kind))).filter("timestamp IS NOT NULL")
+    shown = rows.select(F.col("sessionId").alias("session_id"), "project", "timestamp", "summary", F.coalesce("topics", F.array().cast("array<string>")).alias("topics"))
+    return shown.orderBy(F.desc("timestamp"), "session_id").limit(most)
+
+
+def error_patterns(payloads: DataFrame, now: str) -> DataFrame:
+    """error, fix, context, first_seen, last_seen: a later entry of an error replaces an earlier one."""
+    kind = "struct<patterns:array<struct<error:string,fix:string,context:string,cause:string,date:string,firstSeen:string,lastSeen:string>>>"
+    rows = payloads.select(F.posexplode(F.from_json("payload", kind)["patterns"]).alias("n", "p")).select("n", "p.*")
+    newest = rows.groupBy("error").agg(F.max_by(F.struct("fix", F.coalesce("context", "cause").alias("context"), F.coalesce("firstSeen", "date", F.lit(now)).alias("first_seen"), F.coalesce("lastSeen", "date", F.lit(now)).alias("last_seen")), "n").alias("x"))
+    return newest.select("error", "x.*")
+
+
+def coerce_time(value: Column, fallback: Column) -> Column:
+    """Seconds since 1970 of a time given as JSON: a number above 10^12 is in milliseconds, other numbers and numbers in
+    quotes in seconds, all else a date; the fallback where it is none."""
+    bare = F.regexp_replace(value, '^"|"$', "")
+    number = bare.try_cast("double")
+    quoted = value.startswith('"')
+    date = F.unix_millis(F.try_to_timestamp(bare)) / 1000.0
+    return F.coalesce(F.when(number.isNotNull(), F.when(~quoted & (number > 1e12), number / 1000).otherwise(number)).otherwise(date), fallback)
+
+
+def free_name(taken: set[str], name: str) -> str:
+    """The name, or with -1, -2, ... before its ending the first that is not taken."""
+    stem, dot, end = name.rpartition(".")
+    stem, end = (stem, dot + end) if dot else (end, "")
+    n, out = 0, name
+    while out in taken:
+        n += 1
+        out = f"{stem}-{n}{end}"
+    return out

@@ -57,6 +57,22 @@ def derived(spark: SparkSession, name: str, version: str, build: Callable[[], Da
     return spark.read.parquet(path)
 
 
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """The same rows as a table in the shared folder: lineage ends there, and a lost executor costs a re-read."""
+    path = f"{shared_dir(df.sparkSession)}/recordloom-staged/{name}-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def drop_staged(*tables: DataFrame) -> None:
+    """Delete staged tables that no later plan reads."""
+    for table in tables:
+        spark = table.sparkSession
+        for folder in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def forget(spark: SparkSession, name: str, keep: str | None = None) -> None:
     """Delete a derived table's versions, but for the one to keep."""
     hadoop = spark._jvm.org.apache.hadoop.fs.Path
@@ -65,3 +81,10 @@ def forget(spark: SparkSession, name: str, keep: str | None = None) -> None:
     for s in fs.listStatus(folder) if fs.exists(folder) else []:
         if s.getPath().getName() != keep:
             fs.delete(s.getPath(), True)
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """The same rows, dealt out over all cores where their files are fewer than those: one file's text would otherwise
+    be read and cut in one task."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(2 * cores) if len(rows.inputFiles()) < cores else rows

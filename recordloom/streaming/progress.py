@@ -78,3 +78,54 @@ def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "1 hour") -
     """Extension: activity sessions of each user."""
     ts = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
     return ts.groupBy(F.session_window("ts", gap), "user_id").agg(F.count("*").alias("n")).select("user_id", F.col("session_window.start").alias("start"), "n")
+
+
+GATE = "n long, last long"
+
+
+def _gate(gap: int):
+    def run(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        n, last = state.get if state.exists else (0, -1)
+        out = []
+        for r in pd.concat(list(pdfs)).sort_values("event_id").itertuples():
+            n += 1
+            if r.is_correction and (last < 0 or n - last >= gap):
+                last = n
+                out.append((int(key[0]), int(n)))
+        state.update((int(n), int(last)))
+        yield pd.DataFrame(out, columns=["session_id", "n"])
+
+    return run
+
+
+def correction_gate_stream(prompts: DataFrame, gap: int = 3) -> DataFrame:
+    """correction_gate() on streams (session_id, event_id, is_correction): the prompts' count is keyed state."""
+    return prompts.groupBy("session_id").applyInPandasWithState(_gate(gap), "session_id long, n long", GATE, "append", GroupStateTimeout.NoTimeout)
+
+
+def unread(messages: DataFrame, cursor: DataFrame) -> DataFrame:
+    """Messages (session_id, offset) past their session's cursor (session_id, last); all, if it has none."""
+    own = cursor.select(F.col("session_id").alias("_s"), "last")
+    joined = messages.join(own, F.col("session_id") == F.col("_s"), "left")
+    return joined.filter(F.col("offset") > F.coalesce("last", F.lit(-1))).select(*messages.columns)
+
+
+def advanced(cursor: DataFrame, read: DataFrame, failed: DataFrame) -> DataFrame:
+    """The cursor after a run: sessions that succeeded stand at their last message, failed ones (session_id) stay."""
+    new = read.join(failed.select("session_id").distinct(), "session_id", "left_anti").groupBy("session_id").agg(F.max("offset").alias("_new"))
+    return cursor.join(new, "session_id", "full_outer").select("session_id", F.greatest("last", "_new").alias("last"))
+
+
+def append_once(path: str, keys: list[str]):
+    """A foreachBatch sink that may see a batch again: rows whose keys the table at path holds are left out, and so are
+    a batch's own repeats."""
+
+    def write(batch: DataFrame, _: int) -> None:
+        spark = batch.sparkSession
+        new = batch.dropDuplicates(keys)
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        if at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+            new = new.join(spark.read.parquet(path).select(*keys).distinct(), keys, "left_anti")
+        new.write.mode("append").parquet(path)
+
+    return write
