@@ -6,7 +6,7 @@ shifted by the set bits of its weights, added with carry-save bitmap arithmetic.
 from the most significant slice of the sum downward; rows that the dropped low bits could still bring up to it are
 the boundary rows, and those are scored exactly.
 
-Every (block of queries, block of rows) is one bounded group, dealt by key; nothing is broadcast or collected. Vectors
+Each row is in one block, whose index is built once; the queries pass it in chunks. Nothing is broadcast or collected. Vectors
 that are null, empty or hold a null or a non-finite component take no part, nor do rows without an id. Vectors of
 different lengths are never compared. A (vec_id, vector) row that repeats counts once; where one id has several
 vectors, the smallest is its query. Vectors with a component beyond +-2^20 after scaling stay out of the index and are
@@ -143,43 +143,75 @@ def _exactly(weights: np.ndarray, ids: np.ndarray, values: np.ndarray, k: int, o
         yield np.array([max(min(scores[i], _MOST), -_MOST) for i in best], np.int64), ids[other[best]]
 
 
-def top_k(vectors: DataFrame, k: int = 5, every: int = 50, vector: str = "embedding", query_block: int = 256, row_block: int = 4096) -> DataFrame:
-    """Queries are the rows whose vec_id is divisible by `every`. Returns query_id, rank, vec_id, score."""
-    rows = stage(quantise(vectors, vector), "vectors").withColumn("dim", F.size(F.coalesce("v", "wide")))
-    queries = rows.filter(F.col("vec_id") % every == 0).groupBy("vec_id", "dim").agg(F.min(F.struct("v", "wide")).alias("least")).select("vec_id", "dim", "least.*")
-    n, m = (max(1, -(-x.count() // size)) for x, size in ((rows, row_block), (queries, query_block)))
-    block = lambda of, seed: F.pmod(F.xxhash64("vec_id", F.lit(seed)), F.lit(of)).cast("int")
-    dealt = rows.select("dim", block(n, 1).alias("rb"), F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias("qb"), F.lit(False).alias("query"), "vec_id", "v", "wide").unionByName(
-        queries.select("dim", block(m, 2).alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("rb"), F.lit(True).alias("query"), "vec_id", "v", "wide")
-    )
-
-    def search(table: pa.Table) -> pa.Table:
-        is_query = table.column("query").to_numpy(zero_copy_only=False)
-        ids, dim = table.column("vec_id").to_numpy(), table.column("dim")[0].as_py()
-        is_wide = table.column("v").is_null().to_numpy(zero_copy_only=False)
-        values = np.empty((len(ids), dim), np.int64)
-        for name, at in (("v", ~is_wide), ("wide", is_wide)):
-            if at.any():
-                values[at] = table.column(name).combine_chunks().flatten().to_numpy().reshape(-1, dim)
-        out: list[list] = [[], [], []]
-
-        def keep(asked, tops):
-            for q, (scores, found) in zip(asked, tops):
-                out[0] += [int(q)] * len(found)
-                out[1] += found.tolist()
-                out[2] += scores.tolist()
-
-        plain = ~is_query & ~is_wide
-        if is_query.any() and plain.any():
-            index, asked = BitSlicedBlock(ids[plain], values[plain]), np.flatnonzero(is_query & ~is_wide)
-            for at in range(0, len(asked), 64):
-                own = asked[at : at + 64]
-                keep(ids[own], index.top(values[own], k, ids[own]))
-        for asked, rows in ((is_query & ~is_wide, ~is_query & is_wide), (is_query & is_wide, ~is_query)):
+class _Rows:
+    """One block of rows while the queries pass: its index, built once, and the rows that stay out of it."""
+
+    def __init__(self, dim: int):
+        self.dim, self.parts, self.index = dim, [], None
+
+    def add(self, ids: np.ndarray, values: np.ndarray, is_wide: np.ndarray) -> None:
+        self.parts.append((ids, values, is_wide))
+
+    def top(self, ids: np.ndarray, values: np.ndarray, is_wide: np.ndarray, k: int):
+        """(queries, their k best in this block) for each kind of query and row."""
+        if self.parts:
+            self.ids, self.values, self.wide = (np.concatenate(x) for x in zip(*self.parts))
+            self.parts, plain = [], ~self.wide
+            self.index = BitSlicedBlock(self.ids[plain], self.values[plain]) if plain.any() else None
+        elif self.index is None and not hasattr(self, "ids"):
+            return
+        if self.index is not None and not is_wide.all():
+            yield ids[~is_wide], self.index.top(values[~is_wide], k, ids[~is_wide])
+        for asked, rows in ((~is_wide, self.wide), (is_wide, np.ones(len(self.ids), bool))):
             if asked.any() and rows.any():
-                keep(ids[asked], _exactly(values[asked], ids[rows], values[rows], k, ids[asked]))
-        return pa.table([pa.array(c, pa.int64()) for c in out], ["query_id", "vec_id", "score"])
+                yield ids[asked], _exactly(values[asked], self.ids[rows], self.values[rows], k, ids[asked])
+
 
-    found = dealt.groupBy("dim", "rb", "qb").applyInArrow(search, "query_id long, vec_id long, score long")
+def _read(batch: pa.RecordBatch, dim: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """ids, values and whether they are wide, of rows of one length."""
+    v, wide = (batch.column(batch.schema.get_field_index(n)) for n in ("v", "wide"))
+    is_wide, ids = v.is_null().to_numpy(zero_copy_only=False), batch.column(batch.schema.get_field_index("vec_id")).to_numpy()
+    values = np.empty((len(ids), dim), np.int64)
+    for column, at in ((v, ~is_wide), (wide, is_wide)):
+        if at.any():
+            values[at] = column.flatten().to_numpy().reshape(-1, dim)
+    return ids, values, is_wide
+
+
+def top_k(vectors: DataFrame, k: int = 5, every: int = 50, vector: str = "embedding", row_block: int = 4096, chunk: int = 64) -> DataFrame:
+    """Queries are the rows whose vec_id is divisible by `every`. Returns query_id, rank, vec_id, score. An empty table
+    gives an empty result; other columns are ignored, whatever their names."""
+    spark = vectors.sparkSession
+    rows = stage(quantise(vectors, vector), "vectors").withColumn("dim", F.size(F.coalesce("v", "wide")))
+    queries = rows.filter(F.col("vec_id") % every == 0).groupBy("vec_id", "dim").agg(F.min(F.struct("v", "wide")).alias("least")).select("vec_id", "dim", "least.*")
+    n = max(1, -(-rows.count() // row_block))
+    # Every row goes to one block, every query to all: a block's rows come first, then the queries pass its index in
+    # chunks, so a task holds one block and one chunk however many there are of either.
+    own = rows.select("dim", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(n)).cast("int").alias("block"), F.lit(False).alias("query"), "vec_id", "v", "wide")
+    asked = queries.select("dim", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("block"), F.lit(True).alias("query"), "vec_id", "v", "wide")
+    tasks = max(n, spark.sparkContext.defaultParallelism)
+    dealt = own.unionByName(asked).repartition(tasks, "dim", "block").sortWithinPartitions("dim", "block", "query", "vec_id")
+
+    def search(batches):
+        now, held = None, None
+        for batch in batches:
+            dim, block, query = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+            cut = np.flatnonzero((np.diff(dim) != 0) | (np.diff(block) != 0) | (query[1:] != query[:-1])) + 1
+            for start, end in zip([0, *cut.tolist()], [*cut.tolist(), batch.num_rows]):
+                if (key := (int(dim[start]), int(block[start]))) != now:
+                    now, held = key, _Rows(key[0])
+                if not query[start]:
+                    held.add(*_read(batch.slice(start, end - start), key[0]))
+                    continue
+                for at in range(start, end, chunk):
+                    out: list[list] = [[], [], []]
+                    for ids, tops in held.top(*_read(batch.slice(at, min(chunk, end - at)), key[0]), k):
+                        for q, (scores, found) in zip(ids, tops):
+                            out[0] += [int(q)] * len(found)
+                            out[1] += found.tolist()
+                            out[2] += scores.tolist()
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], ["query_id", "vec_id", "score"])
+
+    found = dealt.mapInArrow(search, "query_id long, vec_id long, score long")
     ranked = found.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
     return ranked.filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

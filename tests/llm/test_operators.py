@@ -252,7 +252,7 @@ def test_bitslice(spark):
         scores = sorted((-int(clean[q] @ v), i) for i, v in clean.items() if i != q and len(v) == len(clean[q]))
         expected |= {(q, n, i, -s) for n, (s, i) in enumerate(scores[:5], 1)}
     for block in (64, 4096):
-        assert {tuple(r) for r in bitslice.top_k(df, query_block=4, row_block=block).collect()} == expected
+        assert {tuple(r) for r in bitslice.top_k(df, chunk=4, row_block=block).collect()} == expected
     assert bitslice.top_k(df.limit(0)).count() == 0
 
 
@@ -266,7 +266,7 @@ def test_bitslice_of_huge_components(spark):
         scores = sorted((-max(-most, min(most, sum(a * b for a, b in zip(clean[q], v)))), i) for i, v in clean.items() if i != q)
         expected |= {(q, n, i, -s) for n, (s, i) in enumerate(scores[:5], 1)}
     assert any(abs(x) > 1 << 40 for v in clean.values() for x in v)
-    assert {tuple(r) for r in bitslice.top_k(df, query_block=2, row_block=64).collect()} == expected
+    assert {tuple(r) for r in bitslice.top_k(df, chunk=2, row_block=64).collect()} == expected
 
 
 def test_rotation(spark):
