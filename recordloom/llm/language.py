@@ -120,10 +120,15 @@ def train(docs: DataFrame, per_label: int = 400, width: int = 4096, most_labels:
     most_labels labels are an error, as the machines (one for each pair in a family) are learnt at the driver."""
     labelled = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
     rows = labelled.select(F.col("lang").cast("string").alias("lang"), F.xxhash64(F.lit(11), "doc_id", "text").alias("key"), "text")
-    rank = F.row_number().over(W.partitionBy("lang").orderBy("key"))
-    chosen = stage(rows.select("lang", "key").distinct().withColumn("rank", rank).filter(F.col("rank") <= per_label).select("lang", "key"), "language-rows")
-    if (labels := chosen.select("lang").distinct().count()) > most_labels:
-        raise ValueError(f"{labels} labels; at most {most_labels} can be learnt")
+    keys = stage(rows.select("lang", "key").distinct(), "language-keys")
+    counts = keys.groupBy("lang").count()
+    if (labels := counts.limit(most_labels + 1).count()) > most_labels:
+        raise ValueError(f"over {most_labels} labels ({labels} seen) can not be learnt")
+    # Of a frequent label only the smallest hashes are ranked, about four times the quota, so that no task ranks them all.
+    share = F.lit(4.0 * per_label) / F.col("count")
+    few = keys.join(F.broadcast(counts), "lang").filter((F.shiftrightunsigned("key", 11) / F.lit(float(1 << 53))) < share)  # most_labels rows at most
+    rank = F.row_number().over(W.partitionBy("lang").orderBy(F.shiftrightunsigned("key", 11), "key"))
+    chosen = stage(few.withColumn("rank", rank).filter(F.col("rank") <= per_label).select("lang", "key"), "language-rows")
     taken = rows.join(chosen, ["lang", "key"]).groupBy("lang", "key").agg(F.min("text").alias("text"))
 
     def vectors(batches):
