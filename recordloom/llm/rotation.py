@@ -30,9 +30,10 @@ def _escaped(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(text, r"<(\\*)\|", r"<$1\\|"), r"\|(\\*)>", r"|$1\\>")
 
 
-def _placed(turns: DataFrame) -> DataFrame:
-    """conv, turn, role, text and the place of each turn in its conversation, from 0. Only counts for each conversation
-    and task meet in a window: as many rows of one conversation as there are tasks."""
+def _placed(turns: DataFrame, speakers: DataFrame) -> DataFrame:
+    """conv, role, text, speakers and the place of each turn in its conversation, from 0. Only counts for each
+    conversation and task meet in a window: as many rows of one conversation as there are tasks. The speakers come with
+    those, so the texts need no further join; a conversation without speakers is left out."""
     order = ["conv", "turn", "role", "text"]
     # Rows that agree on all of these are alike, so it does not matter which comes first.
     dealt = turns.repartitionByRange("conv", "turn", "role", F.xxhash64("text")).sortWithinPartitions(*order)
@@ -40,23 +41,24 @@ def _placed(turns: DataFrame) -> DataFrame:
     stretches = kept.groupBy("conv", "task").agg(F.min("id").alias("first"), F.count("*").alias("n"))
     before = F.sum("n").over(W.partitionBy("conv").orderBy("task")) - F.col("n")
     begun = stretches.select(F.col("conv").alias("conv_"), F.col("task").alias("task_"), (F.col("first") - before).alias("zero"))
+    begun = begun.join(speakers, F.col("conv_").eqNullSafe(F.col("of")))
     # One row of `begun` for each conversation of a task, so no key has more rows than a task.
     joined = kept.join(begun, F.col("conv").eqNullSafe(F.col("conv_")) & (F.col("task") == F.col("task_")))
-    return joined.select(*order, (F.col("id") - F.col("zero")).alias("place"))
+    return joined.select("conv", "role", "text", "speakers", (F.col("id") - F.col("zero")).alias("place"))
 
 
 def rotate(turns: DataFrame, turns_per_part: int = 1024, system: str = "system") -> DataFrame:
     """Returns conv_id, part (from 0), perspective, text, mask (lengths of the text's pieces in code points, each with 1
     if trained on, `length:flag` joined by commas), n_turns, n_trained, n_chars."""
     clean = turns.select(F.col("conv_id").alias("conv"), "turn", F.coalesce(F.col("role").cast("string"), F.lit("unknown")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    placed = _placed(clean)
+    speakers = clean.filter(F.col("role") != system).groupBy(F.col("conv").alias("of")).agg(F.array_sort(F.collect_set("role")).alias("speakers"))
+    placed = _placed(clean, speakers)
     parts = (
         placed.withColumn("part", F.floor(F.col("place") / turns_per_part).cast("long"))
-        .groupBy("conv", "part").agg(F.array_sort(F.collect_list(F.struct("place", "role", "text"))).alias("turns"))
+        .groupBy("conv", "part").agg(F.array_sort(F.collect_list(F.struct("place", "role", "text"))).alias("turns"), F.first("speakers").alias("speakers"))
         .withColumn("turns", F.transform("turns", lambda t: F.struct(t["role"].alias("role"), _escaped(t["text"]).alias("text"))))
     )
-    speakers = clean.filter(F.col("role") != system).select(F.col("conv").alias("of"), F.col("role").alias("perspective")).distinct()
-    seats = parts.join(speakers, F.col("conv").eqNullSafe(F.col("of")))
+    seats = parts.select("conv", "part", "turns", F.explode("speakers").alias("perspective"))
 
     name = lambda role: _escaped(F.regexp_replace(role, r"[\r\n]", " "))
     head = lambda t: F.when(t["role"] == system, F.lit("<|system|>\n")).when(t["role"] == F.col("perspective"), F.lit("<|assistant|>\n")).otherwise(F.concat(F.lit("<|user name="), name(t["role"]), F.lit("|>\n")))
