@@ -159,7 +159,8 @@ def _shared_phrases(docs: DataFrame, most_words: int) -> DataFrame:
 
 
 def _covered(docs: DataFrame, most_words: int) -> DataFrame:
-    """doc_id, text_hash, starts, n: from each start on, n windows of that text also start in an earlier document."""
+    """doc_id, text_hash, start, more, n: from start on (and from each of more, if any) n windows of that text also start in
+    an earlier document."""
 
     def emit(batches):
         known = Names()
@@ -184,18 +185,22 @@ def _covered(docs: DataFrame, most_words: int) -> DataFrame:
             own = block.doc[np.concatenate([start, w[new]])]
             one = np.concatenate([_mix(start.astype(_U) + _mix(doc_ids[block.doc[start]].view(_U))), a[new]]).view(np.int64)
             two = np.concatenate([np.zeros(len(start), np.int32), (b[new] >> _U(32)).astype(np.uint32).view(np.int32)])
-            place = np.concatenate([start, w])
-            ends = np.concatenate([np.arange(len(start)), len(start) + new, [len(place)]]).astype(np.int32)
-            starts = pa.ListArray.from_arrays(pa.array(ends), pa.array((place - block.first[block.doc[place]]).astype(np.int32)))
+            inside = (w - block.first[block.doc[w]]).astype(np.int32)
+            first = np.concatenate([start - block.first[block.doc[start]], inside[new]]).astype(np.int32)
+            rest, counts = np.ones(len(w), bool), np.diff(np.r_[new, len(w)]) - 1
+            rest[new] = False
+            counts = np.concatenate([np.zeros(len(start), np.int64), counts])
+            ends = np.r_[0, np.cumsum(counts)].astype(np.int32)
+            more = pa.ListArray.from_arrays(pa.array(ends), pa.array(inside[rest]), mask=pa.array(counts == 0))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(one), pa.array(two), pa.array(doc_ids[own]), pa.array(hashes[own]), starts, pa.array(np.concatenate([n, np.zeros(len(new), np.int64)]).astype(np.int32))],
-                ["h1", "h2", "doc_id", "text_hash", "starts", "n"],
+                [pa.array(one), pa.array(two), pa.array(doc_ids[own]), pa.array(hashes[own]), pa.array(first), more, pa.array(np.concatenate([n, np.zeros(len(new), np.int64)]).astype(np.int32))],
+                ["h1", "h2", "doc_id", "text_hash", "start", "more", "n"],
             )
 
     def meet(batches):
         held = (None, None, None)
         for batch in batches:
-            h1, h2, doc, n = (batch.column(i).to_numpy() for i in (0, 1, 2, 5))
+            h1, h2, doc, n = (batch.column(i).to_numpy() for i in (0, 1, 2, 6))
             new = np.r_[True, (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])]
             least = doc[new][np.cumsum(new) - 1]
             if (h1[0], h2[0]) == held[:2]:
@@ -203,11 +208,11 @@ def _covered(docs: DataFrame, most_words: int) -> DataFrame:
                 least[:upto] = held[2]
             out = pa.array((n > 0) | (doc > least))
             held = (h1[-1], h2[-1], least[-1])
-            yield pa.RecordBatch.from_arrays([*(batch.column(i).filter(out) for i in (2, 3, 4)), pa.array(np.maximum(n, 1)).filter(out)], ["doc_id", "text_hash", "starts", "n"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(i).filter(out) for i in (2, 3, 4, 5)), pa.array(np.maximum(n, 1)).filter(out)], ["doc_id", "text_hash", "start", "more", "n"])
 
-    rows = docs.mapInArrow(emit, "h1 long, h2 int, doc_id long, text_hash long, starts array<int>, n int")
+    rows = docs.mapInArrow(emit, "h1 long, h2 int, doc_id long, text_hash long, start int, more array<int>, n int")
     # Settled rows (n > 0) have h2 = 0 and would only meet a window of that very name; they sort last there.
-    return rows.repartition("h1").sortWithinPartitions("h1", "h2", "n", "doc_id").mapInArrow(meet, "doc_id long, text_hash long, starts array<int>, n int")
+    return rows.repartition("h1").sortWithinPartitions("h1", "h2", "n", "doc_id").mapInArrow(meet, "doc_id long, text_hash long, start int, more array<int>, n int")
 
 
 def remove_repeats(docs: DataFrame, most_words: int = 1_000_000, with_text: bool = False) -> DataFrame:
@@ -220,19 +225,20 @@ def remove_repeats(docs: DataFrame, most_words: int = 1_000_000, with_text: bool
     names = shared.groupBy("doc_id").agg(F.collect_list("name").alias("names"))
     covered = stage(_covered(read.join(names, "doc_id").select("doc_id", "text", "names"), most_words), "covered")
     settle(spark)
-    ranges = covered.groupBy(F.col("doc_id").alias("of")).agg(F.collect_list("text_hash").alias("hashes"), F.collect_list("starts").alias("starts"), F.collect_list("n").alias("ns"))
-    joined = docs.select("doc_id", "text").join(ranges, F.col("doc_id").cast("long") == F.col("of"), "left").select("doc_id", "text", "hashes", "starts", "ns")
+    ranges = covered.groupBy(F.col("doc_id").alias("of")).agg(F.collect_list("text_hash").alias("hashes"), F.collect_list("start").alias("starts"), F.collect_list("n").alias("ns"), F.collect_list(F.when(F.col("more").isNotNull(), F.struct("text_hash", "more", "n"))).alias("rest"))
+    joined = docs.select("doc_id", "text").join(ranges, F.col("doc_id").cast("long") == F.col("of"), "left").select("doc_id", "text", "hashes", "starts", "ns", "rest")
 
     def cut(batches):
         for batch in slices(batches, 500):
             n_words, n_removed, sha, kept = [], [], [], []
-            for text, hashes, starts, ns in zip(byte_texts(batch.column(1)), *(batch.column(i).to_pylist() for i in (2, 3, 4))):
+            for text, hashes, starts, ns, rest in zip(byte_texts(batch.column(1)), *(batch.column(i).to_pylist() for i in (2, 3, 4, 5))):
                 words = text.split() if text else []
                 n_words.append(len(words))
                 if starts:
                     own, gone = _text_hash(text), bytearray(len(words))
-                    for h, places, n in zip(hashes, starts, ns):
-                        for start in places if h == own else ():
+                    found = [(h, start, n) for h, start, n in zip(hashes, starts, ns)] + [(r["text_hash"], start, r["n"]) for r in rest for start in r["more"]]
+                    for h, start, n in found:
+                        if h == own:
                             gone[start : start + n + WINDOW - 1] = b"\x01" * (n + WINDOW - 1)
                     words = [w for w, g in zip(words, gone) if not g]
                 n_removed.append(n_words[-1] - len(words))
