@@ -554,7 +554,7 @@ _NEW = "thtion thing thble ering nicht erble and thtion"
 @_query(rf"SELECT id, shared FROM (SELECT id, len(list_filter(string_split('{_NEW}', ' '), lambda w: length(w) > 4 AND list_contains(regexp_split_to_array(lower(content), '[\t-\r ]+'), w))) AS shared FROM {M}) WHERE shared >= 3")
 def superseded_by_words(spark, d):
     m = A.messages(spark, d).select("id", F.col("content").alias("decision"), F.lit("active").alias("status"))
-    return upkeep.superseded_by(m, _NEW, 1).select("id", F.col("shared").cast("long").alias("shared"))
+    return upkeep.superseded_by(m, _NEW).select("id", F.col("shared").cast("long").alias("shared"))
 
 
 @_query("SELECT path, size, reason FROM (SELECT doc_id AS path, n_chars AS size, CASE WHEN doc_id % 5 = 0 THEN 'new' WHEN doc_id % 5 = 1 THEN CASE WHEN doc_id % 2 = 0 THEN 'retry' END WHEN (n_chars - floor(n_chars / (doc_id % 5))) / floor(n_chars / (doc_id % 5)) > 0.5 THEN 'grew' END AS reason FROM documents WHERE n_chars >= 2000) WHERE reason IS NOT NULL")

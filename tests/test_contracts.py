@@ -1,6 +1,7 @@
 """Sources, sequential sweeps, sinks and guards against fixtures and plain Python."""
 
 import json
+import uuid
 
 import pytest
 from pyspark.sql import functions as F
@@ -107,13 +108,14 @@ def test_closures_and_guards(spark):
 
 
 def test_derived_tables_are_built_once(spark):
-    built = []
+    built, name = [], f"test-{uuid.uuid4().hex}"  # the shared folder may outlive the session
     make = lambda: built.append(1) or spark.range(5)
-    assert [store.derived(spark, "test-once", "v1", make).count() for _ in range(2)] == [5, 5] and built == [1]
-    store.derived(spark, "test-once", "v2", make)
-    store.forget(spark, "test-once", keep="v2")
-    store.derived(spark, "test-once", "v1", make)
+    assert [store.derived(spark, name, "v1", make).count() for _ in range(2)] == [5, 5] and built == [1]
+    store.derived(spark, name, "v2", make)
+    store.forget(spark, name, keep="v2")
+    store.derived(spark, name, "v1", make)
     assert built == [1, 1, 1]
+    store.forget(spark, name)
 
 
 def test_replayed_batches_are_written_once(spark, tmp_path):
