@@ -224,11 +224,43 @@ def test_decontaminate_carries_columns_past_the_broadcast(spark):
     assert {r["doc_id"]: (r["source"], r["n_chars"], r["contaminated"]) for r in large.collect()} == {1: ("s", 5, True), 2: ("t", 6, False), None: (None, None, False)}
 
 
+#: The base kinds as the contract states them: kind, pattern, group whose length counts, least length.
+SECRETS = (
+    ("assign", r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 12),
+    ("access", r"AKIA[A-Z0-9]+", 0, 18),
+    ("hex", r"[0-9a-f]+", 0, 16),
+)
+
+
+def test_secrets_of_runs_at_their_bounds(spark):
+    rng, texts = random.Random(4), []
+    for n in range(300):
+        parts = [rng.choice(["AKIA", "AKIA" * 2, "token=", "secret: ", " ", "-", "é", "G", "0f" * rng.randint(5, 9), "B7" * rng.randint(5, 9), "a" * rng.randint(14, 17)]) for _ in range(12)]
+        texts.append("".join(parts))
+    df = spark.createDataFrame([(i, t, f"s{i % 5}") for i, t in enumerate(texts)], "doc_id long, text string, source string")
+    got = {r["doc_id"]: r for r in secrets.find_secrets(df).collect()}
+    kinds, found, owners = SECRETS + secrets.EXTRA, {}, {}
+    for i, t in enumerate(texts):
+        for kind, (name, pattern, group, least) in enumerate(kinds):
+            for m in re.finditer(pattern, t):
+                if len(m[group]) >= least:
+                    found.setdefault(i, []).append((m.start(), kind, m.end(), m[group]))
+                    owners.setdefault(m[group], set()).add(i % 5)
+    for i in range(len(texts)):
+        own = sorted(found.get(i, []))
+        live = [len(owners[x[3]]) <= 2 for x in own]
+        base = ",".join(f"{kinds[k][0]}:{a}:{b}" for a, k, b, _ in own if k < 3)
+        spans = ",".join(f"{kinds[k][0]}:{a}:{b}" for (a, k, b, _), l in zip(own, live) if k < 3 or l)
+        assert tuple(got[i][1:4]) == tuple(sum(x[1] == k for x in own) for k in range(3))
+        assert (got[i]["base_sha256"], got[i]["spans"]) == (hashlib.sha256(base.encode()).hexdigest(), spans)
+        assert (got[i]["n_live"], got[i]["n_copied"]) == (sum(live), len(live) - sum(live))
+
+
 def test_secrets(docs, rows, empty):
     expected = {}
     for i, t, *_ in rows:
         spans, n = [], []
-        for kind, (name, pattern, group, least) in enumerate(secrets.BASE):
+        for kind, (name, pattern, group, least) in enumerate(SECRETS):
             found = [m for m in re.finditer(pattern, t or "") if len(m[group]) >= least]
             n.append(len(found))
             spans += [(m.start(), kind, f"{name}:{m.start()}:{m.end()}") for m in found]
@@ -502,3 +534,82 @@ def test_pipeline(spark):
     assert 0 < docs.count() < read().count()
     packed = corpus_pipeline.run(spark, sf)
     assert {r[0] for r in packed.select("doc_id").distinct().collect()} == {r[0] for r in docs.select("doc_id").collect()}
+
+
+def test_pipeline_against_brute_force(spark, tmp_path):
+    """The whole chain by plain loops: every piece it packs, by its ids; then that the sequences are filled without gaps."""
+    import corpus_pipeline
+
+    rng = random.Random(21)
+    vocab = [f"{''.join(rng.choice('abcdefghijklm') for _ in range(5))}{i}" for i in range(3000)]
+    say = lambda n: " ".join(rng.choice(vocab) for _ in range(n))
+    lines, items = [say(9) for _ in range(6)], [say(30), say(13), say(4), None]
+    texts = ["\n".join([say(rng.randint(1, 50)), *rng.sample(lines, rng.randint(0, 3)), say(20)]) for _ in range(50)]
+    base = [say(180) for _ in range(4)]
+    texts += [x for t in base for x in (t, t, t.upper(), " ".join(_edited(t.split(), 2, rng)), " ".join(_edited(t.split(), 25, rng)))]
+    texts += [say(20) + " " + items[0] + " " + say(40), say(9) + " " + items[1].upper(), say(700) + " " + items[1], say(50) + " " + items[2], items[1][:40]]
+    texts += [say(6000), None, "", " \n\t", "123 456 ...", "é", "a", "a", "A", "a b", "\n".join(lines[:3]), "\n".join(lines[3:])]
+    order = rng.sample(range(1000), len(texts))
+    table = [(i, t, rng.choice(["en", "de", None]), f"s{i % 3}", None if t is None else len(t)) for i, t in zip(order, texts)]
+    table += [table[3], table[60]]
+    spark.createDataFrame(table, "doc_id long, text string, lang string, source string, n_chars long").selectExpr("*", "1 AS row", "doc_id AS root").repartition(4).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(list(enumerate(items)), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+
+    docs = [(i, t) for i, t, *_ in table if t is not None and any(c.isalpha() for c in t)]
+
+    key = lambda line: ascii_lower(line.strip(" \t\n\x0b\x0c\r"))
+    holders = {}
+    for i, t in docs:
+        for line in t.split("\n"):
+            if len(key(line)) >= 40:
+                holders.setdefault(key(line), set()).add(i)
+    docs = [(i, "\n".join(x for x in t.split("\n") if len(holders.get(key(x), ())) < 5 or max(holders[key(x)]) == i)) for i, t in docs]
+
+    sets = []
+    for _, t in docs:
+        w = ascii_lower(t).split()
+        sets.append({tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set())
+    root = list(range(len(docs)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in range(len(docs)):
+        for b in range(a):
+            if sets[a] == sets[b] or 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+                root[find(a)] = find(b)
+    groups = {}
+    for n in range(len(docs)):
+        groups.setdefault(find(n), []).append(docs[n])
+    assert max(map(len, groups.values())) > 3
+    docs = [min(g, key=lambda d: d[0]) for g in groups.values()]
+
+    words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", ascii_lower(t))
+    windows = [w[k : k + 13] for w in map(words, items) for k in range(max(1, len(w) - 12) if w else 0)]
+    clean = []
+    for i, t in docs:
+        w = words(t)
+        hit = {x for win in windows for at in range(len(w) - len(win) + 1) if w[at : at + len(win)] == win for x in range(at, at + len(win))}
+        if not (hit and 20 * len(hit) >= len(w)):
+            clean.append((i, t))
+    assert 0 < len(clean) < len(docs)
+
+    tokenizer, expected = Tokenizer.from_file(queries.tokenizer_path()), Counter()
+    for i, t in clean:
+        ids = tokenizer.encode(t, add_special_tokens=False).ids + [1]
+        for piece, at in enumerate(range(0, len(ids), 4096)):
+            part = ids[at : at + 4096]
+            expected[i, piece, at, len(part), zlib.crc32(np.array(part, "<u4").tobytes())] += 1
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert Counter((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in got) == expected
+    held = {}
+    for r in got:
+        held.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for places in held.values():
+        at = 0
+        for offset, length in sorted(places):
+            assert offset == at
+            at += length
+        assert at <= 4096
