@@ -5,7 +5,9 @@ signed web tokens, private key headers, credentials in addresses) are candidates
 is counted over distinct owners and repositories, and a value that more than `most_owners` owners hold is a widely
 copied example; the others look live and become spans too.
 
-Spans are in code points. Null text is empty. Rows may repeat: each row is scanned and reported on its own.
+Spans are in code points. Null text is empty. Rows may repeat: each row is scanned and reported on its own. A row
+without an owner or repository adds none to a value's count, so a value that only such rows hold is live. An empty table
+gives an empty result, and columns other than those named are ignored. A text is scanned whole, however long.
 """
 
 from __future__ import annotations
@@ -16,11 +18,12 @@ from pyspark.sql import functions as F
 
 from .common import stage
 
-#: kind, pattern, group whose length counts, least length. Fixed values for the first three.
+#: kind, pattern, group whose length counts, least length. Fixed values for the first three. Access and hex ask for their
+#: least length in the pattern: a run too short holds no other match, so the same matches stay as by length afterwards.
 BASE = (
     ("assign", r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 12),
-    ("access", r"AKIA[A-Z0-9]+", 0, 18),
-    ("hex", r"[0-9a-f]+", 0, 16),
+    ("access", r"AKIA[A-Z0-9]{14,}", 0, 18),
+    ("hex", r"[0-9a-f]{16,}", 0, 16),
 )
 #: Candidates whose ownership decides.
 EXTRA = (
