@@ -34,6 +34,8 @@ EXTRA = (
 )
 #: What a text must hold for a pattern's scan to be worth its time; a quick test before the full one.
 _QUICK = {"assign": r"(?i:password|passwd|secret|token|api_?key)", "access": "AKIA", "hex": "[0-9a-f]{16}", "vendor": "gh[pousr]_|sk-|xox[abprs]-|AIza", "jwt": "eyJ", "pem": "PRIVATE KEY", "login": "://"}
+#: The most values that are joined by broadcast.
+FREQUENT = 10_000
 KINDS = tuple(k for k, *_ in BASE + EXTRA)
 
 
@@ -71,8 +73,17 @@ def find_secrets(docs: DataFrame, owner: str = "source", repository: str = "sour
         .select("row", "owner", "repository", "kind", (F.col("end") - F.col("size")).alias("start"), "end", F.sha2("held", 256).alias("value"))
     )
     matches = stage(matches, "matches")
-    held_by = matches.groupBy("value").agg(F.countDistinct("owner").alias("owners"), F.countDistinct("repository").alias("repositories"))
-    judged = matches.join(held_by, "value").withColumn("live", (F.col("owners") <= most_owners) & (F.col("repositories") <= most_owners))
+    held_by = stage(
+        matches.groupBy("value").agg(F.count("*").alias("n"), F.countDistinct("owner").alias("owners"), F.countDistinct("repository").alias("repositories"))
+        .select("value", "n", ((F.col("owners") <= most_owners) & (F.col("repositories") <= most_owners)).alias("live")),
+        "held",
+    )
+    # A value of more than 1 / FREQUENT of all matches would fill one task of a join; there are FREQUENT of those at most,
+    # so they are broadcast (a hash each), and only the others' matches are dealt by value.
+    share = matches.count() / FREQUENT
+    often = F.broadcast(held_by.filter(F.col("n") > share).select("value", "live"))
+    seldom = held_by.filter(F.col("n") <= share).select("value", "live")
+    judged = matches.join(often, "value").unionByName(matches.join(often, "value", "left_anti").join(seldom, "value"))
     span = F.struct("start", "kind", "end")
     per_row = judged.groupBy("row").agg(
         *(F.count_if(F.col("kind") == n).alias(f"n_{k}") for n, (k, *_) in enumerate(BASE)),

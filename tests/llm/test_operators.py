@@ -232,7 +232,9 @@ SECRETS = (
 )
 
 
-def test_secrets_of_runs_at_their_bounds(spark):
+@pytest.mark.parametrize("frequent", [10_000, 20])
+def test_secrets_of_runs_at_their_bounds(spark, frequent, monkeypatch):
+    monkeypatch.setattr(secrets, "FREQUENT", frequent)  # all values by broadcast; some by shuffle
     rng, texts = random.Random(4), []
     for n in range(300):
         parts = [rng.choice(["AKIA", "AKIA" * 2, "token=", "secret: ", " ", "-", "é", "G", "0f" * rng.randint(5, 9), "B7" * rng.randint(5, 9), "a" * rng.randint(14, 17)]) for _ in range(12)]
