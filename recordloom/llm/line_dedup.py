@@ -63,8 +63,9 @@ def line_dedup(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, with_tex
     common = stage(pairs.groupBy("h1", "h2").agg(F.countDistinct("doc_id").alias("n"), F.max("doc_id").alias("keeper")).filter(F.col("n") >= min_docs), "common")
     # A line of more than 1 / FREQUENT of all rows would fill one task of a join; there are FREQUENT such lines at most,
     # so those are broadcast (24 bytes each), and only the others' rows are dealt by line.
-    often = common.filter(F.col("n") > pairs.count() / FREQUENT).select("h1", "h2", "keeper")
-    seldom = common.filter(F.col("n") <= pairs.count() / FREQUENT).select("h1", "h2", "keeper")
+    share = pairs.count() / FREQUENT
+    often = common.filter(F.col("n") > share).select("h1", "h2", "keeper")
+    seldom = common.filter(F.col("n") <= share).select("h1", "h2", "keeper")
     held = pairs.join(F.broadcast(often), ["h1", "h2"]).unionByName(pairs.join(F.broadcast(often), ["h1", "h2"], "left_anti").join(seldom, ["h1", "h2"]))
     drops = (
         held.filter(F.col("doc_id") != F.col("keeper"))
