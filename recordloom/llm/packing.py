@@ -1,12 +1,17 @@
 """Best-fit packing of tokenised documents, bulk-synchronous.
 
-Documents and gaps are ranged by size. A superstep takes the longest documents left, sweeps the gaps upward from
-their length (each document's successor is the smallest gap that holds it), settles who gets which gap by rank,
-and updates the gaps. All documents of one length, and all sequences of one gap, behave alike, so a superstep's
-state is a count for each length and each gap: at most `capacity` numbers each, whatever the corpus. The sweep
-runs on those counts; ranking the documents and handing each its place is distributed.
+Documents longer than half a sequence open one each. The others come in bands of lengths, each band's from half the
+length of the band before it. A band's documents are ranged by length, from long to short, a frequent length over
+several ranges. A superstep sweeps the ranges for their successors: each range takes the smallest gaps that hold its
+documents, and a gap that several could take is settled by rank. The ranges then fill their gaps at once, one task a
+range: each document goes to the smallest gap that holds it, and the gap is updated. What found no gap stays for the
+next superstep; a range for which no gap is left opens sequences.
 
-Null text is an empty document (its end id only). Rows that repeat are packed each on its own.
+The driver sees counts for each length and gap (at most `capacity`) and one row for each range. Every superstep is
+written to the shared folder, so a lost executor repeats its part of one superstep.
+
+Null text is an empty document (its end id only). Rows that repeat, share a doc_id or have none are packed each on
+its own. No documents: no rows. Other columns are not read. A very long text is cut into pieces by its own task.
 """
 
 from __future__ import annotations
@@ -14,16 +19,19 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from bisect import bisect_left, insort
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import slices, stage
 
 END_ID = 1
+#: Slots over which the rows of one length or gap are ranked.
+SLOTS = 1 << 30
 
 
 #: Chunks of these letters, digits and signs alone are cut as the tokenizer cuts them: they have no composing marks,
@@ -109,61 +117,176 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(cut, f"doc_id {id_type}, piece int, start long, length long, ids_crc32 long")
 
 
-def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int]]:
-    """Best-fit decreasing over counts of documents by length. Returns runs (length, first rank, documents,
-    first sequence, offset): document first rank + i of that length goes to sequence first sequence + i."""
-    gaps: dict[int, list[tuple[int, int]]] = {}
-    runs, sequences = [], 0
+PIECE = ("doc_id", "piece", "start", "length", "ids_crc32")
+
+
+def _bands(capacity: int) -> list[tuple[int, int]]:
+    """(shortest, longest) length of each band, from half the capacity down, each to half of the one before; the last
+    takes all from 1/64 of the capacity down."""
+    out, high = [], capacity // 2
+    while high:
+        low = high // 2 + 1 if high > capacity // 64 else 1
+        out.append((low, high))
+        high = low - 1
+    return out
+
+
+def _cut(counts: dict[int, int], rows: int, most: int) -> list[tuple[int, int, int, int]]:
+    """Ranges of about `rows` documents, at most about `most`, over lengths from long to short: (length, first slot,
+    slot after the last, range). A length may be in several ranges, its documents dealt by a hash over SLOTS slots."""
+    total = sum(counts.values())
+    each, out, done = -(-total // max(1, min(most, total // rows))), [], 0
     for length in sorted(counts, reverse=True):
-        left, rank = counts[length], 0
-        while left:
-            gap = next((g for g in sorted(gaps) if g >= length), 0)
-            if gap:
-                first, n = gaps[gap].pop()
-                if not gaps[gap]:
-                    del gaps[gap]
-            else:
-                gap, first, n = capacity, sequences, -(-left // (capacity // length))
-                sequences += n
-            fill = gap // length
-            whole = min(n, left // fill)
-            for first, n, layers in ((first, whole, fill), (first + whole, min(1, n - whole), min(left - whole * fill, fill)), (first + whole + 1, n - whole - 1, 0)):
-                if n <= 0:
-                    continue
-                for layer in range(layers):
-                    runs.append((length, rank, n, first, capacity - gap + layer * length))
-                    rank += n
-                    left -= n
-                if (rest := gap - layers * length) > 0:
-                    gaps.setdefault(rest, []).append((first, n))
-    return runs
-
-
-def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, buckets: int = 16) -> DataFrame:
-    """Returns doc_id, piece, start, length, ids_crc32, sequence_id, offset. buckets spreads the ranking of
-    documents that share one length."""
-    parts = stage(pieces(docs, tokenizer_path, capacity).withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(buckets)).cast("int")), "pieces")
-    ahead = np.zeros((capacity + 1) * buckets, np.int64)
-    for r in parts.groupBy("length", "bucket").count().collect():  # at most capacity x buckets rows
-        ahead[r["length"] * buckets + r["bucket"]] = r["count"]
-    by_length = ahead.reshape(-1, buckets)
-    counts = {length: int(n) for length, n in enumerate(by_length.sum(axis=1)) if n}
-    runs = np.array(best_fit(counts, capacity) or [(0, 0, 0, 0, 0)], np.int64)
-    runs = runs[np.lexsort((runs[:, 1], runs[:, 0]))]
-    before = (np.cumsum(by_length, axis=1) - by_length).ravel()
-    plan = docs.sparkSession.sparkContext.broadcast((runs, before))
-    ranked = parts.withColumn("rank", F.row_number().over(W.partitionBy("length", "bucket").orderBy("doc_id", "piece", "ids_crc32")))
-
-    def place(batches):
-        runs, before = plan.value
-        keys = (runs[:, 0] << 44) + runs[:, 1]
+        n, at = counts[length], 0
+        while at < n:
+            step = min(n - at, each - done % each)
+            out.append((length, at * SLOTS // n, (at + step) * SLOTS // n, done // each))
+            at, done = at + step, done + step
+    return out
+
+
+def _route(cut: list[tuple[int, int, int, int]], counts: dict[int, int], gaps: dict[int, int], capacity: int) -> tuple[list[tuple[int, int, int, int]], list[int]]:
+    """Successor sweep over the ranges of `cut`, from long documents to short: each takes the smallest gaps that hold
+    some of its documents, as many as its tokens ask for, the last all that are left; a gap that several ranges could
+    take is settled by rank (its slot). Returns (gap, first slot, slot after the last, range), and how many sequences
+    each range may open: what its documents fill beyond those gaps, as whole sequences, if no gap is left above it."""
+    ranges: list[list[tuple[int, float]]] = [[] for _ in range(cut[-1][3] + 1)]
+    for length, first, after, part in cut:
+        ranges[part].append((length, counts[length] * (after - first) / SLOTS))
+    free, out, opens = dict(gaps), [], []
+    for part, own in enumerate(ranges):
+        n, tokens, found = sum(n for _, n in own), sum(length * n for length, n in own), 0.0
+        short, long, mean, last = own[-1][0], own[0][0], tokens / n, part == len(ranges) - 1
+        for gap in sorted(g for g in free if g >= short):
+            if found >= tokens and not last:
+                break
+            holds = max(1, int(gap / mean)) * mean
+            take = free[gap] if last else min(free[gap], int((tokens - found) / holds) + 1)
+            at = gaps[gap] - free[gap]
+            out.append((gap, at * SLOTS // gaps[gap], (at + take) * SLOTS // gaps[gap], part))
+            found += take * holds
+            free[gap] -= take
+            if not free[gap]:
+                del free[gap]
+        more = 0 if any(g >= long for g in free) else max(0, int((tokens - found) / (int(capacity / mean) * mean)))
+        opens.append(sum(counts.values()) if len(ranges) == 1 else more)
+    return out, opens
+
+
+def _deal(rows: DataFrame, table: list[tuple[int, int, int, int]]) -> DataFrame:
+    """rows with their range by size and slot (null where the table has none), and no place yet. The table has at most
+    a row for each size and each range more, so it is sent by broadcast."""
+    ranges = rows.sparkSession.createDataFrame(table, "of long, low long, high long, range int")
+    slot = F.pmod(F.xxhash64("row"), F.lit(SLOTS))
+    dealt = rows.join(F.broadcast(ranges), (F.col("size") == F.col("of")) & (slot >= F.col("low")) & (slot < F.col("high")), "left").drop("of", "low", "high")
+    return dealt.select("*", *(F.lit(None).cast("long").alias(n) for n in ("sequence_id", "offset")))
+
+
+def _sweep(rows: DataFrame, opens: list[int], capacity: int) -> DataFrame:
+    """Each range's documents, from long to short, each into the smallest gap of the range that holds it; what a gap
+    has left is a gap again. Where none fits, a range opens a sequence (named by its first document's row), as many as
+    `opens` allows it."""
+    kinds = {f.name: f.dataType for f in rows.schema}
+
+    def sweep(batches):
+        now, more, sizes, held, schema = None, 0, [], {}, None
+        spare: tuple[list, list] = ([], [])
+
+        def put(gap, sequence):
+            if gap not in held:
+                held[gap] = []
+                insort(sizes, gap)
+            held[gap].append(sequence)
+
+        def close():
+            for gap in sizes:
+                spare[0].extend([gap] * len(held[gap]))
+                spare[1].extend(held[gap])
+            sizes.clear()
+            held.clear()
+
+        def gaps():
+            n = len(spare[0])
+            known = {"is_doc": pa.array([False] * n), "size": pa.array(spare[0], pa.int64()), "row": pa.array(spare[1], pa.int64())}
+            out = pa.RecordBatch.from_arrays([known.get(f.name, pa.nulls(n, f.type)) for f in schema], schema=schema)
+            spare[0].clear()
+            spare[1].clear()
+            return out
+
         for batch in batches:
-            column = {n: batch.column(batch.schema.get_field_index(n)) for n in batch.schema.names}
-            length, bucket, rank = (column[n].to_numpy(zero_copy_only=False).astype(np.int64) for n in ("length", "bucket", "rank"))
-            rank = rank - 1 + before[length * buckets + bucket]
-            run = np.searchsorted(keys, (length << 44) + rank, "right") - 1
-            out = [column[n] for n in ("doc_id", "piece", "start", "length", "ids_crc32")]
-            yield pa.RecordBatch.from_arrays([*out, pa.array(runs[run, 3] + rank - runs[run, 1]), pa.array(runs[run, 4])], ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
+            schema = batch.schema
+            place = {n: i for i, n in enumerate(schema.names)}
+            is_doc = batch.column(place["is_doc"])
+            sequence, offset = [], []
+            for part, doc, size, row in zip(*(batch.column(place[n]).to_pylist() for n in ("range", "is_doc", "size", "row"))):
+                if part != now:
+                    close()
+                    now, more = part, opens[part]
+                if not doc:
+                    put(size, row)
+                    continue
+                at = bisect_left(sizes, size)
+                if at < len(sizes):
+                    gap = sizes[at]
+                    own = held[gap].pop()
+                    if not held[gap]:
+                        del held[gap], sizes[at]
+                elif more:
+                    gap, own, more = capacity, row, more - 1
+                else:
+                    sequence.append(None)
+                    offset.append(None)
+                    continue
+                sequence.append(own)
+                offset.append(capacity - gap)
+                if gap > size:
+                    put(gap - size, own)
+            of = batch.filter(is_doc)
+            yield pa.RecordBatch.from_arrays([pa.array({"sequence_id": sequence, "offset": offset}[n], pa.int64()) if n in ("sequence_id", "offset") else of.column(i) for n, i in place.items()], schema=schema)
+            if len(spare[0]) > 50_000:
+                yield gaps()
+        close()
+        if spare[0]:
+            yield gaps()
 
-    id_type = docs.schema["doc_id"].dataType.simpleString()
-    return ranked.mapInArrow(place, f"doc_id {id_type}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    sorted_rows = rows.repartition(len(opens), "range").sortWithinPartitions("range", F.desc("size"), "is_doc", "row")
+    return sorted_rows.mapInArrow(sweep, ", ".join(f"{n} {t.simpleString()}" for n, t in kinds.items()))
+
+
+def fit(pieces: DataFrame, capacity: int, rows: int = 5_000, rounds: int = 3) -> DataFrame:
+    """Places rows of PIECE and `row` (unique), each of at most capacity tokens: PIECE, sequence_id, offset. A range
+    has about `rows` documents, or more where there are more than spark.sql.shuffle.partitions such ranges. What a
+    superstep leaves is ranged anew; in a band's last of `rounds` supersteps every range may open what it needs."""
+    most = int(pieces.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    counts = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}  # at most capacity rows
+    half = capacity // 2
+    alone = pieces.filter(F.col("length") > half).select(*PIECE, F.col("row").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    placed = [alone]
+    gaps = alone.filter(F.col("length") < capacity).select((capacity - F.col("length")).alias("size"), F.col("sequence_id").alias("row"))
+    free = {capacity - length: n for length, n in counts.items() if half < length < capacity}
+    for low, high in _bands(capacity):
+        left = {length: n for length, n in counts.items() if low <= length <= high}
+        docs = pieces.filter(F.col("length").between(low, high)).select(F.lit(True).alias("is_doc"), F.col("length").alias("size"), "row", *PIECE)
+        for step in range(rounds):
+            if not left:
+                break
+            cut = _cut(left, rows, most)
+            table, opens = _route(cut, left, {g: n for g, n in free.items() if g >= low}, capacity)
+            if step == rounds - 1:
+                opens = [sum(left.values())] * len(opens)
+            ranged = _deal(docs, cut)
+            dealt = _deal(gaps.select(F.lit(False).alias("is_doc"), "size", "row", *(F.lit(None).cast(pieces.schema[n].dataType).alias(n) for n in PIECE)), table)
+            swept = _sweep(ranged.unionByName(dealt.filter("range is not null")), opens, capacity)
+            swept = stage(swept.unionByName(dealt.filter("range is null")).drop("range"), "sweep")
+            placed.append(swept.filter("sequence_id is not null").select(*PIECE, "sequence_id", "offset"))
+            docs = swept.filter("is_doc and sequence_id is null").drop("sequence_id", "offset")
+            gaps = swept.filter("not is_doc").select("size", "row")
+            found = swept.filter("sequence_id is null").groupBy("is_doc", "size").count().collect()  # at most capacity rows of each kind
+            left = {r["size"]: r["count"] for r in found if r["is_doc"]}
+            free = {r["size"]: r["count"] for r in found if not r["is_doc"]}
+    return reduce(DataFrame.unionByName, placed)
+
+
+def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, rows: int = 5_000) -> DataFrame:
+    """Returns doc_id, piece, start, length, ids_crc32, sequence_id, offset. rows: documents of a range, about."""
+    return fit(stage(pieces(docs, tokenizer_path, capacity).withColumn("row", F.monotonically_increasing_id()), "pieces"), capacity, rows)

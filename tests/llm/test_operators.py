@@ -426,21 +426,40 @@ def test_packing(docs, rows, empty):
     assert packing.pack(empty, path).count() == 0
 
 
-def test_best_fit_is_best_fit_decreasing():
-    rng = random.Random(2)
-    for _ in range(20):
-        counts = Counter(rng.randint(1, 50) for _ in range(rng.randint(0, 300)))
-        gaps, n = [], 0
-        for length in sorted(counts.elements(), reverse=True):
-            fit = min((g for g in gaps if g >= length), default=None)
-            if fit is None:
-                n += 1
-                fit = 50
-            else:
-                gaps.remove(fit)
-            gaps.append(fit - length)
-        runs = packing.best_fit(counts, 50)
-        assert sum(r[2] for r in runs) == sum(counts.values()) and (max((r[3] + r[2] for r in runs), default=0)) == n
+def _best_fit_decreasing(lengths, capacity):
+    gaps, n = [], 0
+    for length in sorted(lengths, reverse=True):
+        fit = min((g for g in gaps if g >= length), default=None)
+        if fit is None:
+            n += 1
+            fit = capacity
+        else:
+            gaps.remove(fit)
+        gaps.append(fit - length)
+    return n
+
+
+@pytest.mark.parametrize("rows", [5_000, 40])
+@pytest.mark.parametrize("kind", ["mixed", "tiny", "one length", "long"])
+def test_fit_is_whole_and_as_tight_as_best_fit(spark, kind, rows):
+    """One range is best-fit decreasing; with many ranges, what their edges cost is bounded."""
+    rng, capacity = random.Random(2), 128
+    length = {"mixed": lambda: min(capacity, int(rng.lognormvariate(3, 1)) + 1), "tiny": lambda: rng.randint(1, 3), "one length": lambda: 30, "long": lambda: rng.randint(40, capacity)}[kind]
+    lengths = [length() for _ in range(1_500)]
+    # Ids repeat and are missing: rows are told apart by `row` alone.
+    table = spark.createDataFrame([(None if i % 7 == 0 else i % 50, 0, 0, n, i, i) for i, n in enumerate(lengths)], "doc_id long, piece int, start long, length long, ids_crc32 long, row long")
+    got, held = packing.fit(table, capacity, rows).collect(), {}
+    assert sorted((r["ids_crc32"], r["length"]) for r in got) == list(enumerate(lengths))
+    for r in got:
+        held.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for places in held.values():
+        at = 0
+        for offset, n in sorted(places):
+            assert offset == at
+            at += n
+        assert at <= capacity
+    best = _best_fit_decreasing(lengths, capacity)
+    assert len(held) == best if rows == 5_000 else best <= len(held) <= best * 1.02 + 8
 
 
 def test_chunk_tokenizer_equals_whole_texts():
