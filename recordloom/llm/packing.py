@@ -20,7 +20,7 @@ import os
 import re
 import zlib
 from bisect import bisect_left, insort
-from functools import reduce
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -63,8 +63,13 @@ class ChunkTokenizer:
         return [ids[i:j] for i, j in zip([0, *ends], ends)]
 
     def _learn(self, new: list[str]) -> dict[str, bytes]:
-        parts, cut, whole, todo = self.parts, {}, [], {}
+        parts, cut, words, whole, todo = self.parts, {}, {}, [], {}
         for c in new:
+            if c.isascii() and c.isalpha():
+                words[c] = p = c.lower()
+                if p not in parts:
+                    todo[p] = b""
+                continue
             # A special token's string is taken from the text as it stands, so such a chunk stays whole.
             if _PLAIN.fullmatch(c) and "<|" not in c:
                 cut[c] = own = _CUT.findall(c.lower())
@@ -78,6 +83,8 @@ class ChunkTokenizer:
             todo = dict(zip(todo, self._parts(list(todo))))
             if len(parts) < self.room:
                 parts.update(todo)
+        for c, p in words.items():
+            out[c] = todo[p] if p in todo else parts[p]
         for c, own in cut.items():
             out[c] = b"".join([todo[p] if p in todo else parts[p] for p in own])
         return out
@@ -87,13 +94,20 @@ class ChunkTokenizer:
         cut = [(t or "").replace("\n", " ").replace("\t", " ").split(" ") for t in texts]
         known = self.chunks
         new = [c for c in set().union(*cut) if c not in known]
-        fresh = self._learn(new) if new else {}
-        if len(known) < self.room:
-            known.update(fresh)
-            fresh = {}
-        if fresh:
-            return [b"".join([known[c] if c in known else fresh[c] for c in chunks]) for chunks in cut]
-        return [b"".join([known[c] for c in chunks]) for chunks in cut]
+        if new:
+            known.update(self._learn(new))
+        ids = known.__getitem__
+        out = [b"".join(map(ids, chunks)) for chunks in cut]
+        if len(known) > self.room:
+            for c in new:
+                del known[c]
+        return out
+
+
+@lru_cache(maxsize=1)
+def _tokenizer(path: str) -> ChunkTokenizer:
+    """One for each Python worker: tasks that follow each other in it share what is learnt."""
+    return ChunkTokenizer(path)
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, capacity: int) -> DataFrame:
@@ -101,7 +115,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int) -> DataFrame:
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
     def cut(batches):
-        tokenizer = ChunkTokenizer(tokenizer_path)
+        tokenizer = _tokenizer(tokenizer_path)
         end = np.array([END_ID], "<u4").tobytes()
         for batch in slices(batches, 500):
             rows: list[list] = [[], [], [], [], []]
