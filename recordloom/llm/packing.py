@@ -263,7 +263,7 @@ def _sweep(rows: DataFrame, opens: list[int], capacity: int) -> DataFrame:
         if spare[0]:
             yield gaps()
 
-    sorted_rows = rows.repartition(len(opens), "range").sortWithinPartitions("range", F.desc("size"), "is_doc", "row")
+    sorted_rows = rows.repartitionById(len(opens), "range").sortWithinPartitions("range", F.desc("size"), "is_doc", "row")
     return sorted_rows.mapInArrow(sweep, ", ".join(f"{n} {t.simpleString()}" for n, t in kinds.items()))
 
 
