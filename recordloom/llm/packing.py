@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import os
 import re
+import uuid
 import zlib
 from bisect import bisect_left, insort
 from functools import lru_cache, reduce
@@ -105,17 +106,18 @@ class ChunkTokenizer:
 
 
 @lru_cache(maxsize=1)
-def _tokenizer(path: str) -> ChunkTokenizer:
-    """One for each Python worker: tasks that follow each other in it share what is learnt."""
+def _tokenizer(path: str, job: str) -> ChunkTokenizer:
+    """One for each Python worker and job: the job's tasks that follow each other in a worker share what is learnt,
+    another job starts anew."""
     return ChunkTokenizer(path)
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, capacity: int) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32: each document's ids and END_ID, cut only where longer than capacity."""
-    id_type = docs.schema["doc_id"].dataType.simpleString()
+    id_type, job = docs.schema["doc_id"].dataType.simpleString(), uuid.uuid4().hex
 
     def cut(batches):
-        tokenizer = _tokenizer(tokenizer_path)
+        tokenizer = _tokenizer(tokenizer_path, job)
         end = np.array([END_ID], "<u4").tobytes()
         for batch in slices(batches, 500):
             rows: list[list] = [[], [], [], [], []]
