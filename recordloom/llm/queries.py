@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bitslice, ctw, decontaminate, language, licenses, line_dedup, packing, periodic, rotation, secrets, simhash, substrings
+from . import bitslice, ctw, decontaminate, language, licenses, line_dedup, packing, periodic, rotation, secrets, simhash, substrings, trie
 
 #: Where the public tokenizers lie; a parameter of the machine, never part of the repository.
 TOKENIZER_DIR = os.environ.get("RECORDLOOM_TOKENIZERS", "/opt/tokenizers")
@@ -66,6 +66,10 @@ def op10_best_fit_packing(spark, sf_dir):
     return packing.pack(_table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op11_prefix_trie(spark, sf_dir):
+    return trie.prefix_trie(*trie.rebuilt(_table(spark, sf_dir, "conversations")))
+
+
 def op12_periodic_runs(spark, sf_dir):
     docs = _table(spark, sf_dir, "documents")
     return periodic.digests(periodic.collapse_runs(docs, periodic.planted(docs["doc_id"], docs["text"])))
@@ -76,7 +80,7 @@ def op13_license_templates(spark, sf_dir):
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_simhash, op2_ctw_score, op3_line_dedup, op4_decontaminate, op5_secrets, op6_bitsliced_topk, op7_chat_rotation, op8_language_id, op9_substring_dedup, op10_best_fit_packing, op12_periodic_runs, op13_license_templates)}
+    return {f.__name__: f for f in (op1_simhash, op2_ctw_score, op3_line_dedup, op4_decontaminate, op5_secrets, op6_bitsliced_topk, op7_chat_rotation, op8_language_id, op9_substring_dedup, op10_best_fit_packing, op11_prefix_trie, op12_periodic_runs, op13_license_templates)}
 
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -123,4 +127,4 @@ FROM d LEFT JOIN (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id) r USING (
 
 
 def oracle_sql() -> dict:
-    return {"op3_line_dedup": OP3, "op4_decontaminate": OP4, "op6_bitsliced_topk": OP6, "op7_chat_rotation": rotation.ORACLE, "op9_substring_dedup": OP9, "op12_periodic_runs": periodic.ORACLE, "op13_license_templates": licenses.oracle()}
+    return {"op3_line_dedup": OP3, "op4_decontaminate": OP4, "op6_bitsliced_topk": OP6, "op7_chat_rotation": rotation.ORACLE, "op9_substring_dedup": OP9, "op11_prefix_trie": trie.oracle(periodic.CRC.format("CAST(c AS VARCHAR)")), "op12_periodic_runs": periodic.ORACLE, "op13_license_templates": licenses.oracle()}
