@@ -28,13 +28,13 @@ def _query(sql: str | None = None):
 
 
 def queries() -> dict:
-    from . import contracts  # noqa: F401  registers the rest
+    from . import contracts, segmented  # noqa: F401  registers the rest
 
     return dict(_Q)
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import contracts  # noqa: F401
+    from . import contracts, segmented  # noqa: F401
 
     return dict(_SQL)
 
