@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import normalise
+from . import rounds
 
 #: From the most to the least trusted; null last.
 PROVENANCE = ("user_authored", "verbatim", "extracted", "derived")
@@ -64,26 +63,14 @@ def cross_table(rows: DataFrame) -> DataFrame:
     return rows.groupBy("project", "key").agg(F.array_sort(F.collect_set("table")).alias("tables"), F.count("*").alias("n")).filter(F.size("tables") >= 2)
 
 
-def mark_greedily(pairs: DataFrame, rows: DataFrame) -> DataFrame:
-    """Strongest pair first; the worse row of a pair is marked unless either side is a duplicate or (as the one to be
-    marked) a survivor already. Decisions only meet inside a project, so projects run in parallel; a project's pairs
-    are the sparse list above the threshold, not all pairs."""
-    order = rows.select("id", "project", F.row_number().over(W.partitionBy("project").orderBy(*survivor_order())).alias("o"))
-    a, b = order.select(F.col("id").alias("a"), "project", F.col("o").alias("oa")), order.select(F.col("id").alias("b"), F.col("o").alias("ob"))
+def mark_greedily(pairs: DataFrame, rows: DataFrame, finish: int = 100_000) -> DataFrame:
+    """survivor, id, similarity: strongest pair first; the worse row of a pair is marked unless either side is a duplicate
+    or (as the one to be marked) a survivor already. Pairs (a, b, similarity) are the sparse list above the threshold."""
+    order = rows.select("id", _order_struct().alias("o"))
+    a, b = (order.select(F.col("id").alias(c), F.col("o").alias(f"o{c}")) for c in "ab")
+    worse = F.col("ob") < F.col("oa")
     edges = pairs.join(a, "a").join(b, "b")
-
-    def sweep(pdf: pd.DataFrame) -> pd.DataFrame:
-        duplicates, survivors, out = set(), set(), []
-        for r in pdf.sort_values(["similarity", "a", "b"], ascending=[False, True, True]).itertuples():
-            keep, drop = (r.a, r.b) if r.oa < r.ob else (r.b, r.a)
-            if keep in duplicates or drop in duplicates or drop in survivors:
-                continue
-            survivors.add(keep)
-            duplicates.add(drop)
-            out.append((keep, drop, r.similarity))
-        return pd.DataFrame(out, columns=["survivor", "id", "similarity"])
-
-    return edges.groupBy("project").applyInPandas(sweep, "survivor long, id long, similarity double")
+    return rounds.marks(edges.select("a", "b", "similarity", F.when(worse, F.col("b")).otherwise(F.col("a")).alias("keep"), F.when(worse, F.col("a")).otherwise(F.col("b")).alias("drop")), finish)
 
 
 def apply_marks(lineage: DataFrame, plan: DataFrame, reason: str) -> DataFrame:

@@ -7,6 +7,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from . import rounds
+
 
 def prune_messages(messages: DataFrame, curated_sessions: DataFrame, survivors: DataFrame, before: int) -> DataFrame:
     """Messages older than `before` of sessions that have a curated record, unless a recorded survivor."""
@@ -187,25 +189,10 @@ def age_scores(rows: DataFrame, cap: float, factor: float = 0.9) -> DataFrame:
     return rows.withColumn("score", F.col("score") * (factor if total > cap else 1.0))
 
 
-def leader_clusters(pairs: DataFrame, least: int = 2) -> DataFrame:
-    """leader, id: in id order an unassigned row becomes a leader and takes all later unassigned rows near it. Rows only
-    meet over pairs (a < b), so each connected part of the sparse pair list is swept on its own."""
-    from ..plans.graph import connected
-
-    parts = connected(pairs.select("a", "b"))
-    edges = pairs.join(parts.select(F.col("node").alias("a"), "root"), "a")
-
-    def sweep(pdf: pd.DataFrame) -> pd.DataFrame:
-        leader: dict[int, int] = {}
-        for a, group in pdf.sort_values(["a", "b"]).groupby("a", sort=True):
-            if a in leader:
-                continue
-            new = [b for b in group["b"] if b not in leader]
-            if new:
-                leader[a] = a
-                leader.update((b, a) for b in new)
-        return pd.DataFrame({"leader": list(leader.values()), "id": list(leader)})
-
-    out = edges.groupBy("root").applyInPandas(sweep, "leader long, id long")
-    big = out.groupBy("leader").count().filter(F.col("count") >= least).select("leader")
-    return out.join(big, "leader", "left_semi")
+def leader_clusters(pairs: DataFrame, least: int = 2, finish: int = 100_000) -> DataFrame:
+    """leader, id: in id order an unassigned row becomes a leader and takes all later unassigned rows near it (pairs
+    a < b); clusters of at least `least` rows, the leader included."""
+    out = rounds.leaders(pairs, finish)
+    if least <= 2:
+        return out
+    return out.join(out.groupBy("leader").count().filter(F.col("count") >= least).select("leader"), "leader", "left_semi")

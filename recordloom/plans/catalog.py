@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import extraction
 from ..functions import text as T
-from ..operators import dedup, index, lifecycle, quality, upkeep, vector
+from ..operators import cells, dedup, index, lifecycle, quality, upkeep, vector
 from ..sources import adapter as A
 from ..sources import formats, ingest, store
 from ..streaming import progress
@@ -242,16 +242,33 @@ def knn_batch(spark, d):
 
 def _pairs(spark, d, threshold=0.3):
     e = A.table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").alias("project"), F.col("vec_id").cast("string").alias("key"), "embedding")
-    return vector.pairs(e, threshold)
+    return cells.similar_pairs(e, threshold)
 
 
-@_query()
+def _pairs_sql(threshold):
+    return f"SELECT a, b, s FROM (SELECT x.vec_id AS a, y.vec_id AS b, {_COS.format(a='x.embedding', b='y.embedding')} AS s FROM embeddings x JOIN embeddings y ON x.vec_id < y.vec_id AND x.label IS NOT DISTINCT FROM y.label) WHERE s >= {threshold}"
+
+
+_SWEEP = f"""WITH RECURSIVE p AS (SELECT b AS keep, a AS dropped, s, row_number() OVER (ORDER BY s DESC, a, b) AS i FROM ({_pairs_sql(0.3)})),
+  w AS (SELECT CAST(0 AS BIGINT) AS i, CAST([] AS BIGINT[]) AS gone, CAST([] AS BIGINT[]) AS kept, FALSE AS ok UNION ALL
+        SELECT i, CASE WHEN ok THEN list_append(gone, dropped) ELSE gone END, CASE WHEN ok THEN list_append(kept, keep) ELSE kept END, ok
+        FROM (SELECT p.i, gone, kept, dropped, keep, NOT (list_contains(gone, keep) OR list_contains(gone, dropped) OR list_contains(kept, dropped)) AS ok FROM w JOIN p ON p.i = w.i + 1))
+  SELECT keep AS survivor, dropped AS id, round(s, 6) AS similarity FROM p JOIN w USING (i) WHERE ok"""
+
+_LEAD = f"""WITH RECURSIVE p AS ({_pairs_sql(0.25)}), v AS (SELECT id, row_number() OVER (ORDER BY id) AS i, (SELECT coalesce(list(a), []) FROM p WHERE b = id) AS before FROM (SELECT a AS id FROM p UNION SELECT b FROM p)),
+  w AS (SELECT CAST(0 AS BIGINT) AS i, CAST([] AS BIGINT[]) AS lead UNION ALL SELECT v.i, CASE WHEN list_has_any(before, lead) THEN lead ELSE list_append(lead, id) END FROM w JOIN v ON v.i = w.i + 1),
+  l AS (SELECT unnest(lead) AS leader FROM w WHERE i = (SELECT max(i) FROM w)),
+  m AS (SELECT min(a) AS leader, b AS id FROM p JOIN l ON a = leader WHERE b NOT IN (SELECT leader FROM l) GROUP BY b)
+  SELECT leader, id FROM m UNION SELECT leader, leader FROM m"""
+
+
+@_query(_SWEEP)
 def semantic_greedy_marks(spark, d):
     e = A.table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").cast("string").alias("project"), F.lit(None).cast("string").alias("provenance"), F.lit(1).alias("chars"), F.lit(5).alias("importance"), F.col("vec_id").alias("minute"))
     return dedup.mark_greedily(_pairs(spark, d), e).select("survivor", "id", F.round("similarity", 6).alias("similarity"))
 
 
-@_query()
+@_query(_LEAD)
 def leader_clusters(spark, d):
     return lifecycle.leader_clusters(_pairs(spark, d, 0.25))
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import extraction
 from ..functions import text as T
-from ..operators import dedup, hybrid, index, lifecycle, quality, records, search, upkeep, vector
+from ..operators import cells, dedup, hybrid, index, lifecycle, quality, records, search, upkeep, vector
 from ..sources import adapter as A
 from ..sources import ingest, store
 from ..streaming import progress
@@ -587,7 +587,7 @@ def _twins(spark, d, threshold=0.95):
     e = A.table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "label", "embedding")
     moved = F.transform("embedding", lambda x, i: F.when(i == 0, (x + F.lit(0.01).cast("float")).cast("float")).otherwise(x))
     both = e.unionByName(e.filter("id % 3 = 0").select((F.col("id") + 10_000_000).alias("id"), "label", moved.alias("embedding")))
-    return vector.pairs(both.select("id", F.col("label").cast("string").alias("project"), F.col("id").cast("string").alias("key"), "embedding"), threshold)
+    return cells.similar_pairs(both.select("id", F.col("label").cast("string").alias("project"), F.col("id").cast("string").alias("key"), "embedding"), threshold)
 
 
 @_query(f"SELECT a, b, round(s, 6) AS similarity FROM (SELECT x.id AS a, y.id AS b, {_COS.format(a='x.embedding', b='y.embedding')} AS s FROM ({_TWINS}) x JOIN ({_TWINS}) y ON x.id < y.id AND x.label IS NOT DISTINCT FROM y.label) WHERE s >= 0.95")

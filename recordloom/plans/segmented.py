@@ -1,9 +1,10 @@
-"""Registered queries over the segmented index: increments, sorted terms, early-ending searches."""
+"""Registered queries over the segmented index (increments, sorted terms, early-ending searches) and the vector index."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import cells
 from ..operators.segments import SegmentIndex
 from ..sources import adapter as A
 from ..sources import store
@@ -66,3 +67,31 @@ def index_early_boolean(spark, d):
 @_query(_bm25_sql([_pf("tio"), _tf("and")], "f0 > 0 OR f1 > 0", limit=40))
 def index_prefix_range(spark, d):
     return _ranked(documents(spark, d).search("tio* OR and", 40).rows)
+
+
+def _vectors(spark, d):
+    return A.table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+
+
+def vector_index(spark, d) -> cells.VectorIndex:
+    rows = _vectors(spark, d)
+    return cells.VectorIndex.build(spark, "embeddings", rows, store.version_of(rows), rows_per_cell=100)
+
+
+_NEAREST = f"SELECT vec_id AS id, round({C._COS.format(a='embedding', b='q')}, 6) AS similarity, '{{}}' AS tier FROM embeddings, (SELECT arg_min(embedding, vec_id) AS q FROM embeddings) ORDER BY {C._COS.format(a='embedding', b='q')} DESC, vec_id LIMIT 10"
+
+
+def _labelled(found: cells.Nearest):
+    return found.rows.select("id", F.round("similarity", 6).alias("similarity"), F.lit(found.tier).alias("tier"))
+
+
+@_query(_NEAREST.format("knn"))
+def knn_tiered(spark, d):
+    rows = _vectors(spark, d)
+    return _labelled(cells.search(vector_index(spark, d), rows, store.version_of(rows), C.first_vector(spark, d), 10))
+
+
+@_query(_NEAREST.format("bruteforce"))
+def knn_stale_index(spark, d):
+    """An index of another version of the vectors is passed over."""
+    return _labelled(cells.search(vector_index(spark, d), _vectors(spark, d), "another version", C.first_vector(spark, d), 10))
