@@ -6,7 +6,6 @@ import json
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..operators import quality
@@ -46,23 +45,6 @@ def tool_sessions(files: DataFrame) -> DataFrame:
     return rows.select("session_id", "ordinal", F.coalesce("m.info.role", F.lit("unknown")).alias("role"), content.alias("content")).filter("content != ''")
 
 
-def active_branch(entries: DataFrame) -> DataFrame:
-    """Of tree-shaped logs (path, line, id, parent, and what else) the branch that follows each entry's last child
-    from the root on, with `depth`. A log is one file, walked in one group."""
-    last = entries.withColumn("_n", F.row_number().over(W.partitionBy("path", "parent").orderBy(F.desc("line")))).filter("_n = 1").select("path", "id", "parent")
-
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        after = {None if pd.isna(p) else p: i for p, i in zip(pdf["parent"], pdf["id"])}
-        chain, seen, at = [], set(), after.get(None)
-        while at is not None and at not in seen:
-            seen.add(at)
-            chain.append(at)
-            at = after.get(at)
-        return pd.DataFrame({"path": [pdf["path"].iloc[0]] * len(chain), "id": chain, "depth": range(len(chain))})
-
-    return entries.join(last.groupBy("path").applyInPandas(walk, "path string, id string, depth int"), ["path", "id"])
-
-
 def archive_sections(files: DataFrame) -> DataFrame:
     """day, project, title, content of `## Extracted: DAY | PROJECT` sections."""
     head = r"\A## Extracted:[ \t]*([0-9-]+)[ \t]*\|[ \t]*([^\n]+)\n"

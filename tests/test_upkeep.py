@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from recordloom.functions import extraction
 from recordloom.operators import upkeep
-from recordloom.sources import formats
+from recordloom.sources import formats, trees
 
 TEXT = """## ONE SENTENCE SUMMARY
 
@@ -60,7 +60,7 @@ def test_tool_sessions(spark):
 
 def test_active_branch(spark):
     rows = [("f", 0, "a", None), ("f", 1, "b", "a"), ("f", 2, "c", "a"), ("f", 3, "d", "b"), ("f", 4, "e", "c"), ("g", 0, "z", None)]
-    got = formats.active_branch(spark.createDataFrame(rows, "path string, line int, id string, parent string")).orderBy("path", "depth").collect()
+    got = trees.active_branch(spark.createDataFrame(rows, "path string, line int, id string, parent string")).orderBy("path", "depth").collect()
     assert [(r["path"], r["id"]) for r in got] == [("f", "a"), ("f", "c"), ("f", "e"), ("g", "z")]
 
 
