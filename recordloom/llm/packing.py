@@ -3,11 +3,12 @@
 Documents longer than half a sequence open one each. The others come in bands of lengths, each band's from half the
 length of the band before it. A band's documents are ranged by length, from long to short, a frequent length over
 several ranges. A superstep sweeps the ranges for their successors: each range takes the smallest gaps that hold its
-documents, and a gap that several could take is settled by rank. The ranges then fill their gaps at once, one task a
+documents, as many as these can use, and a gap that several could take is settled by rank; gaps that nobody can use stay out. The ranges then fill their gaps at once, one task a
 range: each document goes to the smallest gap that holds it, and the gap is updated. What found no gap stays for the
 next superstep; a range for which no gap is left opens sequences.
 
-The driver sees counts for each length and gap (at most `capacity`) and one row for each range. Every superstep is
+The driver sees counts for each length and gap (at most `capacity` each) and plans over those, whatever the number of
+documents or ranges; the places do not depend on the number of tasks. Every superstep is
 written to the shared folder, so a lost executor repeats its part of one superstep.
 
 Null text is an empty document (its end id only). Rows that repeat, share a doc_id or have none are packed each on
@@ -20,12 +21,14 @@ import os
 import re
 import uuid
 import zlib
-from bisect import bisect_left, insort
+from bisect import bisect_left, bisect_right, insort
+from dataclasses import dataclass
 from functools import lru_cache, reduce
+from math import isqrt
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import slices, stage
@@ -33,6 +36,8 @@ from .common import slices, stage
 END_ID = 1
 #: Slots over which the rows of one length or gap are ranked.
 SLOTS = 1 << 30
+#: Sequences that a range's documents fill at least: each range may leave one that is not full.
+FULL = 8
 
 
 #: Chunks of these letters, digits and signs alone are cut as the tokenizer cuts them: they have no composing marks,
@@ -147,61 +152,162 @@ def _bands(capacity: int) -> list[tuple[int, int]]:
     return out
 
 
-def _cut(counts: dict[int, int], rows: int, most: int) -> list[tuple[int, int, int, int]]:
-    """Ranges of about `rows` documents, at most about `most`, over lengths from long to short: (length, first slot,
-    slot after the last, range). A length may be in several ranges, its documents dealt by a hash over SLOTS slots."""
-    total = sum(counts.values())
-    each, out, done = -(-total // max(1, min(most, total // rows))), [], 0
+@dataclass
+class Plan:
+    """Which range takes which documents and gaps, in a size that depends on the number of different lengths and gaps
+    (at most capacity each) and not on the number of ranges: alike ranges that follow each other are one entry."""
+
+    each: int
+    ranges: int
+    #: length: how many documents are longer, and how many have it.
+    docs: list[tuple[int, int, int]]
+    #: gap, first rank, gaps for each range, first range, number of ranges.
+    gaps: list[tuple[int, int, int, int, int]]
+    #: first range, sequences that it and those up to the next entry may open each.
+    opens: list[tuple[int, int]]
+
+    def opening(self, part: int) -> int:
+        return self.opens[bisect_right(self.opens, (part, 1 << 62)) - 1][1]
+
+
+def _alike(docs: list[tuple[int, int, int]], each: int, total: int):
+    """(first range, ranges, documents of each, their tokens, longest, shortest): ranges of one length alone that
+    follow each other together, others one by one."""
+    part, i = 0, 0
+    while part * each < total:
+        start, end = part * each, min(total, (part + 1) * each)
+        while docs[i][1] + docs[i][2] <= start:
+            i += 1
+        length, before, n = docs[i]
+        whole = (before + n - start) // each
+        if whole:
+            yield part, whole, each, each * length, length, length
+            part += whole
+            continue
+        own, j = [], i
+        while j < len(docs) and docs[j][1] < end:
+            length, before, n = docs[j]
+            own.append((length, min(end, before + n) - max(start, before)))
+            j += 1
+        yield part, 1, sum(n for _, n in own), sum(x * n for x, n in own), own[0][0], own[-1][0]
+        part += 1
+
+
+def _needed(docs: list[tuple[int, int]], free: dict[int, int], capacity: int) -> list[tuple[int, int]]:
+    """(gap, how many) of the gaps that best-fit over one range's lengths (length, n, from long to short) uses, by counts
+    alone; capacity: what a sequence holds that is opened where no gap fits, 0 if none may be."""
+    left, cut, used = dict(free), {}, {}
+    sizes = sorted(g for g, n in left.items() if n)
+    for length, n in docs:
+        while n:
+            at = bisect_left(sizes, length)
+            if at == len(sizes):
+                if not capacity:
+                    break
+                gap, take = capacity, 1 if 2 * length <= capacity else n
+            else:
+                gap = sizes[at]
+                spare = cut.get(gap, 0)
+                # One at a time while another fits in what the first leaves: that is then the smallest gap.
+                take = 1 if 2 * length <= gap else min(n, spare + left.get(gap, 0))
+                old = min(take, spare)
+                if old:
+                    cut[gap] -= old
+                if take > old:
+                    used[gap] = used.get(gap, 0) + take - old
+                    left[gap] -= take - old
+                if not cut.get(gap) and not left.get(gap):
+                    del sizes[at]
+            n -= take
+            if gap > length:
+                if not cut.get(gap - length) and not left.get(gap - length):
+                    insort(sizes, gap - length)
+                cut[gap - length] = cut.get(gap - length, 0) + take
+    return sorted(used.items())
+
+
+def _plan(counts: dict[int, int], gaps: dict[int, int], rows: int, capacity: int) -> Plan:
+    """Ranges of about `rows` documents (more where so many are short that they fill fewer than FULL sequences) over lengths from long to short, and a successor sweep over them: each takes the
+    smallest gaps that hold some of its documents, as many as its tokens ask for; the last those that its documents use. What is
+    left belongs to no range. A gap that several ranges could take is settled by rank. A range may open what its
+    documents fill beyond those gaps, as whole sequences, if no gap is left above it; a single range what it needs."""
+    total, tokens = sum(counts.values()), sum(length * n for length, n in counts.items())
+    rows = max(rows, FULL * capacity * total // tokens)
+    each = -(-total // max(1, total // rows))
+    docs, before = [], 0
     for length in sorted(counts, reverse=True):
-        n, at = counts[length], 0
-        while at < n:
-            step = min(n - at, each - done % each)
-            out.append((length, at * SLOTS // n, (at + step) * SLOTS // n, done // each))
-            at, done = at + step, done + step
-    return out
-
-
-def _route(cut: list[tuple[int, int, int, int]], counts: dict[int, int], gaps: dict[int, int], capacity: int) -> tuple[list[tuple[int, int, int, int]], list[int]]:
-    """Successor sweep over the ranges of `cut`, from long documents to short: each takes the smallest gaps that hold
-    some of its documents, as many as its tokens ask for, the last all that are left; a gap that several ranges could
-    take is settled by rank (its slot). Returns (gap, first slot, slot after the last, range), and how many sequences
-    each range may open: what its documents fill beyond those gaps, as whole sequences, if no gap is left above it."""
-    ranges: list[list[tuple[int, float]]] = [[] for _ in range(cut[-1][3] + 1)]
-    for length, first, after, part in cut:
-        ranges[part].append((length, counts[length] * (after - first) / SLOTS))
-    free, out, opens = dict(gaps), [], []
-    for part, own in enumerate(ranges):
-        n, tokens, found = sum(n for _, n in own), sum(length * n for length, n in own), 0.0
-        short, long, mean, last = own[-1][0], own[0][0], tokens / n, part == len(ranges) - 1
-        for gap in sorted(g for g in free if g >= short):
-            if found >= tokens and not last:
-                break
+        docs.append((length, before, counts[length]))
+        before += counts[length]
+    ranges, free, sizes, out, opens = -(-total // each), dict(gaps), sorted(gaps), [], []
+    for first, alike, n, tokens, long, short in _alike(docs, each, total):
+        mean, part, end, found, taken = tokens / n, first, first + alike, 0.0, 0
+        for gap in sizes[bisect_left(sizes, short) :]:
             holds = max(1, int(gap / mean)) * mean
-            take = free[gap] if last else min(free[gap], int((tokens - found) / holds) + 1)
-            at = gaps[gap] - free[gap]
-            out.append((gap, at * SLOTS // gaps[gap], (at + take) * SLOTS // gaps[gap], part))
-            found += take * holds
-            free[gap] -= take
-            if not free[gap]:
-                del free[gap]
-        more = 0 if any(g >= long for g in free) else max(0, int((tokens - found) / (int(capacity / mean) * mean)))
-        opens.append(sum(counts.values()) if len(ranges) == 1 else more)
-    return out, opens
-
-
-def _deal(rows: DataFrame, table: list[tuple[int, int, int, int]]) -> DataFrame:
-    """rows with their range by size and slot (null where the table has none), and no place yet. The table has at most
-    a row for each size and each range more, so it is sent by broadcast."""
-    ranges = rows.sparkSession.createDataFrame(table, "of long, low long, high long, range int")
-    slot = F.pmod(F.xxhash64("row"), F.lit(SLOTS))
-    dealt = rows.join(F.broadcast(ranges), (F.col("size") == F.col("of")) & (slot >= F.col("low")) & (slot < F.col("high")), "left").drop("of", "low", "high")
-    return dealt.select("*", *(F.lit(None).cast("long").alias(n) for n in ("sequence_id", "offset")))
-
-
-def _sweep(rows: DataFrame, opens: list[int], capacity: int) -> DataFrame:
+            while free[gap] and part < min(end, ranges - 1):
+                need = int((tokens - found) / holds) + 1
+                at = gaps[gap] - free[gap]
+                many = 0 if found else min(min(end, ranges - 1) - part, free[gap] // need)
+                if many:
+                    out.append((gap, at, need, part, many))
+                    free[gap] -= need * many
+                    opens.append((part, 0))
+                    part += many
+                    continue
+                take = min(free[gap], need)
+                out.append((gap, at, take, part, 1))
+                free[gap] -= take
+                found += take * holds
+                if found >= tokens:
+                    opens.append((part, 0))
+                    part, found = part + 1, 0.0
+        if part == ranges - 1:
+            last = [(length, min(total, before + n) - max(part * each, before)) for length, before, n in docs if before + n > part * each]
+            for gap, take in _needed(last, free, capacity if ranges == 1 else 0):
+                take = min(free[gap], take + 4 * isqrt(take) + 8)  # ranks are drawn, so as many more as chance may withhold
+                out.append((gap, gaps[gap] - free[gap], take, part, 1))
+                free[gap] -= take
+                found += take * max(1, int(gap / mean)) * mean
+        if part < end:  # what is left of the gaps holds no document of these
+            whole = int(capacity / mean) * mean
+            above = any(n for g, n in free.items() if g >= long)
+            for at, had in ((part, found), (part + 1, 0.0)):
+                if at < end:
+                    opens.append((at, 0 if above else max(0, int((tokens - had) / whole))))
+    if ranges == 1:
+        opens = [(0, total)]
+    return Plan(each, ranges, docs, out, opens)
+
+
+def _rank(n: str) -> Column:
+    """A row's rank among the n of its size, by a hash over SLOTS slots."""
+    return F.least(F.floor(F.pmod(F.xxhash64("row"), F.lit(SLOTS)) * (F.col(n) / F.lit(float(SLOTS)))), F.col(n) - 1)
+
+
+def _placeless(rows: DataFrame) -> DataFrame:
+    return rows.select("*", *(F.lit(None).cast("long").alias(n) for n in ("sequence_id", "offset")))
+
+
+def _deal_docs(rows: DataFrame, plan: Plan) -> DataFrame:
+    """Documents with their range. The plan's table has a row for each length, so it is sent by broadcast."""
+    table = rows.sparkSession.createDataFrame(plan.docs, "size long, before long, n long")
+    part = F.floor((F.col("before") + _rank("n")) / plan.each).cast("int")
+    return _placeless(rows.join(F.broadcast(table), "size").withColumn("range", part).select(*rows.columns, "range"))
+
+
+def _deal_gaps(rows: DataFrame, plan: Plan, free: dict[int, int]) -> DataFrame:
+    """Gaps with their range, null where none takes them. The table has a few rows for each length and gap."""
+    spark = rows.sparkSession
+    numbered = rows.join(F.broadcast(spark.createDataFrame(list(free.items()), "size long, n long")), "size", "left").withColumn("rank", _rank("n"))
+    table = spark.createDataFrame(plan.gaps, "of long, first long, per long, part long, many long")
+    mine = (F.col("size") == F.col("of")) & (F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("first") + F.col("per") * F.col("many"))
+    dealt = numbered.join(F.broadcast(table), mine, "left").withColumn("range", (F.col("part") + F.floor((F.col("rank") - F.col("first")) / F.col("per"))).cast("int"))
+    return _placeless(dealt.select(*rows.columns, "range"))
+
+
+def _sweep(rows: DataFrame, plan: Plan, tasks: int, capacity: int) -> DataFrame:
     """Each range's documents, from long to short, each into the smallest gap of the range that holds it; what a gap
     has left is a gap again. Where none fits, a range opens a sequence (named by its first document's row), as many as
-    `opens` allows it."""
+    the plan allows it. A task sweeps its ranges one after another, so what it places does not depend on how many it has."""
     kinds = {f.name: f.dataType for f in rows.schema}
 
     def sweep(batches):
@@ -237,7 +343,7 @@ def _sweep(rows: DataFrame, opens: list[int], capacity: int) -> DataFrame:
             for part, doc, size, row in zip(*(batch.column(place[n]).to_pylist() for n in ("range", "is_doc", "size", "row"))):
                 if part != now:
                     close()
-                    now, more = part, opens[part]
+                    now, more = part, plan.opening(part)
                 if not doc:
                     put(size, row)
                     continue
@@ -265,14 +371,14 @@ def _sweep(rows: DataFrame, opens: list[int], capacity: int) -> DataFrame:
         if spare[0]:
             yield gaps()
 
-    sorted_rows = rows.repartitionById(len(opens), "range").sortWithinPartitions("range", F.desc("size"), "is_doc", "row")
+    sorted_rows = rows.repartitionById(tasks, F.pmod("range", F.lit(tasks)).cast("int")).sortWithinPartitions("range", F.desc("size"), "is_doc", "row")
     return sorted_rows.mapInArrow(sweep, ", ".join(f"{n} {t.simpleString()}" for n, t in kinds.items()))
 
 
 def fit(pieces: DataFrame, capacity: int, rows: int = 5_000, rounds: int = 3) -> DataFrame:
     """Places rows of PIECE and `row` (unique), each of at most capacity tokens: PIECE, sequence_id, offset. A range
-    has about `rows` documents, or more where there are more than spark.sql.shuffle.partitions such ranges. What a
-    superstep leaves is ranged anew; in a band's last of `rounds` supersteps every range may open what it needs."""
+    has about `rows` documents, however many ranges that makes; at most spark.sql.shuffle.partitions tasks sweep them.
+    What a superstep leaves is ranged anew; in a band's last of `rounds` supersteps every range may open what it needs."""
     most = int(pieces.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     counts = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}  # at most capacity rows
     half = capacity // 2
@@ -286,13 +392,13 @@ def fit(pieces: DataFrame, capacity: int, rows: int = 5_000, rounds: int = 3) ->
         for step in range(rounds):
             if not left:
                 break
-            cut = _cut(left, rows, most)
-            table, opens = _route(cut, left, {g: n for g, n in free.items() if g >= low}, capacity)
+            fitting = {g: n for g, n in free.items() if g >= low}
+            plan = _plan(left, fitting, rows, capacity)
             if step == rounds - 1:
-                opens = [sum(left.values())] * len(opens)
-            ranged = _deal(docs, cut)
-            dealt = _deal(gaps.select(F.lit(False).alias("is_doc"), "size", "row", *(F.lit(None).cast(pieces.schema[n].dataType).alias(n) for n in PIECE)), table)
-            swept = _sweep(ranged.unionByName(dealt.filter("range is not null")), opens, capacity)
+                plan.opens = [(0, sum(left.values()))]
+            ranged = _deal_docs(docs, plan)
+            dealt = _deal_gaps(gaps.select(F.lit(False).alias("is_doc"), "size", "row", *(F.lit(None).cast(pieces.schema[n].dataType).alias(n) for n in PIECE)), plan, fitting)
+            swept = _sweep(ranged.unionByName(dealt.filter("range is not null")), plan, min(plan.ranges, most), capacity)
             swept = stage(swept.unionByName(dealt.filter("range is null")).drop("range"), "sweep")
             placed.append(swept.filter("sequence_id is not null").select(*PIECE, "sequence_id", "offset"))
             docs = swept.filter("is_doc and sequence_id is null").drop("sequence_id", "offset")
