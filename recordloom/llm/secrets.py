@@ -25,12 +25,12 @@ BASE = (
     ("access", r"AKIA[A-Z0-9]{14,}", 0, 18),
     ("hex", r"[0-9a-f]{16,}", 0, 16),
 )
-#: Candidates whose ownership decides.
+#: Candidates whose ownership decides. Their lengths have no upper bound; of a scheme of over 21 characters the last 21 are in the span.
 EXTRA = (
     ("vendor", r"(?<![A-Za-z0-9_-])(?:gh[pousr]_[A-Za-z0-9]{30,}|sk-[A-Za-z0-9_-]{20,}|xox[abprs]-[A-Za-z0-9-]{10,}|AIza[A-Za-z0-9_-]{30,})", 0, 14),
     ("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 0, 28),
-    ("pem", r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----", 0, 20),
-    ("login", r"[a-z][a-z0-9+.-]{1,20}://[^\s:/@]{1,64}:[^\s:/@]{6,128}@", 0, 12),
+    ("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 20),
+    ("login", r"[a-z][a-z0-9+.-]{1,20}://[^\s:/@]+:[^\s:/@]{6,}@", 0, 12),
 )
 #: What a text must hold for a pattern's scan to be worth its time; a quick test before the full one.
 _QUICK = {"assign": r"(?i:password|passwd|secret|token|api_?key)", "access": "AKIA", "hex": "[0-9a-f]{16}", "vendor": "gh[pousr]_|sk-|xox[abprs]-|AIza", "jwt": "eyJ", "pem": "PRIVATE KEY", "login": "://"}

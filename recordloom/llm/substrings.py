@@ -1,11 +1,13 @@
-"""Substring dedup by recompression: words of windows that already start in an earlier document go.
-
-Words get global names (64-bit content hashes, so every executor names alike and no dictionary is shuffled). A round of
-recompression names pairs: half of all names are left, half are right, and a left name followed by a right one becomes
-one symbol. Runs of one word keep their single names, as a run cut by a window's edge would be lost. Whatever stands
-around it, a window of 13 words keeps the symbols that begin at its words 2 to 13; so of the six-word phrases that begin
-at a symbol, all that begin at its words 2 to 8 are the same wherever the window occurs. Phrases get names from
-their symbols' words, the next level; each window is known by the smallest phrase name among those.
+"""Substring dedup by winnowing: words of windows that already start in an earlier document go.
+
+This is not recompression: no run and no pair is named, and there are no naming rounds. A symbol of a run or pair that a
+window's edge cuts is lost, and after a further round 13 words hold too few whole symbols to find every window that two
+documents share, which the contract asks for.
+
+Words get global names (64-bit content hashes, so every executor names alike and no dictionary is shuffled). One bit of
+a name says left or right; a six-word phrase may begin where a left name stands before a right one, or at any word where
+a window has no such place. What may begin inside a window depends on its own words alone, so the smallest phrase
+name among its words 2 to 8 is the same wherever the window occurs: it is the window's key.
 
 Step 1 finds phrase names that several documents share. A task settles what it sees itself and sends one row for each
 name and block of documents, so no name gathers more rows than there are blocks. Step 2 verifies: only windows whose
