@@ -30,8 +30,12 @@ def hybrid(keyword: DataFrame, near: DataFrame, docs: DataFrame, limit: int = 10
     one = keyword.select(key.alias("key"), F.row_number().over(W.orderBy("rank", "table", "id")).alias("place"))
     two = near.select(key.alias("key"), F.row_number().over(W.orderBy(F.desc("similarity"), "table", "id")).alias("place"))
     best = vector.fuse(one, two, limit).withColumn("table", F.substring_index("key", ":", 1)).withColumn("id", F.substring_index("key", ":", -1).cast("long"))
-    found = docs.join(F.broadcast(best.select("table", "id")), ["table", "id"], "left_semi")  # at most `limit` rows
-    shown = best.join(found, ["table", "id"], "left")
+    kept = best.collect()  # `limit` rows: their ids reach the scans of docs as literals, so the lists are made once and no other text is read through
+    best = best.sparkSession.createDataFrame(kept, best.schema)
+    mine = F.lit(False)
+    for table in sorted({r["table"] for r in kept}):
+        mine |= (F.col("table") == table) & F.col("id").isin([r["id"] for r in kept if r["table"] == table])
+    shown = F.broadcast(best).join(docs.filter(mine), ["table", "id"], "left")
     return shown.select("table", "id", "score", "source", F.coalesce("content", F.lit("")).alias("content"), F.coalesce("preview", F.lit("")).alias("preview"), F.coalesce("provenance", F.lit("unknown")).alias("provenance")).orderBy(F.desc("score"), "p1", "p2")
 
 

@@ -55,8 +55,11 @@ def _blocks(df: DataFrame, size: int) -> int:
     return max(1, -(-df.count() // size))
 
 
-def knn_many(queries: DataFrame, vectors: DataFrame, k: int, block: int = 4096) -> DataFrame:
-    """The k nearest rows of every query (id, embedding): a block product for each pair of blocks, each group bounded."""
+def knn_many(queries: DataFrame, vectors: DataFrame, k: int, block: int = 4096, hidden: DataFrame | None = None) -> DataFrame:
+    """The k nearest rows of every query (id, embedding): a block product for each pair of blocks, each group bounded.
+    Marked duplicates (hidden: id) go before the cut."""
+    if hidden is not None:
+        vectors = vectors.join(hidden.select("id").distinct(), "id", "left_anti")
     n, m = _blocks(vectors, block), _blocks(queries, 512)
     part = lambda of: F.pmod(F.xxhash64("id"), F.lit(of)).cast("int")
     dealt = vectors.select("id", "embedding", F.lit(False).alias("q"), part(n).alias("rb"), F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias("qb")).unionByName(
