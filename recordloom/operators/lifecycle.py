@@ -124,9 +124,14 @@ def apply_consolidation(clusters: DataFrame, rows: DataFrame, summarize, accept,
 def procedures(clusters: DataFrame, generate) -> DataFrame:
     """title, trigger, steps, sources, n, confidence of clusters (leader, ids, text) from an injected generator's answer
     (TITLE, TRIGGER, STEPS); an answer without title or steps gives none. Three members make the confidence high."""
-    answer = F.udf(generate, "string")
+
+    def ask(batches):
+        for pdf in batches:  # a batch of clusters at a time; the generator sees one text after another
+            yield pdf.assign(answer=[generate(t) for t in pdf["text"]])[["ids", "n", "answer"]]
+
+    asked = clusters.select(F.col("ids").cast("array<string>").alias("ids"), F.size("ids").cast("long").alias("n"), "text").mapInPandas(ask, "ids array<string>, n long, answer string")
     read = lambda p: F.trim(F.regexp_extract("answer", p, 1))
-    made = clusters.withColumn("answer", answer("text")).select(read(r"TITLE:\s*(.+)").alias("title"), read(r"TRIGGER:\s*(.+)").alias("trigger"), F.regexp_replace(read(r"(?s)STEPS:\s*(.+)"), r"\s+\z", "").alias("steps"), F.array_join("ids", ",").alias("sources"), F.size("ids").cast("long").alias("n"))
+    made = asked.select(read(r"TITLE:\s*(.+)").alias("title"), read(r"TRIGGER:\s*(.+)").alias("trigger"), F.regexp_replace(read(r"(?s)STEPS:\s*(.+)"), r"\s+\z", "").alias("steps"), F.array_join("ids", ",").alias("sources"), "n")
     return made.filter("title <> '' AND steps <> ''").withColumn("confidence", F.when(F.col("n") >= 3, "high").otherwise("medium"))
 
 

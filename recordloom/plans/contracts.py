@@ -516,10 +516,11 @@ def consolidation_applied(spark, d):
     return records.union([count("entries", entries), count("extraction_failed", skipped.filter("reason = 'extraction_failed'")), count("quality_failed", skipped.filter("reason = 'quality_failed'")), count("demoted", rows.filter("importance = 1"))])
 
 
-@_query("SELECT 'Handle ' || o_orderpriority AS title, 'when it fails' AS trigger, '1. a' || chr(10) || '2. b' AS steps, string_agg(CAST(o_orderkey AS VARCHAR), ',' ORDER BY o_orderkey) AS sources, count(*) AS n, 'high' AS confidence FROM orders WHERE o_orderpriority <> '5-LOW' AND o_orderkey < 100 GROUP BY o_orderpriority HAVING count(*) >= 3")
+@_query("SELECT 'Handle ' || o_orderpriority || ' of ' || o_custkey AS title, 'when it fails' AS trigger, '1. a' || chr(10) || '2. b' AS steps, string_agg(CAST(o_orderkey AS VARCHAR), ',' ORDER BY o_orderkey) AS sources, count(*) AS n, 'high' AS confidence FROM orders WHERE o_orderpriority <> '5-LOW' GROUP BY o_orderpriority, o_custkey HAVING count(*) >= 3")
 def procedure_drafts(spark, d):
-    g = A.table(spark, d, "orders").filter("o_orderkey < 100").groupBy("o_orderpriority").agg(F.array_sort(F.collect_list("o_orderkey")).alias("ids")).withColumn("text", F.col("o_orderpriority")).filter(F.size("ids") >= 3)
-    return lifecycle.procedures(g, lambda t: "no answer" if t == "5-LOW" else f"TITLE: Handle {t}\nTRIGGER: when it fails\nSTEPS:\n1. a\n2. b\n")
+    """A draft for each customer and priority of at least three orders."""
+    g = A.table(spark, d, "orders").groupBy("o_orderpriority", "o_custkey").agg(F.array_sort(F.collect_list("o_orderkey")).alias("ids")).filter(F.size("ids") >= 3)
+    return lifecycle.procedures(g.withColumn("text", F.concat_ws(" of ", "o_orderpriority", "o_custkey")), lambda t: "no answer" if t.startswith("5-LOW") else f"TITLE: Handle {t}\nTRIGGER: when it fails\nSTEPS:\n1. a\n2. b\n")
 
 
 @_query(f"SELECT id FROM {M} WHERE session_id % 2 = 1 OR id > session_id * 1000 + 3")
@@ -539,11 +540,11 @@ def advanced_cursor(spark, d):
 _SAID = f"SELECT id, CASE id % 7 WHEN 0 THEN 'No, use the other file' WHEN 1 THEN 'that''s wrong' WHEN 2 THEN 'no worries' WHEN 3 THEN 'I said so before' WHEN 4 THEN 'Actually, looks good' WHEN 5 THEN 'stop. add a test' ELSE content END AS said FROM {M} WHERE role = 'user'"
 
 
-@_query(f"SELECT id, CASE id % 7 WHEN 0 THEN 'no-lead' WHEN 1 THEN 'thats-wrong' WHEN 3 THEN 'i-said' WHEN 5 THEN 'stop-lead' END AS label FROM ({_SAID}) WHERE id % 7 < 6")
+@_query(f"SELECT id, CASE id % 7 WHEN 0 THEN 'no-lead' WHEN 1 THEN 'thats-wrong' WHEN 3 THEN 'i-said' WHEN 5 THEN 'stop-lead' END AS label FROM ({_SAID})")
 def correction_labels(spark, d):
     k = F.col("id") % 7
     said = F.when(k == 0, "No, use the other file").when(k == 1, "that's wrong").when(k == 2, "no worries").when(k == 3, "I said so before").when(k == 4, "Actually, looks good").when(k == 5, "stop. add a test").otherwise(F.col("content"))
-    return A.messages(spark, d).filter("role = 'user'").select("id", T.correction_label(said).alias("label")).filter("id % 7 < 6")
+    return A.messages(spark, d).filter("role = 'user'").select("id", T.correction_label(said).alias("label"))
 
 
 @_query(f"SELECT id, 'instruction-override' AS category, CAST(length(content) + 1 AS INTEGER) AS \"start\", CAST(length(content) + 29 AS INTEGER) AS \"end\" FROM {M} WHERE id % 3 = 0 UNION ALL SELECT id, 'role-hijack', CAST(length(content) + 1 AS INTEGER), CAST(length(content) + 13 AS INTEGER) FROM {M} WHERE id % 3 = 1")
