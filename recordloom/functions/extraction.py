@@ -60,3 +60,21 @@ def embedding_text(head: Column, detail: Column, label: str | None = None) -> Co
     if label is None:
         return F.concat_ws("\n\n", head, detail)
     return F.concat(head, F.lit(f"\n\n{label}: "), F.coalesce(F.nullif(detail, F.lit("")), F.lit("N/A")))
+
+
+def _section(text: Column, pattern: str) -> Column:
+    return F.regexp_extract(F.coalesce(text, F.lit("")), rf"(?is)##\s*{pattern}\s*(.*?)(?=\n##\s|\z)", 1)
+
+
+def import_topics(text: Column, most: int = 8, longest: int = 80) -> Column:
+    """Of imported extracts: what stands before the colon in every line of the topics, then of the ideas."""
+    bare = lambda x: F.trim(F.substring_index(F.replace(F.regexp_replace(x, r"^[-*]\s*", ""), F.lit("**"), F.lit("")), ":", 1))
+    lines = F.concat(*(F.split(_section(text, p), "\n") for p in (r"TOPICS", r"MAIN\s+IDEAS")))
+    return F.slice(F.array_distinct(F.filter(F.transform(lines, bare), lambda x: (x != "") & (F.length(x) <= longest))), 1, most)
+
+
+def import_summary(text: Column) -> Column:
+    """The summary section's first line that is not empty, without its dash."""
+    lines = F.filter(F.split(F.trim(F.regexp_replace(_section(text, r"ONE\s+SENTENCE\s+SUMMARY"), r"\A\s+|\s+\z", "")), "\n"), lambda x: x != "")
+    first = F.trim(F.regexp_replace(F.coalesce(F.get(lines, 0), F.lit("")), r"^[-*]\s*", ""))
+    return F.when(first == "", "Imported conversation").otherwise(first)

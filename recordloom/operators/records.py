@@ -105,8 +105,8 @@ def quotes(entries: DataFrame, messages: DataFrame) -> DataFrame:
     return joined.groupBy("id", expected.alias("expected")).agg(F.count("m").alias("present")).withColumn("pruned", F.col("expected") - F.col("present"))
 
 
-def integrity(tables: dict[str, DataFrame], embeddings: DataFrame, lineage: DataFrame, sessions: DataFrame, messages: DataFrame, curated: DataFrame, samples: int = 5) -> DataFrame:
-    """check, n, samples of every check that finds something: embeddings without their row and of unknown tables, marked
+def integrity(tables: dict[str, DataFrame], embeddings: DataFrame, lineage: DataFrame, sessions: DataFrame, messages: DataFrame, curated: DataFrame, samples: int = 5, searched: dict[str, DataFrame] | None = None) -> DataFrame:
+    """check, n, samples of every check that finds something (searched: tables that have embeddings but no lineage): embeddings without their row and of unknown tables, marked
     lineage without its duplicate or survivor, messages without a session, curated entries with a broken message range
     or parent. Each check is an anti join; the samples are the smallest ids, kept by an aggregate."""
 
@@ -115,8 +115,8 @@ def integrity(tables: dict[str, DataFrame], embeddings: DataFrame, lineage: Data
         return lost.agg(F.count("*").alias("n")).join(few).filter("n > 0").select(F.lit(name).alias("check"), "n", "samples")
 
     lacks = lambda rows, key, parent, other: rows.filter(F.col(key).isNotNull()).join(parent.select(F.col(other).alias("_p")).distinct(), F.col(key) == F.col("_p"), "left_anti")
-    parts = [report(f"orphaned-embeddings:{t}", lacks(embeddings.filter(F.col("source_table") == t), "source_id", rows, "id"), "source_id") for t, rows in tables.items()]
-    parts.append(report("unknown-embedding-source", embeddings.filter(~F.col("source_table").isin(*tables)), "source_id"))
+    parts = [report(f"orphaned-embeddings:{t}", lacks(embeddings.filter(F.col("source_table") == t), "source_id", rows, "id"), "source_id") for t, rows in (tables | (searched or {})).items()]
+    parts.append(report("unknown-embedding-source", embeddings.filter(~F.col("source_table").isin(*tables, *(searched or {}))), "source_id"))
     marked = lineage.filter("status = 'marked'")
     for side in ("duplicate", "survivor"):
         parts += [report(f"lineage-missing-{side}:{t}", lacks(marked.filter(F.col(f"{side}_table") == t), f"{side}_id", rows, "id"), "id") for t, rows in tables.items()]

@@ -28,13 +28,13 @@ def _query(sql: str | None = None):
 
 
 def queries() -> dict:
-    from . import contracts, imports, segmented, walks  # noqa: F401  registers the rest
+    from . import contracts, imports, policies, segmented, walks  # noqa: F401  registers the rest
 
     return dict(_Q)
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import contracts, imports, segmented, walks  # noqa: F401
+    from . import contracts, imports, policies, segmented, walks  # noqa: F401
 
     return dict(_SQL)
 
