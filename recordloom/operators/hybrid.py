@@ -36,7 +36,7 @@ def hybrid(keyword: DataFrame, near: DataFrame, docs: DataFrame, limit: int = 10
     for table in sorted({r["table"] for r in kept}):
         mine |= (F.col("table") == table) & F.col("id").isin([r["id"] for r in kept if r["table"] == table])
     shown = F.broadcast(best).join(docs.filter(mine), ["table", "id"], "left")
-    return shown.select("table", "id", "score", "source", F.coalesce("content", F.lit("")).alias("content"), F.coalesce("preview", F.lit("")).alias("preview"), F.coalesce("provenance", F.lit("unknown")).alias("provenance")).orderBy(F.desc("score"), "p1", "p2")
+    return shown.select("table", "id", "score", "source", F.coalesce("content", F.lit("")).alias("content"), F.coalesce("preview", F.lit("")).alias("preview"), F.coalesce("provenance", F.lit("unknown")).alias("provenance")).orderBy(F.desc("score"), F.asc_nulls_last("p1"), F.asc_nulls_last("p2"))
 
 
 def with_fallback(keyword: DataFrame, fused, table: str | None) -> tuple[DataFrame, str]:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import extraction
 from ..functions import text as T
-from ..operators import cells, dedup, hybrid, index, lifecycle, quality, records, search, upkeep, vector
+from ..operators import cells, dedup, hybrid, index, lifecycle, quality, recall, records, search, upkeep, vector
 from ..sources import adapter as A
 from ..sources import ingest, store
 from ..streaming import progress
@@ -206,6 +206,21 @@ def agent_context(spark, d):
     return records.union([part("relevant", found, F.concat_ws("#", "table", F.col("id").cast("string"))), part("curated", newest, F.col("title")), part("decisions", best, F.concat_ws(" ", "decision", F.col("id").cast("string")))])
 
 
+_WHOLE = f"""SELECT 'relevant' AS part, row_number() OVER (ORDER BY score DESC, p1 NULLS LAST, p2 NULLS LAST) - 1 AS place, "table" || '#' || id AS line FROM ({_hybrid_sql(_KEYWORD, 5).replace('b."table", b.id,', 'b."table", b.id, b.p1, b.p2,')})
+  UNION ALL SELECT 'curated', row_number() OVER (ORDER BY minute DESC, id DESC) - 1, title FROM (SELECT * FROM {C} ORDER BY minute DESC, id DESC LIMIT 3)
+  UNION ALL SELECT 'decisions', row_number() OVER (ORDER BY k, created DESC, id DESC) - 1, decision || ' ' || id FROM (SELECT *, CASE confidence WHEN 'high' THEN 0 WHEN 'low' THEN 2 ELSE 1 END AS k FROM {D} WHERE status = 'active' ORDER BY k, created DESC, id DESC LIMIT 3)
+  UNION ALL SELECT 'hint', 0, 'time-sensitive'"""
+
+
+@_query(f"SELECT part, CAST(place AS INTEGER) AS place, line FROM ({_WHOLE})")
+def recall_in_one_call(spark, d):
+    vectors = recall.QueryVectors(lambda task: first_vector(spark, d))
+    near = lambda q: vector.knn_units(unit_vectors(spark, d), q, 20).select(F.lit("documents").alias("table"), "id", "similarity")
+    rows, tier = recall.recall("fix the latest build", _keyword(spark, d), near, _docs_view(spark, d), curated(spark, d), A.decisions(spark, d), vectors, recall.Lately(lambda: True))
+    assert tier == "hybrid"
+    return rows
+
+
 def _embedder(texts):
     return [[len(t), t.count("e")] for t in texts]
 

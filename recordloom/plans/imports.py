@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..sources import adapter as A
-from ..sources import formats, ingest
+from ..sources import formats, imports, ingest, store
+from ..sources.tablelog import TableLog
 from .catalog import _query
 
 #: Trim of ASCII white space.
@@ -171,3 +172,25 @@ def quality_of_headed(spark, d):
     k, a = F.col("doc_id") % 4, F.repeat(F.lit("a "), 60)
     t = F.when(k == 0, F.concat(F.lit("## ONE SENTENCE SUMMARY\n## MAIN IDEAS\n"), a)).when(k == 1, F.concat(F.lit("## ONE SENTENCE SUMMARY\n"), a)).when(k == 2, F.repeat(F.lit("word "), 49)).otherwise(F.coalesce("text", F.lit("")))
     return A.table(spark, d, "documents").select("doc_id", T.passes_quality(t).alias("good"))
+
+
+_LATER = "SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'Changed ' || text ELSE text END AS text FROM documents WHERE doc_id % 7 <> 3"
+
+
+@_query(f"SELECT '/docs/' || d.doc_id || '.md' AS path, sha256(coalesce(l.text, d.text)) AS digest FROM documents d LEFT JOIN ({_LATER}) l USING (doc_id) WHERE length(d.text) >= 500 OR length(l.text) >= 500")
+def documents_merged(spark, d):
+    """Documents imported by path, then again with some texts changed and some files gone: changed ones are replaced."""
+    log = TableLog(spark, f"{store.shared_dir(spark)}/recordloom-documents/{store.version_of(A.table(spark, d, 'documents'))}")
+    path = F.concat(F.lit("/docs/"), "doc_id", F.lit(".md")).alias("path")
+    t = A.table(spark, d, "documents")
+    imports.import_documents(log, t.select(path, "text"), ("docs", 0))
+    later = t.filter("doc_id % 7 <> 3").select(path, F.when(F.col("doc_id") % 5 == 0, F.concat(F.lit("Changed "), "text")).otherwise(F.col("text")).alias("text"))
+    imports.import_documents(log, later, ("docs", 1))
+    return log.frame().select("path", "digest")
+
+
+@_query("SELECT 's' || conv_id AS session_id, min(turn) AS started, max(turn) AS ended, count(*) AS n FROM conversations WHERE conv_id % 4 <> 1 AND regexp_matches(text, '[^\\s]') GROUP BY conv_id")
+def sessions_imported(spark, d):
+    m = A.table(spark, d, "conversations").select(F.concat(F.lit("s"), "conv_id").alias("session_id"), F.col("turn").alias("minute"), F.col("text").alias("content"))
+    known = m.filter("cast(substring(session_id, 2) as bigint) % 4 = 1").select("session_id")
+    return imports.import_sessions(m, known)[0]
