@@ -1,4 +1,4 @@
-"""Recall in one call: what a task needs, found by keywords and vectors, with the newest and best records and a hint.
+"""A context in one call: what a task needs, found by keywords and vectors, with the newest and best records and a hint.
 
 The driver keeps two small things between calls: vectors of the last queries, so that a repeated query is not embedded
 again, and whether the embedding service answered lately. Without the service the keyword list alone is fused, so the
@@ -52,7 +52,7 @@ class Lately:
         return self.said
 
 
-def recall(task: str, keyword: DataFrame, near: Callable[[list[float]], DataFrame], docs: DataFrame, curated: DataFrame, decisions: DataFrame, vectors: QueryVectors | None = None, alive: Callable[[], bool] | None = None, limit: int = 5, few: int = 3) -> tuple[DataFrame, str]:
+def gather(task: str, keyword: DataFrame, near: Callable[[list[float]], DataFrame], docs: DataFrame, curated: DataFrame, decisions: DataFrame, vectors: QueryVectors | None = None, alive: Callable[[], bool] | None = None, limit: int = 5, few: int = 3) -> tuple[DataFrame, str]:
     """(part, place, line) and the tier that answered (hybrid or keyword). keyword: table, id, rank of the task's words;
     near: table, id, similarity of a query's vector; docs as hybrid.search_docs(); curated: id, minute, title; decisions:
     id, created, status, confidence, decision. The hint, why the task should also look in the web, is a row where there is one."""

@@ -30,9 +30,9 @@ class Budget:
     least: int = 4
 
 
-#: Headings and notes of a rendered context.
-HEAD, IDENTITY, RANKED = "## Recall — Session Memory (tiered)", "### L0 — Identity", "### L1 — Top Memory (ranked by importance)"
-MORE, CUT = "_More memory available on demand — `memory_recall`, `memory_search`, `memory_hybrid_search` (L2/L3)._", "\n\n[truncated — query more via `memory_search`]"
+#: Headings and notes of a rendered context.
+HEAD, IDENTITY, RANKED = "## Session memory (tiered)", "### L0: identity", "### L1: records by importance"
+MORE, CUT = "_More is there on demand: recent records, keyword search, hybrid search._", "\n\n[truncated]"
 
 
 def context_text(best: DataFrame, identity: str = "", project: str | None = None, budget: Budget = Budget()) -> DataFrame:

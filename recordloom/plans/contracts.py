@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import extraction
 from ..functions import text as T
-from ..operators import cells, dedup, hybrid, index, lifecycle, quality, recall, records, search, upkeep, vector
+from ..operators import cells, context, dedup, hybrid, index, lifecycle, quality, records, search, upkeep, vector
 from ..sources import adapter as A
 from ..sources import ingest, store
 from ..streaming import progress
@@ -213,10 +213,10 @@ _WHOLE = f"""SELECT 'relevant' AS part, row_number() OVER (ORDER BY score DESC,
 
 
 @_query(f"SELECT part, CAST(place AS INTEGER) AS place, line FROM ({_WHOLE})")
-def recall_in_one_call(spark, d):
-    vectors = recall.QueryVectors(lambda task: first_vector(spark, d))
+def context_in_one_call(spark, d):
+    vectors = context.QueryVectors(lambda task: first_vector(spark, d))
     near = lambda q: vector.knn_units(unit_vectors(spark, d), q, 20).select(F.lit("documents").alias("table"), "id", "similarity")
-    rows, tier = recall.recall("fix the latest build", _keyword(spark, d), near, _docs_view(spark, d), curated(spark, d), A.decisions(spark, d), vectors, recall.Lately(lambda: True))
+    rows, tier = context.gather("fix the latest build", _keyword(spark, d), near, _docs_view(spark, d), curated(spark, d), A.decisions(spark, d), vectors, context.Lately(lambda: True))
     assert tier == "hybrid"
     return rows
 

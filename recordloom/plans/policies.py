@@ -18,7 +18,7 @@ _LINE = "'- **[loa#' || id || ']** ' || CASE WHEN coalesce(project, '') = '' THE
 @_query(f"""WITH l AS (SELECT place, {_LINE} AS line FROM ({_BEST}) WHERE place <= 12), a AS (SELECT '{policies.RANKED}' || chr(10) || string_agg(line, chr(10) ORDER BY place) AS r, count(*) AS n FROM l),
   k AS (SELECT n, least(n, CASE WHEN length(r) > 1500 THEN greatest(4, CAST(floor(n * (1500.0 / length(r))) AS BIGINT)) ELSE n END) AS kept FROM a),
   t AS (SELECT n, kept, '{policies.HEAD}' || chr(10) || '**Project:** p' || chr(10) || chr(10) || '{policies.IDENTITY}' || chr(10) || repeat('me ', 400) || chr(10) || chr(10) || '{policies.RANKED}' || chr(10) || (SELECT string_agg(line, chr(10) ORDER BY place) FROM l WHERE place <= kept) || chr(10) || chr(10) || '---' || chr(10) || '{policies.MORE}' AS x FROM k)
-  SELECT CASE WHEN length(x) > 2400 THEN substr(x, 1, 2400) || chr(10) || chr(10) || '[truncated — query more via `memory_search`]' ELSE x END AS text, CAST(n AS INTEGER) AS lines, CAST(kept AS INTEGER) AS kept FROM t""")
+  SELECT CASE WHEN length(x) > 2400 THEN substr(x, 1, 2400) || chr(10) || chr(10) || '[truncated]' ELSE x END AS text, CAST(n AS INTEGER) AS lines, CAST(kept AS INTEGER) AS kept FROM t""")
 def context_budgets(spark, d):
     """A rendered context under budgets that its identity, its lines and the whole are all over."""
     r = A.records(spark, d)

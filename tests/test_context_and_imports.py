@@ -1,17 +1,17 @@
 import pytest
 
-from recordloom.operators import hybrid, recall
+from recordloom.operators import context, hybrid
 from recordloom.sources import imports
 from recordloom.sources.tablelog import TableLog
 
 
 def test_query_vectors_are_kept_for_the_last_asked():
     asked = []
-    q = recall.QueryVectors(lambda t: asked.append(t) or [float(len(t))], most=2)
+    q = context.QueryVectors(lambda t: asked.append(t) or [float(len(t))], most=2)
     assert q("a") == [1.0] and q("bb") == [2.0] and q("a") == [1.0] and q("ccc") == [3.0]
     assert asked == ["a", "bb", "ccc"] and q("a") == [1.0] and q("bb") == [2.0]
     assert asked == ["a", "bb", "ccc", "bb"]  # bb was the least lately asked
-    broken = recall.QueryVectors(lambda t: 1 / 0)
+    broken = context.QueryVectors(lambda t: 1 / 0)
     with pytest.raises(ZeroDivisionError):
         broken("x")
     assert not broken.held
@@ -19,25 +19,25 @@ def test_query_vectors_are_kept_for_the_last_asked():
 
 def test_lately_asks_again_after_its_time():
     now, asked = [0.0], []
-    alive = recall.Lately(lambda: asked.append(1) or len(asked) < 2, 30, lambda: now[0])
+    alive = context.Lately(lambda: asked.append(1) or len(asked) < 2, 30, lambda: now[0])
     assert alive() and alive() and len(asked) == 1
     now[0] = 31
     assert not alive() and not alive() and len(asked) == 2
-    assert not recall.Lately(lambda: 1 / 0)()
+    assert not context.Lately(lambda: 1 / 0)()
 
 
-def test_recall_degrades_to_keywords(spark):
+def test_a_context_degrades_to_keywords(spark):
     keyword = spark.createDataFrame([("docs", 2, -3.0), ("docs", 1, -1.0)], "table string, id long, rank double")
     docs = hybrid.search_docs({"docs": spark.createDataFrame([(1, "one", None), (2, "two", None), (3, "three", None)], "id long, text string, provenance string")})
     curated = spark.createDataFrame([(i, i, f"t{i}") for i in range(5)], "id long, minute long, title string")
     decisions = spark.createDataFrame([(1, "2024-01-01", "active", "low", "x"), (2, "2024-01-02", "reverted", "high", "y"), (3, "2024-01-03", "active", "high", "z")], "id long, created string, status string, confidence string, decision string")
     near = lambda q: spark.createDataFrame([("docs", 3, 0.9)], "table string, id long, similarity double")
-    call = lambda task, **how: recall.recall(task, keyword, near, docs, curated, decisions, **how)
-    rows, tier = call("tidy up", vectors=recall.QueryVectors(lambda t: [1.0]))
+    call = lambda task, **how: context.gather(task, keyword, near, docs, curated, decisions, **how)
+    rows, tier = call("tidy up", vectors=context.QueryVectors(lambda t: [1.0]))
     lines = sorted(tuple(r) for r in rows.collect())
     assert tier == "hybrid" and [x for x in lines if x[0] != "relevant"] == [("curated", 0, "t4"), ("curated", 1, "t3"), ("curated", 2, "t2"), ("decisions", 0, "z 3"), ("decisions", 1, "x 1")]
     assert {x[2] for x in lines if x[0] == "relevant"} == {"docs#1", "docs#2", "docs#3"}
-    for how in ({}, {"vectors": recall.QueryVectors(lambda t: 1 / 0)}, {"vectors": recall.QueryVectors(lambda t: [1.0]), "alive": lambda: False}):
+    for how in ({}, {"vectors": context.QueryVectors(lambda t: 1 / 0)}, {"vectors": context.QueryVectors(lambda t: [1.0]), "alive": lambda: False}):
         rows, tier = call("the latest news", **how)
         assert tier == "keyword" and [r["line"] for r in rows.filter("part = 'relevant'").orderBy("place").collect()] == ["docs#2", "docs#1"]
         assert rows.filter("part = 'hint'").first()["line"] == "time-sensitive"
