@@ -45,7 +45,7 @@ def _graphs():
     return out
 
 
-@pytest.mark.parametrize("finish", [100_000, 0, 20])
+@pytest.mark.parametrize("finish", [100_000, 0])
 def test_rounds_equal_the_sweep(spark, finish):
     rng = random.Random(2)
     every, rows = [], []
@@ -79,7 +79,7 @@ def _vectors(n, dims, seed, spread):
     return [(centres[rng.integers(8)] + spread * rng.normal(size=dims)).tolist() for _ in range(n)]
 
 
-@pytest.mark.parametrize(("threshold", "block", "per_cell"), [(0.95, 2048, 20), (0.95, 7, 20), (0.5, 10, 25), (-0.2, 16, 50), (0.99, 2048, 1000)])
+@pytest.mark.parametrize(("threshold", "block", "per_cell"), [(0.95, 2048, 20), (0.95, 7, 20), (-0.2, 16, 50)])
 def test_similar_pairs_equal_all_pairs(spark, threshold, block, per_cell):
     vectors = _vectors(160, 6, 5, 0.25)
     vectors[10], vectors[11] = vectors[12], vectors[12]
