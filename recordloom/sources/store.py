@@ -50,7 +50,14 @@ def derived(spark: SparkSession, name: str, version: str, build: Callable[[], Da
     fs = hadoop(path).getFileSystem(spark._jsc.hadoopConfiguration())
     if not fs.exists(hadoop(path)):
         made = f"{path}.{uuid.uuid4().hex}"
-        build().write.partitionBy(*by).option("compression", "zstd").parquet(made)
+        # A task writes its folders beside each other: nothing is sorted for the sake of the folders alone.
+        key = "spark.sql.maxConcurrentOutputFileWriters"
+        before = spark.conf.get(key)
+        spark.conf.set(key, "64")
+        try:
+            build().write.partitionBy(*by).option("compression", "zstd").parquet(made)
+        finally:
+            spark.conf.set(key, before)
         if not fs.rename(hadoop(made), hadoop(path)) or fs.exists(hadoop(f"{path}/{made.rsplit('/', 1)[1]}")):
             fs.delete(hadoop(made), True)  # another builder was first
             fs.delete(hadoop(f"{path}/{made.rsplit('/', 1)[1]}"), True)

@@ -1,3 +1,7 @@
+import re
+import uuid
+
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from recordloom.operators import hybrid, index, vector
@@ -51,3 +55,25 @@ def test_hidden_rows_are_in_no_batch(spark, tmp_path):
     vectors = spark.createDataFrame([(i, [1.0, float(i)]) for i in range(20)], "id long, embedding array<double>")
     near = vector.knn_many(vectors.filter("id = 4"), vectors, 3, hidden=spark.createDataFrame([(4,), (5,)], "id long")).orderBy("place").collect()
     assert {r["id"] for r in near} & {4, 5} == set() and len(near) == 3
+
+
+def test_postings_travel_as_blocks_of_their_terms(spark):
+    """Fewer rows are shuffled than there are postings, the postings are those of plain loops, and the terms' numbers of
+    rows are right with one column, with two and with an id in two rows."""
+    texts = [(i, "tie Été tie " + " ".join(f"w{i % 7}x{k % 5}" for k in range(i % 11)), None if i % 4 == 0 else "tie other") for i in range(300)]
+    rows = spark.createDataFrame(texts + [(7, "tie twice", "")], "id long, a string, b string")
+    for columns in (["a"], ["a", "b"]):
+        got = index.postings(rows, columns)
+        expected = []
+        for r in rows.collect():
+            own = [re.findall(r"\w+", (r[c] or "").lower().replace("é", "e")) for c in columns]
+            expected += [(w, r["id"], k, words.count(w), [p for p, x in enumerate(words, 1) if x == w], sum(map(len, own))) for k, words in enumerate(own) for w in set(words)]
+        assert sorted((r["term"], r["id"], r["col"], r["tf"], r["positions"], r["len"]) for r in got.collect()) == sorted(expected)
+        opened = index.open_index(spark, "blocks" + "".join(columns), rows, columns, uuid.uuid4().hex)
+        df = {}
+        for w, i, *_ in expected:
+            df.setdefault(w, set()).add(i)
+        assert {r["term"]: r["df"] for r in opened.terms.collect()} == {w: len(x) for w, x in df.items()}
+        assert opened.n == 301 and abs(opened.mean - sum(e[3] for e in expected) / 301) < 1e-9
+    blocks = index._blocks(pa.array([5, 6, 7]), [pa.array([["a", "b", "a"], [], ["a"]])])
+    assert blocks.num_rows == 2 and blocks.column("ids").to_pylist() == [[5, 7], [5]]
