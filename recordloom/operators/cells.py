@@ -12,6 +12,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,6 +20,8 @@ from ..sources import store
 
 #: Angles are computed with an error far below this; bounds give way by it.
 SLACK = 1e-6
+#: Rows whose visits are made at a time.
+TRAVELLERS = 64
 
 
 def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
@@ -56,6 +59,23 @@ def _one_length(vectors: DataFrame) -> None:
         raise ValueError("vectors of different lengths")
 
 
+def _visits(rows: pa.RecordBatch, pivots: np.ndarray, reach: float) -> pa.RecordBatch:
+    """A copy of each row for its own cell and for each higher one of its project in which it may have a partner."""
+    t = {c: rows.column(i) for i, c in enumerate(rows.schema.names)}
+    near = _angles(_unit(_matrix(t["embedding"])), pivots)
+    cell, own = t["cell"].to_numpy(), t["angle"].to_numpy()
+    others = t["cells"].flatten()
+    there, radius, blocks = (others.field(c).to_numpy() for c in ("cell", "radius", "blocks"))
+    row = np.repeat(np.arange(rows.num_rows), pc.list_value_length(t["cells"]).to_numpy())
+    home, angle = there == cell[row], near[row, there]
+    pick = np.flatnonzero(home | (there > cell[row]) & (angle <= radius + reach) & (angle - own[row] <= 2 * reach))
+    of = pa.array(row[pick])
+    return pa.RecordBatch.from_arrays(
+        [*(t[c].take(of) for c in ("id", "project", "key", "embedding")), pa.array(there[pick], pa.int32()), pa.array(blocks[pick], pa.int32()), pa.array(home[pick], pa.bool_())],
+        ["id", "project", "key", "embedding", "there", "blocks", "home"],
+    )
+
+
 def similar_pairs(vectors: DataFrame, threshold: float, rows_per_cell: int = 1000, block: int = 2048, most: int = 512) -> DataFrame:
     """a, b, similarity: pairs a < b of the same project (null equals null) with a cosine of at least threshold. vectors:
     id, project, key (equal keys are exact copies and left out), embedding; zero vectors and null ones have no pairs.
@@ -84,29 +104,10 @@ def similar_pairs(vectors: DataFrame, threshold: float, rows_per_cell: int = 100
     known = homes.join(cells, F.col("project").eqNullSafe(F.col("of"))).drop("of")
 
     def travel(batches):
+        # A row may visit every cell of its project, and each visit copies its vector: few rows go at a time.
         for b in batches:
-            if not b.num_rows:
-                continue
-            t = {c: b.column(i) for i, c in enumerate(b.schema.names)}
-            near = _angles(_unit(_matrix(t["embedding"])), pivots)
-            cell, own = t["cell"].to_numpy(), t["angle"].to_numpy()
-            take, there, home = [], [], []
-            for i, others in enumerate(t["cells"].to_pylist()):
-                for o in others:
-                    c = o["cell"]
-                    if c == cell[i]:
-                        take.append(i)
-                        there.append((c, o["blocks"]))
-                        home.append(True)
-                    elif c > cell[i] and near[i, c] <= o["radius"] + reach and near[i, c] - own[i] <= 2 * reach:
-                        take.append(i)
-                        there.append((c, o["blocks"]))
-                        home.append(False)
-            pick = pa.array(take, pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [*(t[c].take(pick) for c in ("id", "project", "key", "embedding")), pa.array([c for c, _ in there], pa.int32()), pa.array([n for _, n in there], pa.int32()), pa.array(home, pa.bool_())],
-                ["id", "project", "key", "embedding", "there", "blocks", "home"],
-            )
+            for at in range(0, b.num_rows, TRAVELLERS):
+                yield _visits(b.slice(at, TRAVELLERS), pivots, reach)
 
     moved = known.mapInArrow(travel, schema + ", there int, blocks int, home boolean")
     # A cell's rows lie in `blocks` blocks. A home row meets every block's rows that are not before its own, a visitor every block.
@@ -125,18 +126,21 @@ def similar_pairs(vectors: DataFrame, threshold: float, rows_per_cell: int = 100
 
     def meet(t: pa.Table) -> pa.Table:
         side, x, y = t.column("side").to_numpy(), t.column("x")[0].as_py(), t.column("y")[0].as_py()
-        ids, keys = t.column("id").to_numpy(), np.array(t.column("key").to_pylist(), object)
+        ids, keys = t.column("id").to_numpy(), t.column("key").combine_chunks().dictionary_encode().indices.fill_null(-1).to_numpy()
         i, j = np.flatnonzero(side == 1), np.flatnonzero(side == 2)
         alone = x == y
-        out: list[np.ndarray] = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
         if alone or (len(i) and len(j)):
             j = i if alone else j
             u = _unit(_matrix(t.column("embedding")))
-            s = u[i] @ u[j].T
-            p, q = np.nonzero(np.round(s, 12) >= threshold)
-            a, b, v = ids[i[p]], ids[j[q]], s[p, q]
-            ok = (keys[i[p]] != keys[j[q]]) & ((a < b) if alone else (a != b))
-            out = [np.minimum(a, b)[ok], np.maximum(a, b)[ok], v[ok]]
+            for at in range(0, len(i), 128):  # so that what is not a pair takes little room, however many are
+                own = i[at : at + 128]
+                s = u[own] @ u[j].T
+                p, q = np.nonzero(np.round(s, 12) >= threshold)
+                a, b = ids[own[p]], ids[j[q]]
+                ok = (keys[own[p]] != keys[j[q]]) & ((a < b) if alone else (a != b))
+                found.append((np.minimum(a, b)[ok], np.maximum(a, b)[ok], s[p, q][ok]))
+        out = [np.concatenate(c) for c in zip(*found)]
         return pa.table([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64())], ["a", "b", "similarity"])
 
     return met.groupBy("project", "there", "x", "y").applyInArrow(meet, "a long, b long, similarity double")

@@ -2,6 +2,7 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from recordloom.operators import cells, dedup, lifecycle
@@ -106,6 +107,20 @@ def test_rows_visit_only_cells_they_can_meet(spark, monkeypatch):
         cells.similar_pairs(df.unionByName(spark.createDataFrame([(9999, "p", "x", [1.0])], df.schema)), 0.9)
 
 
+def test_visits_are_made_of_few_rows_at_a_time():
+    """The same visits as plain loops, from arrays alone: no Python object for each row and cell."""
+    rng, pivots = np.random.default_rng(3), cells._unit(np.array(_vectors(40, 6, 4, 0.6)))
+    units = np.array(_vectors(200, 6, 5, 0.6))
+    near = cells._angles(cells._unit(units), pivots)
+    home, every = near.argmin(axis=1), [{"cell": int(c), "radius": float(rng.uniform(0, 1)), "blocks": int(c) + 1} for c in rng.permutation(40)]
+    kind = pa.list_(pa.struct([("cell", pa.int32()), ("radius", pa.float64()), ("blocks", pa.int32())]))
+    rows = pa.RecordBatch.from_pydict({"id": pa.array(range(200)), "project": ["p"] * 200, "key": ["k"] * 200, "embedding": pa.array(units.tolist(), pa.list_(pa.float64())), "cell": pa.array(home, pa.int32()), "angle": near.min(axis=1), "cells": pa.array([every] * 200, kind)})
+    got = [r for at in range(0, 200, 64) for r in cells._visits(rows.slice(at, 64), pivots, 0.3).select(["id", "there", "blocks", "home"]).to_pylist()]
+    want = [(i, o["cell"], o["blocks"], o["cell"] == home[i]) for i in range(200) for o in every if o["cell"] == home[i] or o["cell"] > home[i] and near[i, o["cell"]] <= o["radius"] + 0.3 and near[i, o["cell"]] - near[i, home[i]] <= 0.6]
+    assert [tuple(r.values()) for r in got] == want and len(want) > 300
+    assert 0 < cells.TRAVELLERS <= 256
+
+
 def test_vector_index_equals_brute_force(spark):
     vectors = _vectors(1500, 8, 11, 0.1)
     rows = [(i, v) for i, v in enumerate(vectors)] + [(5000, [0.0] * 8), (5001, None)]
