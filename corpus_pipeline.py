@@ -29,7 +29,7 @@ def drop_common_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates one row stays: that with the smallest doc_id (null last), of those the first."""
+    """Near duplicates meet by SimHash balls and by minima of shingles, and are judged by whole sets. Of each group one row stays: that with the smallest doc_id (null last), of those the first."""
     rows = stage(docs.select(F.monotonically_increasing_id().alias("row"), *COLUMNS), "near-rows")
     grouped = near.groups(rows).join(rows.select("row", "doc_id"), "row")
     kept = grouped.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")).alias("least")).select("least.row")

@@ -1,9 +1,11 @@
 """Near copies by shingles: documents whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
 
-Balls around one 64-bit fingerprint cannot reach that (a pair at 0.8 differs in about ten bits), so each document has
-`BANDS` fingerprints instead, each of `ROWS` minima of the hashed shingles. Two documents meet where one is equal: at
-similarity s with chance 1 - (1 - s^4)^32, which is all but 5 in 10^8 at 0.8. Each pair that meets is then judged by
-all of its shingles, so the fingerprints decide only who is compared.
+Candidates come first from SimHash: each document's 64 bits over its shingles, and simhash.links, whose half-way balls
+connect all fingerprints of at most three differing bits. The documents of one such component meet. A pair at 0.8
+differs in about ten bits, which no ball of feasible size reaches, so each document also has
+`BANDS` fingerprints, each of `ROWS` minima of the hashed shingles. Two documents meet where one is equal: at
+similarity s with chance 1 - (1 - s^4)^32, which is all but 5 in 10^8 at 0.8. Each pair that meets, by SimHash or by
+minima, is then judged by all of its shingles, so the fingerprints decide only who is compared.
 
 Documents with equal sets are one node, named by its smallest row. A shingle that no other compared node has can be in
 no intersection, so a node's own shingles bound the size of its partners from above (its reach) by arithmetic alone: a
@@ -27,6 +29,7 @@ from pyspark.sql import functions as F
 
 from .common import byte_texts, release, slices, stage
 from .simhash import components
+from .simhash import links as ball_links
 
 BANDS, ROWS = 32, 4
 #: Leaders of each bucket in the first round, and how many times as many in each further one.
@@ -71,15 +74,24 @@ def _prints(names: np.ndarray) -> np.ndarray:
     return out
 
 
+def _simhash(names: np.ndarray) -> int:
+    """The SimHash of a set of shingles by their names: a bit is 1 if more than half of them have it."""
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(names), 65_536):
+        part = names[at : at + 65_536]
+        ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int32)
+    return int(np.packbits(ones * 2 > len(names)).view(np.int64)[0])
+
+
 def _nodes(rows: DataFrame, size: int) -> DataFrame:
-    """row, node, prints of every row."""
+    """row, node, fp, prints of every row."""
 
     def make(batches):
         for batch in slices(batches):
             sets = [shingles(t, size) for t in byte_texts(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([_node(s) for s in sets], pa.binary()), pa.array([_prints(s).view(np.int64) for s in sets], pa.list_(pa.int64()))], ["row", "node", "prints"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([_node(s) for s in sets], pa.binary()), pa.array([_simhash(s) for s in sets], pa.int64()), pa.array([_prints(s).view(np.int64) for s in sets], pa.list_(pa.int64()))], ["row", "node", "fp", "prints"])
 
-    return rows.select("row", "text").mapInArrow(make, "row long, node binary, prints array<long>")
+    return rows.select("row", "text").mapInArrow(make, "row long, node binary, fp long, prints array<long>")
 
 
 def _sets(rows: DataFrame, size: int) -> DataFrame:
@@ -146,14 +158,18 @@ def groups(rows: DataFrame, size: int = 5, fifths: int = 4) -> DataFrame:
     are connected over pairs with a similarity of at least fifths / 5."""
     prints = stage(_nodes(rows, size), "near-prints")
     first = stage(prints.groupBy("node").agg(F.min("row").alias("id")), "near-nodes")
-    emitted = prints.join(first.select(F.col("id").alias("row")), "row", "left_semi").select(F.col("row").alias("id"), F.explode("prints").alias("key"))
+    nodes = prints.join(first.select(F.col("id").alias("row")), "row", "left_semi")
+    linked = components(ball_links(nodes.select("fp").distinct()))
+    balls = linked.toDF("fp", "ball")
+    key = F.xxhash64(F.lit("ball"), F.coalesce("ball", "fp"))
+    emitted = nodes.select("row", "fp", "prints").join(balls, "fp", "left").select(F.col("row").alias("id"), F.explode(F.concat("prints", F.array(key))).alias("key"))
     shared = emitted.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
     met_at = stage(emitted.join(shared, "key", "left_semi"), "near-buckets")
     every = stage(_sets(rows.join(met_at.select(F.col("id").alias("row")).distinct(), "row", "left_semi"), size), "near-sets")
     sets = stage(_held(every, fifths), "near-held")
     buckets = stage(met_at.join(sets.select("id", "n", "own", "reach", "spread"), "id").select("key", "id", "n", "own", "reach", "spread"), "near-open")
     roots = stage(sets.select("id", F.col("id").alias("root")), "near-roots")
-    release(met_at, every)
+    release(linked, met_at, every)
     leaders = LEADERS
     most = F.aggregate(F.zip_with("spread", "spread_", lambda x, y: F.least(x, y)), F.lit(0), lambda n, x: n + x)
     # A class that may hold more than it counts bounds nothing.

@@ -2,6 +2,7 @@
 tables and extra columns."""
 
 import hashlib
+import os
 import random
 import re
 import zlib
@@ -151,6 +152,19 @@ def test_near_groups_match_all_pairs(spark):
     assert near.groups(df.limit(0)).count() == 0
 
 
+def test_near_groups_meet_by_simhash_balls(spark, monkeypatch):
+    """With minima that never meet, copies within three bits are still found, and judged by their whole sets."""
+    monkeypatch.setattr(near, "_prints", lambda names: np.frombuffer(os.urandom(256), np.uint64))
+    a, b = ([f"{x}{i}" for i in range(2000)] for x in "ab")
+    texts = [a, [*a, "more"], ["less", *a], b, [*b[:-1], "last"]]
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "row long, text string")
+    got = {r["row"]: r["root"] for r in near.groups(df).collect()}
+    assert got == {0: 0, 1: 0, 2: 0, 3: 3, 4: 3}
+    names = near.shingles(" ".join(a).encode(), 5)
+    assert near._simhash(names) & (2**64 - 1) == sum(1 << k for k in range(64) if 2 * sum(int(x) >> k & 1 for x in names) > len(names))
+    assert near._simhash(names[:0]) == 0
+
+
 def test_pipeline_drops_copies_with_scattered_edits(spark):
     import corpus_pipeline
 
