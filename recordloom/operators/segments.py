@@ -22,7 +22,9 @@ import uuid
 from collections import Counter
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -33,8 +35,13 @@ from ..sources.tablelog import Conflict, State, TableLog
 from . import search
 
 BLOCK = "term string, seg string, part int, block int, n int, sky_tf array<int>, sky_len array<int>, ids array<bigint>, tfs array<int>, lens array<int>"
+PIECE = "term string, weak double, ids array<bigint>, tfs array<int>, lens array<int>"
 FORWARD = "id bigint, seg string, project string, len int, terms array<string>, tfs array<int>"
 DEAD, LOST = "seg string, id bigint", "term string, n bigint"
+#: Postings that are grouped by term before they are shuffled, about.
+TOGETHER = 1 << 20
+#: Ids that are sent to all executors, so that the words of the other rows are not shuffled; more are joined by shuffle.
+SENT = 4_000_000
 SCHEMAS = {"blocks": BLOCK, "forward": FORWARD, "dead": DEAD, "lost": LOST}
 
 
@@ -43,11 +50,95 @@ def share(tf: Column, length: Column, mean: float) -> Column:
     return tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / F.lit(mean)))
 
 
+def _few(ids: DataFrame, n: int) -> DataFrame:
+    return F.broadcast(ids) if n <= SENT else ids
+
+
 def _weight(n: int, df: int) -> float:
     ratio = (n - df + 0.5) / (df + 0.5)
     return math.log(ratio) if ratio > 1 else 1e-6
 
 
+def _weak(tfs: np.ndarray, lens: np.ndarray, mean: float) -> np.ndarray:
+    """-share(): smaller is stronger."""
+    return tfs * -2.2 / (tfs + 1.2 * (0.25 + 0.75 * lens / mean))
+
+
+def _lists(starts: np.ndarray, total: int, values: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.r_[starts, total].astype(np.int32)), pa.array(values))
+
+
+def _pieces(rows: pa.RecordBatch, mean: float, most: int) -> pa.RecordBatch:
+    """The postings of some rows (id, len, terms, tfs) in pieces of one term, at most `most` postings each, from the strongest on."""
+    flat = rows.column(2).flatten().dictionary_encode()
+    code, tfs = flat.indices.to_numpy().astype(np.int64), rows.column(3).flatten().to_numpy()
+    row = np.repeat(np.arange(rows.num_rows), pc.list_value_length(rows.column(2)).to_numpy())
+    ids, lens = rows.column(0).to_numpy()[row], rows.column(1).to_numpy()[row]
+    weak = _weak(tfs, lens, mean)
+    order = np.lexsort((ids, weak, code))
+    code, n = code[order], len(order)
+    first = np.flatnonzero(np.r_[True, np.diff(code) != 0][:n])
+    at = np.arange(n) - np.repeat(first, np.diff(np.r_[first, n]))
+    starts = np.flatnonzero(at % most == 0)
+    return pa.RecordBatch.from_arrays(
+        [flat.dictionary.take(pa.array(code[starts])), pa.array(weak[order][starts]), _lists(starts, n, ids[order]), _lists(starts, n, tfs[order]), _lists(starts, n, lens[order])], ["term", "weak", "ids", "tfs", "lens"]
+    )
+
+
+def _complete(pieces: pa.RecordBatch, mean: float) -> tuple[pa.RecordBatch | None, pa.RecordBatch]:
+    """Sorted pieces as those whose order no later piece changes, and the rest. A later piece may be of the last term and
+    begins no stronger than the last piece does, so that of a long term what is stronger is complete."""
+    terms, n = pieces.column(0), pieces.num_rows
+    same = pc.equal(terms, terms[n - 1]).to_numpy(zero_copy_only=False)
+    own = int(same.argmax())
+    if pc.sum(pc.list_value_length(pieces.column(2)).slice(own)).as_py() <= TOGETHER:
+        return (pieces.slice(0, own) if own else None), pieces.slice(own)
+    tail = pieces.slice(own)
+    ids, tfs, lens = (tail.column(c).flatten().to_numpy() for c in ("ids", "tfs", "lens"))
+    ready = _weak(tfs, lens, mean) < tail.column("weak")[tail.num_rows - 1].as_py()
+    if not ready.any():
+        return (pieces.slice(0, own) if own else None), tail
+
+    def piece(of: np.ndarray) -> pa.RecordBatch:
+        weakest = [tail.column("weak")[tail.num_rows - 1].as_py()]
+        return pa.RecordBatch.from_arrays([terms.slice(n - 1), pa.array(weakest, pa.float64()), *(_lists(np.array([0]), int(of.sum()), x[of]) for x in (ids, tfs, lens))], schema=pieces.schema)
+
+    done = pa.Table.from_batches([pieces.slice(0, own), piece(ready)]).combine_chunks().to_batches()[0]
+    return done, piece(~ready)
+
+
+def _blocks(pieces: pa.RecordBatch, mean: float, size: int, seg: str, part: int, known: dict[str, int]) -> pa.RecordBatch:
+    """The blocks of sorted pieces. known: the last term and how many blocks it has by now; it is brought up to date."""
+    term = pieces.column(0).dictionary_encode()
+    code = np.repeat(term.indices.to_numpy().astype(np.int64), pc.list_value_length(pieces.column(2)).to_numpy())
+    ids, tfs, lens = (pieces.column(c).flatten().to_numpy() for c in ("ids", "tfs", "lens"))
+    order = np.lexsort((ids, _weak(tfs, lens, mean), code))
+    code, ids, tfs, lens, n = code[order], ids[order], tfs[order], lens[order], len(order)
+    first = np.flatnonzero(np.r_[True, np.diff(code) != 0][:n])
+    at = np.arange(n) - np.repeat(first, np.diff(np.r_[first, n]))
+    starts = np.flatnonzero(at % size == 0)
+    sizes = np.diff(np.r_[starts, n])
+    number = at[starts] // size
+    number[code[starts] == 0] += known.get(term.dictionary[0].as_py(), 0)
+    last = term.dictionary[len(term.dictionary) - 1].as_py()
+    known.clear()
+    known[last] = int(number[-1]) + 1
+    # Of each block the postings that no shorter row's is as frequent as: short and frequent beats the rest.
+    block = np.repeat(np.arange(len(starts)), sizes)
+    short = np.lexsort((-tfs, lens, block))
+    key = block[short] * (int(tfs.max()) + 1) + tfs[short]
+    sky = short[np.r_[True, key[1:] > np.maximum.accumulate(key)[:-1]]]
+    of = np.searchsorted(block[sky], np.arange(len(starts)))
+    same = lambda value, kind: pa.array(np.full(len(starts), value), kind)
+    return pa.RecordBatch.from_arrays(
+        [
+            term.dictionary.take(pa.array(code[starts])), same(seg, pa.string()), same(part, pa.int32()), pa.array(number, pa.int32()), pa.array(sizes, pa.int32()), _lists(of, len(sky), tfs[sky]), _lists(of, len(sky), lens[sky]),
+            _lists(starts, n, ids), _lists(starts, n, tfs), _lists(starts, n, lens),
+        ],
+        ["term", "seg", "part", "block", "n", "sky_tf", "sky_len", "ids", "tfs", "lens"],
+    )
+
+
 @dataclass
 class Found:
     """rows: id, rank (lower is better), best first. read and blocks: blocks of postings read, and there for the query's words."""
@@ -75,7 +166,7 @@ class SegmentIndex:
     def _alive(self, state: State, rows: DataFrame) -> DataFrame:
         if not state.facts.get("n_dead"):
             return rows
-        return rows.join(self._frame(state, "dead"), ["seg", "id"], "left_anti")
+        return rows.join(_few(self._frame(state, "dead"), state.facts["n_dead"]), ["seg", "id"], "left_anti")
 
     def live(self, state: State | None = None) -> DataFrame:
         """The words of every row that is not deleted."""
@@ -122,38 +213,27 @@ class SegmentIndex:
     def _write_blocks(self, forward: DataFrame, seg: str, postings: int, mean: float) -> dict:
         size = self.block
 
+        def group(batches):
+            for batch in batches:
+                part = np.cumsum(pc.list_value_length(batch.column(2)).to_numpy()) // TOGETHER
+                for some in np.split(np.arange(batch.num_rows), np.flatnonzero(np.diff(part)) + 1):
+                    if len(some):
+                        yield _pieces(batch.slice(some[0], len(some)), mean, max(1, size // 4))
+
         def cut(batches):
             from pyspark import TaskContext
 
-            part, term, at, held = TaskContext.get().partitionId(), None, 0, []
-
-            def block():
-                ids, tfs, lens = (list(x) for x in zip(*held))
-                sky, best = [], 0
-                for length, tf in sorted(zip(lens, tfs), key=lambda x: (x[0], -x[1])):  # short and frequent beats the rest
-                    if tf > best:
-                        sky.append((tf, length))
-                        best = tf
-                return (term, seg, part, at, len(ids), [s[0] for s in sky], [s[1] for s in sky], ids, tfs, lens)
-
-            schema = pa.schema([("term", pa.string()), ("seg", pa.string()), ("part", pa.int32()), ("block", pa.int32()), ("n", pa.int32()), *((c, pa.list_(pa.int32())) for c in ("sky_tf", "sky_len")), ("ids", pa.list_(pa.int64())), *((c, pa.list_(pa.int32())) for c in ("tfs", "lens"))])
+            part, held, at = TaskContext.get().partitionId(), None, {}
             for batch in batches:
-                out = []
-                for word, *posting in zip(*(c.to_pylist() for c in batch.columns)):
-                    if held and (word != term or len(held) == size):
-                        out.append(block())
-                        held, at = [], at + 1
-                    if word != term:
-                        term, at = word, 0
-                    held.append(posting)
-                yield pa.RecordBatch.from_pylist([dict(zip(schema.names, r)) for r in out], schema)
-            if held:
-                yield pa.RecordBatch.from_pylist([dict(zip(schema.names, block()))], schema)
-
-        spread = forward.select("id", "len", F.explode(F.arrays_zip("terms", "tfs")).alias("p")).select(F.col("p.terms").alias("term"), "id", F.col("p.tfs").alias("tf"), "len")
-        ranked = spread.withColumn("weak", -share(F.col("tf"), F.col("len"), mean))
-        order = ["term", "weak", "id"]
-        blocks = ranked.repartitionByRange(max(1, -(-postings // self.per_file)), *order).sortWithinPartitions(*order).select("term", "id", "tf", "len").mapInArrow(cut, BLOCK)
+                held = pa.Table.from_batches([batch] if held is None else [held, batch]).combine_chunks().to_batches()[0]
+                done, held = _complete(held, mean)
+                if done is not None:
+                    yield _blocks(done, mean, size, seg, part, at)
+            if held is not None:
+                yield _blocks(held, mean, size, seg, part, at)
+
+        found = forward.select("id", "len", "terms", "tfs").mapInArrow(group, PIECE)
+        blocks = found.repartitionByRange(max(1, -(-postings // self.per_file)), "term", "weak").sortWithinPartitions("term", "weak").mapInArrow(cut, BLOCK)
         files = self.log.write(blocks, kind="blocks", seg=seg)
         bounds = self.log.files(list(files), StructType.fromDDL(BLOCK)).groupBy(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("file")).agg(F.min("term").alias("low"), F.max("term").alias("high"), F.count("*").alias("blocks"), F.sum("n").alias("postings"))
         known = {r["file"]: r for r in bounds.collect()}  # one row a file
@@ -184,11 +264,13 @@ class SegmentIndex:
         lost = {"n": 0, "len": 0}
         if state.facts.get("n") and gone:
             wanted = (gone[0] if len(gone) == 1 else gone[0].unionByName(gone[1])).distinct()
-            old = store.staged(self.live(state).join(wanted, "id", "left_semi"), "dead-rows")
+            # Which rows they are is told by their numbers; the words of these are read where they lie.
+            old = store.staged(self.live(state).select("seg", "id", "len").join(wanted, "id", "left_semi"), "dead-rows")
             lost = old.agg(F.count("*").alias("n"), F.coalesce(F.sum("len"), F.lit(0)).alias("len")).first().asDict()
             if lost["n"]:
                 add |= self.log.write(old.select("seg", "id"), kind="dead")
-                add |= self.log.write(old.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n")).sortWithinPartitions("term"), kind="lost")
+                held = self._frame(state, "forward").join(_few(old.select("seg", "id"), lost["n"]), ["seg", "id"], "left_semi")
+                add |= self.log.write(held.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n")).sortWithinPartitions("term"), kind="lost")
             store.drop_staged(old)
         facts = {"n": state.facts.get("n", 0) + made["n"] - lost["n"], "len": state.facts.get("len", 0) + made["len"] - lost["len"], "n_dead": state.facts.get("n_dead", 0) + lost["n"]}
         if written is not None:
@@ -298,7 +380,8 @@ class SegmentIndex:
 
     def _judged(self, state, candidates, tree, specs, weights, mean) -> DataFrame:
         """id, rank of the candidates that match, by their whole words."""
-        held = self.live(state).join(candidates.select("id"), "id", "left_semi")
+        chosen = store.staged(candidates.select("id"), "candidates")
+        held = self._alive(state, self._frame(state, "forward").join(_few(chosen, chosen.count()), "id", "left_semi"))
         tf = lambda w: F.coalesce(F.get("tfs", (F.array_position("terms", F.lit(w)) - 1).cast("int")), F.lit(0))
         counted = held.select("id", F.col("len").alias("_len"), *(tf(w).alias(f"_f{i}") for i, (w, _) in enumerate(specs)))
         matched, score = _score(tree, specs, {w: F.lit(weights[w]) for w, _ in specs}, mean)

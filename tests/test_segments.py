@@ -1,9 +1,11 @@
 import random
 import threading
+from collections import Counter
 
+import pyarrow as pa
 import pytest
 
-from recordloom.operators import search
+from recordloom.operators import search, segments
 from recordloom.operators.segments import SegmentIndex
 
 R = random.Random(3)
@@ -133,3 +135,51 @@ def test_refusals_and_nothing(spark, tmp_path):
             ix.search(bad)
     with pytest.raises(ValueError):
         ix.change(_df(spark, [DOCS[0], DOCS[0]]))
+
+
+def test_pieces_of_a_long_word_become_sorted_blocks(monkeypatch):
+    rows = [(i, sum(c.values()), list(c), list(c.values())) for i, _, t in DOCS if (c := Counter(t.split()))]
+    forward = pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), (pa.int64(), pa.int32(), pa.list_(pa.string()), pa.list_(pa.int32())))], ["id", "len", "terms", "tfs"])
+    mean, wanted = 20.0, {}
+    for i, length, terms, tfs in rows:
+        for w, n in zip(terms, tfs):
+            wanted.setdefault(w, []).append((-n * 2.2 / (n + 1.2 * (0.25 + 0.75 * length / mean)), i, n, length))
+    pieces = pa.Table.from_batches([segments._pieces(forward.slice(at, 70), mean, 4) for at in range(0, len(rows), 70)]).sort_by([("term", "ascending"), ("weak", "ascending")])
+    monkeypatch.setattr(segments, "TOGETHER", 100)
+    held, known, blocks = None, {}, []
+    for batch in pieces.to_batches(max_chunksize=7):
+        held = pa.Table.from_batches([batch] if held is None else [held, batch]).combine_chunks().to_batches()[0]
+        done, held = segments._complete(held, mean)
+        assert sum(map(len, held.column("ids").to_pylist())) < 400  # "the" and "and" have more: they are not held whole
+        if done is not None:
+            blocks += segments._blocks(done, mean, 16, "s", 0, known).to_pylist()
+    blocks += segments._blocks(held, mean, 16, "s", 0, known).to_pylist()
+    got = {}
+    for b in blocks:
+        own = got.setdefault(b["term"], [[], 0])
+        assert b["block"] == own[1] and b["n"] == len(b["ids"]) <= 16
+        own[0] += zip(b["ids"], b["tfs"], b["lens"])
+        own[1] += 1
+        best = list(zip(b["sky_tf"], b["sky_len"]))
+        assert all(any(f >= n and x <= length for f, x in best) for n, length in zip(b["tfs"], b["lens"])) and set(best) <= set(zip(b["tfs"], b["lens"]))
+    assert {w: x[0] for w, x in got.items()} == {w: [x[1:] for x in sorted(own)] for w, own in wanted.items()}
+
+
+def test_words_of_other_rows_are_not_shuffled(spark, tmp_path, monkeypatch):
+    """Deleted and judged rows are found by their ids: no join carries the words of all rows through a shuffle."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as if the tables were large
+    try:
+        ix = _index(spark, tmp_path)
+        ix.change(_df(spark, DOCS[:300]))
+        ix.change(_df(spark, DOCS[300:]), deleted=_df(spark, DOCS[:100]).select("id"))
+        state = ix.log.state()
+        tree, specs = search.Phrase(["the"]), [("the", False)]
+        judged = lambda: ix._judged(state, _df(spark, DOCS).select("id"), tree, specs, {"the": 1.0}, 20.0)
+        assert "SortMergeJoin" not in judged()._jdf.queryExecution().executedPlan().toString()
+        sent = sorted(map(tuple, judged().collect()))
+        monkeypatch.setattr(segments, "SENT", -1)  # more ids than are sent: joined by shuffle, with the same rows
+        assert sorted(map(tuple, judged().collect())) == sent and sent
+        _equal(_hits(ix.search("the OR w5", 12).rows), _scan(spark, DOCS[100:], "the OR w5", 12))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
