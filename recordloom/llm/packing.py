@@ -24,6 +24,7 @@ import zlib
 from bisect import bisect_left, bisect_right, insort
 from dataclasses import dataclass
 from functools import lru_cache, reduce
+from itertools import islice
 from math import isqrt
 
 import numpy as np
@@ -45,6 +46,9 @@ FULL = 8
 _PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]*")
 _CUT = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
 
+#: Signs that end a chunk of letters as one pre-token; those of special tokens are not among them.
+_SIGNS = "!\"#$%&'()*+,-./:;=?@[]^_`{}~"
+
 
 class ChunkTokenizer:
     """Ids of a text by a tokenizer whose pre-tokens never cross white space. Ids are kept for chunks between blanks
@@ -76,6 +80,13 @@ class ChunkTokenizer:
                 if p not in parts:
                     todo[p] = b""
                 continue
+            word = c.rstrip(_SIGNS)
+            if word.isalpha() and (word.isascii() or _PLAIN.fullmatch(word)):
+                cut[c] = own = [word.lower(), c[len(word) :]] if len(word) < len(c) else [word.lower()]
+                for p in own:
+                    if p not in parts:
+                        todo[p] = b""
+                continue
             # A special token's string is taken from the text as it stands, so such a chunk stays whole.
             if _PLAIN.fullmatch(c) and "<|" not in c:
                 cut[c] = own = _CUT.findall(c.lower())
@@ -98,16 +109,18 @@ class ChunkTokenizer:
     def encode(self, texts: list) -> list[bytes]:
         """For each text its ids as little-endian 32-bit words."""
         cut = [(t or "").replace("\n", " ").replace("\t", " ").split(" ") for t in texts]
-        known = self.chunks
-        new = [c for c in set().union(*cut) if c not in known]
+        known, new = self.chunks, set()
+        found = [list(map(known.get, chunks)) for chunks in cut]
+        gaps = [[i for i, ids in enumerate(own) if ids is None] if None in own else () for own in found]
+        for chunks, missing in zip(cut, gaps):
+            new.update([chunks[i] for i in missing])
         if new:
-            known.update(self._learn(new))
-        ids = known.__getitem__
-        out = [b"".join(map(ids, chunks)) for chunks in cut]
-        if len(known) > self.room:
-            for c in new:
-                del known[c]
-        return out
+            learnt = self._learn(list(new))
+            for own, chunks, missing in zip(found, cut, gaps):
+                for i in missing:
+                    own[i] = learnt[chunks[i]]
+            known.update(islice(learnt.items(), max(0, self.room - len(known))))
+        return [b"".join(own) for own in found]
 
 
 @lru_cache(maxsize=1)
@@ -311,6 +324,7 @@ def _sweep(rows: DataFrame, plan: Plan, tasks: int, capacity: int) -> DataFrame:
     kinds = {f.name: f.dataType for f in rows.schema}
 
     def sweep(batches):
+        _tokenizer.cache_clear()  # the ids are made by now: a worker that goes on need not keep what it learnt for them
         now, more, sizes, held, schema = None, 0, [], {}, None
         spare: tuple[list, list] = ([], [])
 

@@ -648,3 +648,16 @@ def test_pipeline_against_brute_force(spark, tmp_path):
             assert offset == at
             at += length
         assert at <= 4096
+
+
+def test_chunks_of_letters_and_signs_are_cut_without_a_pattern(monkeypatch):
+    texts = ["Word, (word) née. ÉTÉ! it's it's' a_b x1y <|endoftext|> word<|endoftext|> ª² a;;b c;; \tn\nm  'tis don't' Straße? ÿ~ [x] <b> a|b", None, "word, new New, NEW... £5 5% œuf, naïve-"] * 2
+    plain = packing.ChunkTokenizer(queries.tokenizer_path()).tokenizer
+    wanted = [np.array(plain.encode((t or ""), add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    small = packing.ChunkTokenizer(queries.tokenizer_path(), room=5)
+    assert packing.ChunkTokenizer(queries.tokenizer_path()).encode(texts) == wanted == small.encode(texts) == small.encode(texts)
+    assert len(small.chunks) <= 5
+    monkeypatch.setattr(packing, "_CUT", None)
+    chunks = ["Word,", "née.", "ÉTÉ!", "word"]
+    learnt = packing.ChunkTokenizer(queries.tokenizer_path())._learn(chunks)
+    assert [learnt[c] for c in chunks] == [np.array(plain.encode(c, add_special_tokens=False).ids, "<u4").tobytes() for c in chunks]
