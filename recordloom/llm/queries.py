@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bitslice, ctw, decontaminate, language, licenses, line_dedup, packing, periodic, rotation, secrets, simhash, substrings, trie
+from . import bitslice, ctw_running, decontaminate, language, licenses, line_dedup, packing, periodic, rotation, secrets, simhash, substrings, trie
 
 #: Where the public tokenizers lie; a parameter of the machine, never part of the repository.
 TOKENIZER_DIR = os.environ.get("RECORDLOOM_TOKENIZERS", "/opt/tokenizers")
@@ -30,7 +30,7 @@ def op1_simhash(spark, sf_dir):
 
 
 def op2_ctw_score(spark, sf_dir):
-    return ctw.score(_table(spark, sf_dir, "documents"))
+    return ctw_running.score(_table(spark, sf_dir, "documents"))
 
 
 def op3_line_dedup(spark, sf_dir):
