@@ -50,14 +50,17 @@ def derived(spark: SparkSession, name: str, version: str, build: Callable[[], Da
     fs = hadoop(path).getFileSystem(spark._jsc.hadoopConfiguration())
     if not fs.exists(hadoop(path)):
         made = f"{path}.{uuid.uuid4().hex}"
-        # A task writes its folders beside each other: nothing is sorted for the sake of the folders alone.
-        key = "spark.sql.maxConcurrentOutputFileWriters"
-        before = spark.conf.get(key)
-        spark.conf.set(key, "64")
+        # A task writes its folders beside each other: nothing is sorted for the sake of the folders alone. A worker gets
+        # rows by bytes: long rows by the thousand would need more memory the larger the table is.
+        wanted = {"spark.sql.maxConcurrentOutputFileWriters": "64", "spark.sql.execution.arrow.maxBytesPerBatch": "16m"}
+        before = {key: spark.conf.get(key) for key in wanted}
         try:
+            for key, value in wanted.items():
+                spark.conf.set(key, value)
             build().write.partitionBy(*by).option("compression", "zstd").parquet(made)
         finally:
-            spark.conf.set(key, before)
+            for key, value in before.items():
+                spark.conf.set(key, value)
         if not fs.rename(hadoop(made), hadoop(path)) or fs.exists(hadoop(f"{path}/{made.rsplit('/', 1)[1]}")):
             fs.delete(hadoop(made), True)  # another builder was first
             fs.delete(hadoop(f"{path}/{made.rsplit('/', 1)[1]}"), True)
