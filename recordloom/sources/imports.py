@@ -6,19 +6,27 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import scrub
-from . import formats, ingest
+from . import formats, ingest, store
 from .tablelog import TableLog
 
 
 def import_documents(log: TableLog, files: DataFrame, batch: tuple[str, int] | None = None, least: int = 500) -> int:
     """Titles, summaries and scrubbed texts of files (path, text) into a table by path: a path that is there is replaced
-    if its text is another, and left as it is if not."""
-    about = ingest.documents(files, least).join(files.select("path", scrub(F.col("text")).alias("content")), "path")
+    if its text is another, and left as it is if not. Each text is scrubbed once, and what is new or changed is staged, as
+    a merge reads its changes several times."""
+    about = ingest.documents(files.filter("path IS NOT NULL"), least, scrub(F.col("text")).alias("content"))
     rows = about.select("path", "title", "summary", "content", F.sha2("content", 256).alias("digest"))
-    if "schema" in log.state().facts:
+    state = log.state()
+    if batch and state.batches.get(batch[0], -1) >= batch[1]:
+        return state.version
+    if "schema" in state.facts:
         known = log.frame().select(F.col("path").alias("_p"), F.col("digest").alias("_d"))
         rows = rows.join(known, (F.col("path") == F.col("_p")) & (F.col("digest") == F.col("_d")), "left_anti")
-    return log.merge(rows, ["path"], batch)
+    staged = store.staged(rows, "documents")
+    try:
+        return log.merge(staged, ["path"], batch)
+    finally:
+        store.drop_staged(staged)
 
 
 def import_archive(files: DataFrame, existing: DataFrame) -> DataFrame:

@@ -189,16 +189,16 @@ def append_new(existing: DataFrame, batch: DataFrame, keys: list[str], order: li
     return first.join(e, same, "left_anti")
 
 
-def documents(files: DataFrame, least: int = 500) -> DataFrame:
+def documents(files: DataFrame, least: int = 500, *more: Column) -> DataFrame:
     """path, title, summary of text files (path, text): first H1, else bold Title, else the name; summary: a Purpose
-    line, else the first line of over 30 characters among 20."""
+    line, else the first line of over 30 characters among 20. `more` are further columns over files."""
     big = files.filter(F.length("text") >= least)
     h1, bold = F.regexp_extract("text", r"(?m)^#\s+(.+)$", 1), F.regexp_extract("text", r"\*\*Title:?\*\*:?\s*(.+)", 1)
     name = F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.[^.]*$", "")
     title = F.when(h1 != "", h1).when(bold != "", bold).otherwise(name)
     purpose = F.regexp_extract("text", r"(?im)^\**Purpose:?\**:?\s*(.+)$", 1)
     lines = F.filter(F.slice(F.split("text", "\n"), 1, 20), lambda x: (F.length(F.trim(x)) > 30) & ~x.startswith("#"))
-    return big.select("path", F.trim(title).alias("title"), F.when(purpose != "", purpose).otherwise(F.coalesce(F.try_element_at(lines, F.lit(1)), F.lit(""))).alias("summary"))
+    return big.select("path", F.trim(title).alias("title"), F.when(purpose != "", purpose).otherwise(F.coalesce(F.try_element_at(lines, F.lit(1)), F.lit(""))).alias("summary"), *more)
 
 
 #: File name (upper case, without ending) to type; others are `other`. Fixed values.
