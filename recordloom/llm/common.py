@@ -38,9 +38,18 @@ def stage(df: DataFrame, name: str) -> DataFrame:
         df.write.option("compression", "zstd").parquet(path)
     finally:
         spark.conf.set(key, before)
+    tidy(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def tidy(spark: SparkSession) -> None:
+    """Let the driver's JVM collect its garbage once a third of its heap is in use: else finished plans and broadcasts
+    stay, and the heap grows to its limit, beside all that the driver needs outside of it."""
+    runtime = spark._jvm.Runtime.getRuntime()
+    if 3 * (runtime.totalMemory() - runtime.freeMemory()) > runtime.maxMemory():
+        spark._jvm.System.gc()
+
+
 def release(*tables: DataFrame) -> None:
     """Delete staged tables that no later plan reads, and let Spark drop shuffle files nobody refers to."""
     for table in tables:

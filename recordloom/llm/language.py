@@ -15,6 +15,7 @@ extra columns are ignored. Ties of votes and margins go to the label that sorts
 from __future__ import annotations
 
 import re
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -77,23 +78,13 @@ def families(means: dict[str, np.ndarray], threshold: float) -> list[list[str]]:
     return groups
 
 
+@dataclass
 class LanguageModel:
-    """Family machines, and pair machines within each family."""
-
-    def __init__(self, x: np.ndarray, labels: list[str], threshold: float = 0.6):
-        ones = np.hstack([x, np.ones((len(x), 1), np.float32)]).astype(np.float64)
-        label = np.array(labels)
-        self.families = families({n: x[label == n].mean(axis=0) for n in sorted(set(labels))}, threshold)
-        family = np.array([next(i for i, f in enumerate(self.families) if n in f) for n in labels])
-        self.tree = np.stack([svm(ones, np.where(family == i, 1.0, -1.0)) for i in range(len(self.families))]) if len(self.families) > 1 else np.zeros((1, ones.shape[1]), np.float32)
-        self.pairs = []
-        for members in self.families:
-            own = {}
-            for i, a in enumerate(members):
-                for b in members[i + 1 :]:
-                    at = (label == a) | (label == b)
-                    own[a, b] = svm(ones[at], np.where(label[at] == a, 1.0, -1.0))
-            self.pairs.append(own)
+    """Family machines (one row of zeros for a single family), and pair machines within each family."""
+
+    families: list[list[str]]
+    tree: np.ndarray
+    pairs: list[dict[tuple[str, str], np.ndarray]]
 
     def predict(self, v: np.ndarray) -> tuple[str, float]:
         v = np.append(v, np.float32(1))
@@ -114,10 +105,10 @@ class LanguageModel:
         return best, float(1 / (1 + np.exp(-2 * np.clip(least, -20, 20)))) if np.isfinite(least) else 1.0
 
 
-def train(docs: DataFrame, per_label: int = 400, width: int = 4096, most_labels: int = 500) -> LanguageModel | None:
+def train(docs: DataFrame, per_label: int = 400, width: int = 4096, most_labels: int = 500, threshold: float = 0.6) -> LanguageModel | None:
     """Learn from text and non-null lang of the rows that are not held out: of each label the per_label distinct rows
     with the smallest hash of id and text, so that no label is lost, whatever ids or texts its rows share. More than
-    most_labels labels are an error, as the machines (one for each pair in a family) are learnt at the driver."""
+    most_labels labels are an error, as the driver holds the machines (one for each pair in a family)."""
     labelled = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
     rows = labelled.select(F.col("lang").cast("string").alias("lang"), F.xxhash64(F.lit(11), "doc_id", "text").alias("key"), "text")
     keys = stage(rows.select("lang", "key").distinct(), "language-keys")
@@ -136,14 +127,51 @@ def train(docs: DataFrame, per_label: int = 400, width: int = 4096, most_labels:
             rows = [features(t, width) if _LETTER.search(t) else np.zeros(width, np.float32) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.astype(np.float16).tobytes() for r in rows], pa.binary())], ["lang", "v"])
 
-    rows = taken.select("lang", "text").mapInArrow(vectors, "lang string, v binary").toArrow()
-    if not rows.num_rows:
+    learnt = taken.select("lang", "text").mapInArrow(vectors, "lang string, v binary").filter(F.col("v") != F.lit(bytes(2 * width)))
+    return _machines(stage(learnt, "language-vectors"), width, threshold)
+
+
+def _sorted(rows: pa.Table, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Features and labels of rows (lang, v) in one order, however they arrive."""
+    raw, labels = rows.column("v").to_pylist(), np.array(rows.column("lang").to_pylist())
+    x = np.frombuffer(b"".join(raw), np.float16).reshape(-1, width).astype(np.float32)
+    order = np.lexsort((np.unique(np.array(raw, object), return_inverse=True)[1], *x[:, :8].T, labels))
+    return x[order], labels[order]
+
+
+def _machines(rows: DataFrame, width: int, threshold: float) -> LanguageModel | None:
+    """The model of rows (lang, v). Each label's mean and each machine is learnt by a task of its own, from the rows of its
+    labels; the driver gets the means and the machines, and no row."""
+
+    def mean(t: pa.Table) -> pa.Table:
+        x, labels = _sorted(t, width)
+        return pa.table({"lang": pa.array(labels[:1].tolist(), pa.string()), "mean": pa.array([x.mean(axis=0).tobytes()], pa.binary())})
+
+    means = {r["lang"]: np.frombuffer(r["mean"], np.float32) for r in rows.groupBy("lang").applyInArrow(mean, "lang string, mean binary").collect()}  # a row for each label
+    if not means:
         return None
-    x = np.frombuffer(b"".join(rows.column("v").to_pylist()), np.float16).reshape(-1, width).astype(np.float32)
-    labels = np.array(rows.column("lang").to_pylist())
-    order = np.lexsort((*x[:, :8].T, labels))  # the same model however the rows arrive
-    filled = order[x[order].any(axis=1)]
-    return LanguageModel(x[filled], labels[filled].tolist()) if len(filled) else None
+    found = families(means, threshold)
+    sides: list[tuple[int, str, bool]] = []  # machine, label, whether it is on the machine's positive side
+    if len(found) > 1:
+        sides += [(i, n, own is members) for i, own in enumerate(found) for members in found for n in members]
+    pairs = [(k, a, b) for k, members in enumerate(found) for i, a in enumerate(members) for b in members[i + 1 :]]
+    for i, (_, a, b) in enumerate(pairs):
+        sides += [(len(found) + i, a, True), (len(found) + i, b, False)]
+
+    def fit(t: pa.Table) -> pa.Table:
+        x, labels = _sorted(t, width)
+        above = set(t.filter(t.column("above")).column("lang").to_pylist())
+        w = svm(np.hstack([x, np.ones((len(x), 1), np.float32)]).astype(np.float64), np.where([n in above for n in labels], 1.0, -1.0))
+        return pa.table({"machine": t.column("machine").slice(0, 1), "w": pa.array([w.tobytes()], pa.binary())})
+
+    learnt: dict[int, np.ndarray] = {}
+    if sides:
+        dealt = rows.join(F.broadcast(rows.sparkSession.createDataFrame(sides, "machine int, lang string, above boolean")), "lang")
+        made = dealt.select("machine", "lang", "above", "v").groupBy("machine").applyInArrow(fit, "machine int, w binary")
+        learnt = {r["machine"]: np.frombuffer(r["w"], np.float32) for r in made.collect()}  # a row for each machine
+    tree = np.stack([learnt[i] for i in range(len(found))]) if len(found) > 1 else np.zeros((1, width + 1), np.float32)
+    own = [{(a, b): learnt[len(found) + i] for i, (k, a, b) in enumerate(pairs) if k == at} for at in range(len(found))]
+    return LanguageModel(found, tree, own)
 
 
 def identify(docs: DataFrame, model: LanguageModel | None, width: int = 4096, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:

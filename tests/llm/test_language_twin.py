@@ -1,13 +1,15 @@
 """Language predictions against plain loops over a trained model; long credentials against the same patterns in Python."""
 
 import math
+import os
 import random
 import re
 from collections import Counter
+from types import SimpleNamespace
 
 import pytest
 
-from recordloom.llm import language, secrets
+from recordloom.llm import common, language, secrets
 
 TEXTS = {
     "en": "the cat sat on the mat and thought about the weather with some friends", "de": "der hund lief schnell durch den wald und bellte über die straße hinweg", "nl": "de hond liep snel door het bos en blafte over de straat heen",
@@ -69,6 +71,36 @@ def test_predictions_equal_plain_loops(spark):
         assert [x[0] for x in mine] == [x[0] for x in sorted(own)] and [x[1] for x in mine] == pytest.approx([x[1] for x in sorted(own)], abs=1e-3)
 
 
+def test_machines_are_learnt_in_tasks(spark, monkeypatch):
+    """The driver held the features of all labels' rows, three times over, and learnt every machine."""
+    driver, learn = os.getpid(), language.svm
+
+    def elsewhere(*args):
+        assert os.getpid() != driver
+        return learn(*args)
+
+    monkeypatch.setattr(language, "svm", elsewhere)
+    rows = [(i, f"{TEXTS[lang]} {i}", lang) for i, lang in enumerate(sorted(TEXTS) * 30)] + [(900, "12 !?", "no letters"), (901, None, "null")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    one, two = (language.train(docs.repartition(n), per_label=20) for n in (1, 7))
+    assert one.families == two.families and sorted(n for f in one.families for n in f) == sorted(TEXTS)
+    assert (one.tree == two.tree).all() and len(one.pairs) == len(one.families) > 1
+    for a, b in zip(one.pairs, two.pairs):
+        assert a.keys() == b.keys() and all((a[k] == b[k]).all() for k in a)
+    got = {r["doc_id"]: r["lang_pred"] for r in language.identify(docs, one).collect()}
+    assert all(got[i] == lang for i, _, lang in rows[:-2]) and got[900] == got[901] == "und"
+
+
+def test_the_driver_collects_garbage_when_much_is_held():
+    """Nothing asked for it between staged tables, so the heap grew to its limit."""
+    for used, calls in ((100, 0), (400, 1)):
+        asked = []
+        runtime = SimpleNamespace(totalMemory=lambda: 500, freeMemory=lambda used=used: 500 - used, maxMemory=lambda: 750)
+        jvm = SimpleNamespace(Runtime=SimpleNamespace(getRuntime=lambda: runtime), System=SimpleNamespace(gc=lambda: asked.append(1)))
+        common.tidy(SimpleNamespace(_jvm=jvm))
+        assert len(asked) == calls
+
+
 def test_long_credentials_have_spans(spark):
     user, word = "u" * 300, "p4" * 500
     texts = [f"x https://{user}:{word}@host y", "-----BEGIN " + "VERY " * 60 + "PRIVATE KEY----- z", "s" * 40 + f"://a:{word}@h", "short ftp://a:b@h"]
