@@ -13,6 +13,7 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _own_dir: list[str] = []
 
@@ -94,7 +95,9 @@ def forget(spark: SparkSession, name: str, keep: str | None = None) -> None:
 
 
 def spread(rows: DataFrame) -> DataFrame:
-    """The same rows, dealt out over all cores where their files are fewer than those: one file's text would otherwise
-    be read and cut in one task."""
+    """The same rows, dealt out over all cores where less than half of those would have any (one file's text would
+    otherwise be read and cut in one task). Dealing out shuffles whole texts, so more than that is read where it lies."""
     cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows.repartition(2 * cores) if len(rows.inputFiles()) < cores else rows
+    if 2 * len(rows.inputFiles()) >= cores:
+        return rows
+    return rows.repartition(2 * cores) if 2 * rows.select(F.spark_partition_id().alias("part")).distinct().count() < cores else rows
