@@ -8,6 +8,7 @@ smallest hashes; they are a documented sample and decide only which cell a vecto
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -22,6 +23,8 @@ from ..sources import store
 SLACK = 1e-6
 #: Rows whose visits are made at a time.
 TRAVELLERS = 64
+#: Bytes that a block's vectors have in double precision at most; products made at a time; pairs whose cosines are.
+BLOCK_BYTES, STRIP, PIECE = 16 << 20, 1 << 21, 1 << 16
 
 
 def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
@@ -53,10 +56,52 @@ def pivots_of(vectors: DataFrame, most: int = 512) -> np.ndarray:
     return _unit(np.array([r["embedding"] for r in rows if len(r["embedding"]) == size], np.float64))
 
 
-def _one_length(vectors: DataFrame) -> None:
+def _one_length(vectors: DataFrame) -> int:
     sizes = vectors.agg(F.min(F.size("embedding")).alias("a"), F.max(F.size("embedding")).alias("b")).first()
     if sizes["a"] != sizes["b"]:
         raise ValueError("vectors of different lengths")
+    return sizes["a"] or 0
+
+
+class Rows:
+    """A block's vectors: as single-precision rows of length 1 for products, and by component for exact cosines."""
+
+    def __init__(self, column: pa.ChunkedArray | pa.Array):
+        self.parts = np.ascontiguousarray(_matrix(column).T)
+        self.norm = np.sqrt(sum((x * x for x in self.parts), np.zeros(self.parts.shape[1])))
+        self.unit = np.ascontiguousarray((self.parts / self.norm).T, np.float32)
+        self.slack = (len(self.parts) + 8) * 2.0**-23  # more than products in single precision can be off
+
+    def __len__(self) -> int:
+        return len(self.norm)
+
+    def cosines(self, p: np.ndarray, other: Rows, q: np.ndarray) -> np.ndarray:
+        """Of rows p with the other's rows q; added up in the order of the components, as SQL does, so that equal vectors tie
+        wherever they lie."""
+        s = np.zeros(len(p))
+        for x, y in zip(self.parts, other.parts):
+            s += x[p] * y[q]
+        return s / (self.norm[p] * other.norm[q])
+
+    def close(self, other: Rows, threshold: float, own: np.ndarray, theirs: np.ndarray):
+        """p, q, cosine of own rows and their rows with a cosine of at least threshold (rounded to 12 places), a bounded number at a
+        time. Where the other is self, and own rows are theirs too, in order, each two rows meet once."""
+        once = other is self and own is theirs
+        right, at = other.unit[theirs], 0
+        while at < len(own):
+            first = at + 1 if once else 0
+            to = min(len(own), at + max(1, STRIP // max(1, len(theirs) - first)))
+            some = self.unit[own[at:to]] @ right[first:].T >= np.float32(threshold - self.slack)
+            p, q = np.nonzero(some)
+            if once:
+                later = q + first > p + at
+                p, q = p[later], q[later]
+            p, q = own[at + p], theirs[first + q]
+            for k in range(0, len(p), PIECE):
+                s = self.cosines(p[k : k + PIECE], other, q[k : k + PIECE])
+                ok = np.flatnonzero(np.round(s, 12) >= threshold)
+                yield p[k + ok], q[k + ok], s[ok]
+            at = to
 
 
 def _visits(rows: pa.RecordBatch, pivots: np.ndarray, reach: float) -> pa.RecordBatch:
@@ -69,25 +114,35 @@ def _visits(rows: pa.RecordBatch, pivots: np.ndarray, reach: float) -> pa.Record
     row = np.repeat(np.arange(rows.num_rows), pc.list_value_length(t["cells"]).to_numpy())
     home, angle = there == cell[row], near[row, there]
     pick = np.flatnonzero(home | (there > cell[row]) & (angle <= radius + reach) & (angle - own[row] <= 2 * reach))
-    of = pa.array(row[pick])
+    of, own_columns = pa.array(row[pick]), [c for c in t if c not in ("cell", "angle", "cells")]
     return pa.RecordBatch.from_arrays(
-        [*(t[c].take(of) for c in ("id", "project", "key", "embedding")), pa.array(there[pick], pa.int32()), pa.array(blocks[pick], pa.int32()), pa.array(home[pick], pa.bool_())],
-        ["id", "project", "key", "embedding", "there", "blocks", "home"],
+        [*(t[c].take(of) for c in own_columns), pa.array(there[pick], pa.int32()), pa.array(blocks[pick], pa.int32()), pa.array(home[pick], pa.bool_())],
+        [*own_columns, "there", "blocks", "home"],
     )
 
 
-def similar_pairs(vectors: DataFrame, threshold: float, rows_per_cell: int = 1000, block: int = 2048, most: int = 512) -> DataFrame:
-    """a, b, similarity: pairs a < b of the same project (null equals null) with a cosine of at least threshold. vectors:
-    id, project, key (equal keys are exact copies and left out), embedding; zero vectors and null ones have no pairs.
+def block_rows(biggest: int, length: int) -> int:
+    """Rows of a block, where the biggest project has so many: a quarter of them, so that rows are copied a few times and all cores
+    have work, but at least 2,048 and no more than BLOCK_BYTES hold."""
+    return max(1, min(BLOCK_BYTES // (8 * max(1, length)), max(2048, -(-biggest // 4))))
+
+
+def _tiles(vectors: DataFrame, threshold: float, rows_per_cell: int | None = None, block: int | None = None, most: int = 512) -> tuple[DataFrame, list[DataFrame]]:
+    """Rows dealt out to tiles (project, there, x, y) so that rows with a cosine of at least threshold meet in one, and the staged
+    tables that this reads. In a tile where x is y its rows (side 1) meet each other, in any other those of side 1 those of side 2.
 
     A row of a lower cell visits a higher one of its project only if the triangle inequality leaves room for a partner
     there: its angle to that cell's pivot is at most the cell's radius and the threshold's angle, and at most twice the
-    latter more than that to its own pivot, which is nearer to it. Cells and visitors meet in blocks of bounded size."""
+    latter more than that to its own pivot, which is nearer to it. Cells and visitors meet in blocks of bounded size.
+    Vectors without clusters visit nearly every cell, so cells are about as large as blocks: a row is copied about as
+    often as its project has blocks, however many cells the table could have."""
     kinds = {f.name: f.dataType.simpleString() for f in vectors.schema.fields}
-    rows = _sound(vectors.select("id", "project", "key", "embedding"))
-    _one_length(rows)
-    n = rows.count()
-    pivots = pivots_of(rows, max(1, min(most, n // rows_per_cell)))
+    own = ("id", "project", "key", "embedding", "done")
+    rows = _sound(vectors.select("id", "project", "key", "embedding", F.col("done") if "done" in kinds else F.lit(False).alias("done")))
+    length = _one_length(rows)
+    biggest = rows.groupBy("project").count().agg(F.max("count")).first()[0] or 0
+    block = block or block_rows(biggest, length)
+    pivots = pivots_of(rows, max(1, min(most, biggest // (rows_per_cell or block))))
     reach = math.acos(max(-1.0, min(1.0, threshold))) + SLACK
 
     def settle(batches):
@@ -97,7 +152,7 @@ def similar_pairs(vectors: DataFrame, threshold: float, rows_per_cell: int = 100
                 cell = near.argmin(axis=1)
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cell, pa.int32()), pa.array(near[np.arange(len(cell)), cell])], [*b.schema.names, "cell", "angle"])
 
-    schema = ", ".join(f"{c} {kinds[c]}" for c in ("id", "project", "key", "embedding"))
+    schema = ", ".join(f"{c} {kinds.get(c, 'boolean')}" for c in own)
     homes = store.staged(rows.mapInArrow(settle, schema + ", cell int, angle double"), "cells")
     # A project's cells: at most one entry for each pivot.
     cells = homes.groupBy("project", "cell").agg(F.max("angle").alias("radius"), F.ceil(F.count("*") / block).cast("int").alias("blocks")).groupBy(F.col("project").alias("of")).agg(F.collect_list(F.struct("cell", "radius", "blocks")).alias("cells"))
@@ -116,32 +171,44 @@ def similar_pairs(vectors: DataFrame, threshold: float, rows_per_cell: int = 100
     visits = dealt.filter(~F.col("home")).withColumn("visit", F.pmod(F.xxhash64(F.lit(7), "id"), F.lit(1 << 20)).cast("int"))
     crowd = visits.groupBy("project", "there").agg(F.ceil(F.count("*") / block).cast("int").alias("groups")).select(F.col("project").alias("of"), F.col("there").alias("at"), "groups")
     here = F.col("project").eqNullSafe(F.col("of")) & (F.col("there") == F.col("at"))
-    grouped = visits.join(crowd, here).select("id", "project", "key", "embedding", "there", "blocks", F.pmod(F.col("visit"), F.col("groups")).alias("guest"))
-    guests = grouped.select("id", "project", "key", "embedding", "there", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("x"), (F.col("guest") + F.lit(1 << 20)).alias("y"), F.lit(2).alias("side"))
-    hosts = dealt.filter("home").join(crowd, here).select("id", "project", "key", "embedding", "there", F.col("own").alias("x"), F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("g"))
-    hosts = hosts.select("id", "project", "key", "embedding", "there", "x", (F.col("g") + F.lit(1 << 20)).alias("y"), F.lit(1).alias("side"))
-    inner = dealt.filter("home").select("id", "project", "key", "embedding", "there", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("o"))
-    inner = inner.select("id", "project", "key", "embedding", "there", F.least("own", "o").alias("x"), F.greatest("own", "o").alias("y"), F.when(F.col("own") <= F.col("o"), 1).otherwise(2).alias("side"))
-    met = hosts.unionByName(guests).unionByName(inner)
-
-    def meet(t: pa.Table) -> pa.Table:
-        side, x, y = t.column("side").to_numpy(), t.column("x")[0].as_py(), t.column("y")[0].as_py()
-        ids, keys = t.column("id").to_numpy(), t.column("key").combine_chunks().dictionary_encode().indices.fill_null(-1).to_numpy()
-        i, j = np.flatnonzero(side == 1), np.flatnonzero(side == 2)
-        alone = x == y
-        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
-        if alone or (len(i) and len(j)):
-            j = i if alone else j
-            u = _unit(_matrix(t.column("embedding")))
-            for at in range(0, len(i), 128):  # so that what is not a pair takes little room, however many are
-                own = i[at : at + 128]
-                s = u[own] @ u[j].T
-                p, q = np.nonzero(np.round(s, 12) >= threshold)
-                a, b = ids[own[p]], ids[j[q]]
-                ok = (keys[own[p]] != keys[j[q]]) & ((a < b) if alone else (a != b))
-                found.append((np.minimum(a, b)[ok], np.maximum(a, b)[ok], s[p, q][ok]))
-        out = [np.concatenate(c) for c in zip(*found)]
-        return pa.table([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64())], ["a", "b", "similarity"])
+    grouped = visits.join(crowd, here).select(*own, "there", "blocks", F.pmod(F.col("visit"), F.col("groups")).alias("guest"))
+    guests = grouped.select(*own, "there", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("x"), (F.col("guest") + F.lit(1 << 20)).alias("y"), F.lit(2).alias("side"))
+    hosts = dealt.filter("home").join(crowd, here).select(*own, "there", F.col("own").alias("x"), F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("g"))
+    hosts = hosts.select(*own, "there", "x", (F.col("g") + F.lit(1 << 20)).alias("y"), F.lit(1).alias("side"))
+    inner = dealt.filter("home").select(*own, "there", F.col("own").alias("lot"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("o"))
+    inner = inner.select(*own, "there", F.least("lot", "o").alias("x"), F.greatest("lot", "o").alias("y"), F.when(F.col("lot") <= F.col("o"), 1).otherwise(2).alias("side"))
+    return hosts.unionByName(guests).unionByName(inner), [homes, dealt]
+
+
+def _met(t: pa.Table, threshold: float):
+    """ids a < b and cosine of a tile's pairs, a bounded number at a time; two rows that are done make no pair."""
+    side, ids = t.column("side").to_numpy(), t.column("id").to_numpy()
+    keys = t.column("key").combine_chunks().dictionary_encode().indices.fill_null(-1).to_numpy()
+    done = t.column("done").to_numpy(zero_copy_only=False).astype(bool)
+    alone = t.column("x")[0].as_py() == t.column("y")[0].as_py()
+    i = np.flatnonzero(side == 1)
+    j = i if alone else np.flatnonzero(side == 2)
+    if not len(i) or not len(j):
+        return
+    rows = Rows(t.column("embedding"))
+    open_i, open_j, done_i, done_j = i[~done[i]], j[~done[j]], i[done[i]], j[done[j]]
+    meetings = [(open_i, open_i), (open_i, done_i)] if alone else [(open_i, j), (done_i, open_j)]
+    for own, theirs in meetings:
+        for p, q, s in rows.close(rows, threshold, own, theirs):
+            a, b = ids[p], ids[q]
+            ok = (keys[p] != keys[q]) & (a != b)
+            yield np.minimum(a, b)[ok], np.maximum(a, b)[ok], s[ok]
+
+
+def similar_pairs(vectors: DataFrame, threshold: float, rows_per_cell: int | None = None, block: int | None = None, most: int = 512) -> DataFrame:
+    """a, b, similarity: pairs a < b of the same project (null equals null) with a cosine of at least threshold. vectors:
+    id, project, key (equal keys are exact copies and left out), embedding; zero vectors and null ones have no pairs.
+    Pairs leave a task as they are found, so that a dense tile needs no more room than another."""
+    met, _ = _tiles(vectors, threshold, rows_per_cell, block, most)
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for a, b, s in _met(pa.Table.from_batches(list(batches)), threshold):
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(s, pa.float64())], ["a", "b", "similarity"])
 
     return met.groupBy("project", "there", "x", "y").applyInArrow(meet, "a long, b long, similarity double")
 

@@ -3,6 +3,7 @@ import random
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 
 from recordloom.operators import cells, dedup, lifecycle
@@ -152,3 +153,38 @@ def test_tiers_fall_back(spark):
     ix = cells.VectorIndex.build(spark, "test-two", df, "v1")
     assert cells.search(ix, df, "v1", [1.0, 0.0, 0.0], 1).tier == "none"  # no vector of that length
     assert cells.search(ix, df, "v1", [1.0, 0.1], 5).rows.count() == 2
+
+
+def test_rows_without_clusters_are_copied_a_few_times(spark, monkeypatch):
+    units = np.random.default_rng(6).normal(size=(12_000, 16))
+    df = spark.createDataFrame([(i, f"p{i % 6}", str(i), v) for i, v in enumerate(units.tolist())], "id long, project string, key string, embedding array<double>")
+    copies, plain = [], store.staged
+    monkeypatch.setattr(cells.store, "staged", lambda d, name: copies.append((name, plain(d, name))) or copies[-1][1])
+    found = cells.similar_pairs(df, 0.8)
+    assert dict(copies)["visits"].count() < 2 * 12_000
+    u = units / np.linalg.norm(units, axis=1, keepdims=True)
+    p, q = np.nonzero(np.triu(u @ u.T >= 0.8, 1))
+    assert sorted((r["a"], r["b"]) for r in found.collect()) == [(a, b) for a, b in zip(p.tolist(), q.tolist()) if a % 6 == b % 6]
+
+
+def test_pairs_of_a_dense_tile_come_in_pieces_and_tie_as_in_sql():
+    values = np.random.default_rng(4).normal(size=(40, 24)).astype(np.float32)
+    values = values[np.arange(900) % 40]  # copies: all pairs of two vectors have one cosine, wherever they lie
+    names = pa.array(["k"] * 900).dictionary_encode().cast(pa.string())
+    t = pa.table({"id": pa.array(range(900)), "key": pc.binary_join_element_wise(names, pa.array(range(900)).cast(pa.string()), ""), "done": [False] * 900, "embedding": pa.array(values.tolist(), pa.list_(pa.float32())), "x": [0] * 900, "y": [0] * 900, "side": [1] * 900})
+    parts = list(cells._met(t, -1.0))
+    assert max(len(a) for a, _, _ in parts) <= cells.PIECE and sum(len(a) for a, _, _ in parts) == 900 * 899 // 2
+    seen = {}
+    for a, b, s in parts:
+        for x, y, v in zip(a % 40, b % 40, s):
+            seen.setdefault((min(x, y), max(x, y)), set()).add(v)
+    assert all(len(v) == 1 for v in seen.values())
+    x, y = values[3].astype(float), values[5].astype(float)
+
+    def dot(u, v):  # sum() of floats would carry what is rounded off
+        total = 0.0
+        for c, d in zip(u.tolist(), v.tolist()):
+            total += c * d
+        return total
+
+    assert seen[3, 5] == {dot(x, y) / (math.sqrt(dot(x, x)) * math.sqrt(dot(y, y)))}
