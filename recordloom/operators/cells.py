@@ -83,25 +83,37 @@ class Rows:
             s += x[p] * y[q]
         return s / (self.norm[p] * other.norm[q])
 
-    def close(self, other: Rows, threshold: float, own: np.ndarray, theirs: np.ndarray):
-        """p, q, cosine of own rows and their rows with a cosine of at least threshold (rounded to 12 places), a bounded number at a
-        time. Where the other is self, and own rows are theirs too, in order, each two rows meet once."""
+    def screened(self, other: Rows, threshold: float, own: np.ndarray, theirs: np.ndarray):
+        """p, q, cosine in single precision of own rows and their rows that may have one of at least threshold, a bounded number
+        at a time. Where the other is self, and own rows are theirs too, in order, each two rows meet once."""
         once = other is self and own is theirs
         right, at = other.unit[theirs], 0
         while at < len(own):
             first = at + 1 if once else 0
             to = min(len(own), at + max(1, STRIP // max(1, len(theirs) - first)))
-            some = self.unit[own[at:to]] @ right[first:].T >= np.float32(threshold - self.slack)
-            p, q = np.nonzero(some)
+            s = self.unit[own[at:to]] @ right[first:].T
+            p, q = np.nonzero(s >= np.float32(threshold - self.slack))
             if once:
                 later = q + first > p + at
                 p, q = p[later], q[later]
-            p, q = own[at + p], theirs[first + q]
+            yield own[at + p], theirs[first + q], s[p, q]
+            at = to
+
+    def close(self, other: Rows, threshold: float, own: np.ndarray, theirs: np.ndarray):
+        """As screened(), but those with a cosine of at least threshold (rounded to 12 places), and that cosine."""
+        for p, q, _ in self.screened(other, threshold, own, theirs):
             for k in range(0, len(p), PIECE):
                 s = self.cosines(p[k : k + PIECE], other, q[k : k + PIECE])
                 ok = np.flatnonzero(np.round(s, 12) >= threshold)
                 yield p[k + ok], q[k + ok], s[ok]
-            at = to
+
+    def near(self, threshold: float, own: np.ndarray, theirs: np.ndarray, keys: np.ndarray) -> np.ndarray:
+        """Which of own rows (down) and theirs (across) have a cosine of at least threshold and other keys."""
+        s = self.unit[own] @ self.unit[theirs].T
+        out = s >= np.float32(threshold + self.slack)
+        p, q = np.nonzero((s >= np.float32(threshold - self.slack)) & ~out)
+        out[p, q] = np.round(self.cosines(own[p], self, theirs[q]), 12) >= threshold
+        return out & (keys[own][:, None] != keys[theirs][None, :])
 
 
 def _visits(rows: pa.RecordBatch, pivots: np.ndarray, reach: float) -> pa.RecordBatch:
@@ -180,37 +192,83 @@ def _tiles(vectors: DataFrame, threshold: float, rows_per_cell: int | None = Non
     return hosts.unionByName(guests).unionByName(inner), [homes, dealt]
 
 
-def _met(t: pa.Table, threshold: float):
-    """ids a < b and cosine of a tile's pairs, a bounded number at a time; two rows that are done make no pair."""
-    side, ids = t.column("side").to_numpy(), t.column("id").to_numpy()
-    keys = t.column("key").combine_chunks().dictionary_encode().indices.fill_null(-1).to_numpy()
-    done = t.column("done").to_numpy(zero_copy_only=False).astype(bool)
+def _keys(t: pa.Table) -> np.ndarray:
+    return t.column("key").combine_chunks().dictionary_encode().indices.fill_null(-1).to_numpy()
+
+
+def _meetings(t: pa.Table) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Which rows of a tile meet which; two rows that are done make no pair."""
+    side, done = t.column("side").to_numpy(), t.column("done").to_numpy(zero_copy_only=False).astype(bool)
     alone = t.column("x")[0].as_py() == t.column("y")[0].as_py()
     i = np.flatnonzero(side == 1)
     j = i if alone else np.flatnonzero(side == 2)
     if not len(i) or not len(j):
-        return
-    rows = Rows(t.column("embedding"))
-    open_i, open_j, done_i, done_j = i[~done[i]], j[~done[j]], i[done[i]], j[done[j]]
-    meetings = [(open_i, open_i), (open_i, done_i)] if alone else [(open_i, j), (done_i, open_j)]
+        return []
+    free = i[~done[i]]
+    return [(free, free), (free, i[done[i]])] if alone else [(free, j), (i[done[i]], j[~done[j]])]
+
+
+def _met(t: pa.Table, threshold: float, below: float | None = None):
+    """Rows a and b (by place in the tile; the smaller id is a's) and cosine of a tile's pairs, a bounded number at a time."""
+    ids, keys, meetings = t.column("id").to_numpy(), _keys(t), _meetings(t)
+    rows = Rows(t.column("embedding")) if meetings else None
     for own, theirs in meetings:
         for p, q, s in rows.close(rows, threshold, own, theirs):
-            a, b = ids[p], ids[q]
-            ok = (keys[p] != keys[q]) & (a != b)
-            yield np.minimum(a, b)[ok], np.maximum(a, b)[ok], s[ok]
+            ok = (keys[p] != keys[q]) & (ids[p] != ids[q])
+            if below is not None:
+                ok &= np.round(s, 12) < below
+            p, q = p[ok], q[ok]
+            turned = ids[p] > ids[q]
+            yield np.where(turned, q, p), np.where(turned, p, q), s[ok]
+
+
+def _pairs(met: DataFrame, threshold: float, below: float | None = None) -> DataFrame:
+    """a, b, similarity, a_done, b_done of the tiles' pairs with a cosine of at least threshold and, if it is given, under `below`."""
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = pa.Table.from_batches(list(batches))
+        ids, done = t.column("id").to_numpy(), t.column("done").to_numpy(zero_copy_only=False).astype(bool)
+        for a, b, s in _met(t, threshold, below):
+            yield pa.RecordBatch.from_arrays([pa.array(ids[a], pa.int64()), pa.array(ids[b], pa.int64()), pa.array(s, pa.float64()), pa.array(done[a]), pa.array(done[b])], ["a", "b", "similarity", "a_done", "b_done"])
+
+    return met.groupBy("project", "there", "x", "y").applyInArrow(meet, "a long, b long, similarity double, a_done boolean, b_done boolean")
+
+
+def _bound(met: DataFrame, threshold: float, below: float | None, most: int) -> float:
+    """A cosine of at least threshold that at most about `most` of the tiles' pairs under `below` reach: the threshold if those are
+    all, else the edge of one of some hundred classes, which get narrower towards 1. One class is taken however many it has."""
+    edges = np.unique(np.append(1 - np.geomspace(1e-7, max(1 - threshold, 2e-7), 400), threshold))
+    edges = edges[edges >= threshold] if below is None else edges[(edges >= threshold) & (edges < below)]
+
+    def count(t: pa.Table) -> pa.Table:
+        n, meetings = np.zeros(len(edges), np.int64), _meetings(t)
+        rows = Rows(t.column("embedding")) if meetings else None
+        for own, theirs in meetings:
+            for _, _, s in rows.screened(rows, threshold, own, theirs):
+                s = s if below is None else s[s < below + rows.slack]
+                n += np.bincount(np.maximum(np.searchsorted(edges, s, "right") - 1, 0), minlength=len(edges))
+        some = np.flatnonzero(n)
+        return pa.table([pa.array(some, pa.int32()), pa.array(n[some])], ["class", "n"])
+
+    classes = met.groupBy("project", "there", "x", "y").applyInArrow(count, "class int, n long").groupBy("class").agg(F.sum("n").alias("n"))
+    total = np.zeros(len(edges), np.int64)
+    for r in classes.collect():  # a row for each class
+        total[r["class"]] = r["n"]
+    reached = total[::-1].cumsum()[::-1]
+    fit = np.flatnonzero(reached <= most)
+    low = fit[0] if len(fit) else len(edges)
+    if low == 0:
+        return threshold
+    if low == len(edges) or not reached[low]:  # the strongest class that has any is too large
+        low = np.flatnonzero(total)[-1]
+    return float(edges[low])
 
 
 def similar_pairs(vectors: DataFrame, threshold: float, rows_per_cell: int | None = None, block: int | None = None, most: int = 512) -> DataFrame:
     """a, b, similarity: pairs a < b of the same project (null equals null) with a cosine of at least threshold. vectors:
     id, project, key (equal keys are exact copies and left out), embedding; zero vectors and null ones have no pairs.
     Pairs leave a task as they are found, so that a dense tile needs no more room than another."""
-    met, _ = _tiles(vectors, threshold, rows_per_cell, block, most)
-
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for a, b, s in _met(pa.Table.from_batches(list(batches)), threshold):
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(s, pa.float64())], ["a", "b", "similarity"])
-
-    return met.groupBy("project", "there", "x", "y").applyInArrow(meet, "a long, b long, similarity double")
+    return _pairs(_tiles(vectors, threshold, rows_per_cell, block, most)[0], threshold).select("a", "b", "similarity")
 
 
 @dataclass

@@ -63,14 +63,19 @@ def cross_table(rows: DataFrame) -> DataFrame:
     return rows.groupBy("project", "key").agg(F.array_sort(F.collect_set("table")).alias("tables"), F.count("*").alias("n")).filter(F.size("tables") >= 2)
 
 
-def mark_greedily(pairs: DataFrame, rows: DataFrame, finish: int = 100_000) -> DataFrame:
-    """survivor, id, similarity: strongest pair first; the worse row of a pair is marked unless either side is a duplicate
-    or (as the one to be marked) a survivor already. Pairs (a, b, similarity) are the sparse list above the threshold."""
+def edges(pairs: DataFrame, rows: DataFrame) -> DataFrame:
+    """The pairs (a, b) with the row to keep and the one to drop."""
     order = rows.select("id", _order_struct().alias("o"))
     a, b = (order.select(F.col("id").alias(c), F.col("o").alias(f"o{c}")) for c in "ab")
     worse = F.col("ob") < F.col("oa")
-    edges = pairs.join(a, "a").join(b, "b")
-    return rounds.marks(edges.select("a", "b", "similarity", F.when(worse, F.col("b")).otherwise(F.col("a")).alias("keep"), F.when(worse, F.col("a")).otherwise(F.col("b")).alias("drop")), finish)
+    keep, drop = F.when(worse, F.col("b")).otherwise(F.col("a")), F.when(worse, F.col("a")).otherwise(F.col("b"))
+    return pairs.join(a, "a").join(b, "b").withColumns({"keep": keep, "drop": drop}).drop("oa", "ob")
+
+
+def mark_greedily(pairs: DataFrame, rows: DataFrame, finish: int = 100_000) -> DataFrame:
+    """survivor, id, similarity: strongest pair first; the worse row of a pair is marked unless either side is a duplicate
+    or (as the one to be marked) a survivor already. Pairs (a, b, similarity) are the sparse list above the threshold."""
+    return rounds.marks(edges(pairs, rows), finish)
 
 
 def apply_marks(lineage: DataFrame, plan: DataFrame, reason: str) -> DataFrame:

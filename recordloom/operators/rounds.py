@@ -43,9 +43,11 @@ def _mark(pairs: pd.DataFrame) -> pd.DataFrame:
 def marks(pairs: DataFrame, finish: int = 100_000) -> DataFrame:
     """survivor, id, similarity of the pairs (a, b, similarity, keep, drop) that mark `drop` a duplicate: strongest pair
     first (then smallest a, b), unless `keep` is a duplicate by then, or `drop` a duplicate or a survivor. A row's first mark is
-    final, so a pair is decided when it is the strongest that `drop` has left, and `keep` is a survivor already or has no stronger pair either."""
+    final, so a pair is decided when it is the strongest that `drop` has left, and `keep` is a survivor already or has no stronger pair either.
+    If the pairs have a column `sure`, it says whose `keep` is a survivor from the start."""
+    sure = F.col("sure") if "sure" in pairs.columns else F.lit(False).alias("sure")
     key: Column = F.struct((-F.col("similarity")).alias("s"), "a", "b")
-    left = staged(pairs.select("a", "b", "similarity", "keep", "drop", F.lit(False).alias("sure"), key.alias("key")), "pairs")
+    left = staged(pairs.select("a", "b", "similarity", "keep", "drop", sure, key.alias("key")), "pairs")
     out = []
     while (n := left.count()) > finish:
         best = staged(left.select(F.col("keep").alias("node"), "key").unionByName(left.select(F.col("drop").alias("node"), "key")).groupBy("node").agg(F.min("key").alias("best")), "best")

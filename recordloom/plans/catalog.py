@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import extraction
 from ..functions import text as T
-from ..operators import cells, dedup, index, lifecycle, quality, upkeep, vector
+from ..operators import cells, dedup, greedy, index, lifecycle, quality, upkeep, vector
 from ..sources import adapter as A
 from ..sources import formats, ingest, store
 from ..streaming import progress
@@ -240,9 +240,8 @@ def knn_batch(spark, d):
     return vector.knn_many(e.filter("id % 20 = 0"), e, 5).select("query_id", "id", F.round("similarity", 6).alias("similarity"), F.col("place").cast("int").alias("place"))
 
 
-def _pairs(spark, d, threshold=0.3):
-    e = A.table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").alias("project"), F.col("vec_id").cast("string").alias("key"), "embedding")
-    return cells.similar_pairs(e, threshold)
+def _vectors(spark, d):
+    return A.table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").alias("project"), F.col("vec_id").cast("string").alias("key"), "embedding")
 
 
 def _pairs_sql(threshold):
@@ -265,12 +264,12 @@ _LEAD = f"""WITH RECURSIVE p AS ({_pairs_sql(0.25)}), v AS (SELECT id, row_numbe
 @_query(_SWEEP)
 def semantic_greedy_marks(spark, d):
     e = A.table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").cast("string").alias("project"), F.lit(None).cast("string").alias("provenance"), F.lit(1).alias("chars"), F.lit(5).alias("importance"), F.col("vec_id").alias("minute"))
-    return dedup.mark_greedily(_pairs(spark, d), e).select("survivor", "id", F.round("similarity", 6).alias("similarity"))
+    return dedup.mark_greedily(cells.similar_pairs(_vectors(spark, d), 0.3), e).select("survivor", "id", F.round("similarity", 6).alias("similarity"))
 
 
 @_query(_LEAD)
 def leader_clusters(spark, d):
-    return lifecycle.leader_clusters(_pairs(spark, d, 0.25))
+    return greedy.leaders(_vectors(spark, d), 0.25)
 
 
 def _lists(spark, d):
