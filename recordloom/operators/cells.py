@@ -236,8 +236,8 @@ def _pairs(met: DataFrame, threshold: float, below: float | None = None) -> Data
 
 def _bound(met: DataFrame, threshold: float, below: float | None, most: int) -> float:
     """A cosine of at least threshold that at most about `most` of the tiles' pairs under `below` reach: the threshold if those are
-    all, else the edge of one of some hundred classes, which get narrower towards 1. One class is taken however many it has."""
-    edges = np.unique(np.append(1 - np.geomspace(1e-7, max(1 - threshold, 2e-7), 400), threshold))
+    all, else the edge of one of some thousand classes, which get narrower towards 1. One class is taken however many it has."""
+    edges = np.unique(np.concatenate([1 - np.geomspace(1e-7, max(1 - threshold, 2e-7), 400), np.linspace(threshold, 1, 4000)]))
     edges = edges[edges >= threshold] if below is None else edges[(edges >= threshold) & (edges < below)]
 
     def count(t: pa.Table) -> pa.Table:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import extraction
 from ..functions import text as T
-from ..operators import cells, dedup, greedy, index, lifecycle, quality, upkeep, vector
+from ..operators import dedup, greedy, index, lifecycle, quality, upkeep, vector
 from ..sources import adapter as A
 from ..sources import formats, ingest, store
 from ..streaming import progress
@@ -264,7 +264,7 @@ _LEAD = f"""WITH RECURSIVE p AS ({_pairs_sql(0.25)}), v AS (SELECT id, row_numbe
 @_query(_SWEEP)
 def semantic_greedy_marks(spark, d):
     e = A.table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").cast("string").alias("project"), F.lit(None).cast("string").alias("provenance"), F.lit(1).alias("chars"), F.lit(5).alias("importance"), F.col("vec_id").alias("minute"))
-    return dedup.mark_greedily(cells.similar_pairs(_vectors(spark, d), 0.3), e).select("survivor", "id", F.round("similarity", 6).alias("similarity"))
+    return greedy.marks(_vectors(spark, d), e, 0.3).select("survivor", "id", F.round("similarity", 6).alias("similarity"))
 
 
 @_query(_LEAD)
